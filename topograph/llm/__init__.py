@@ -1,0 +1 @@
+"""Operators for preparing training text. Nothing else in the library imports this subpackage."""
