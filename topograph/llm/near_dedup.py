@@ -154,7 +154,7 @@ def _finish_buckets(members: DataFrame, labels: DataFrame, sets: DataFrame, perc
     return rows.groupBy("bucket", "i", "j").applyInPandas(run, "src long, dst long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 80, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 80, block: int = 2048) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row of docs.
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| for their
