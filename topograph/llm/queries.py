@@ -32,3 +32,10 @@ def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     from topograph.llm.bpe import encode_decode
 
     return encode_decode(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topograph.llm.repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
