@@ -39,3 +39,17 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from topograph.llm.repeats import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query
+def op7_greedy_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topograph.llm.decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op4_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topograph.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -31,10 +31,12 @@ def randoms(n: int, seed: int) -> np.ndarray:
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Every byte but ASCII letters and digits and those of other characters.
+MARKS = np.ones(256, bool)
+MARKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BYTE = randoms(256, 1)[LOWER] | np.uint64(1)
-BYTE[SPACE] = 0
 PLACE = randoms(1 << 12, 2) | np.uint64(1)
 
 
@@ -56,10 +58,10 @@ def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         a = min(b, n)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of rows given by offsets, and the word offset of each row.
 
-    A word is a run of bytes outside 0x20 and 0x09-0x0D, with A-Z lower-cased.
+    A word is a run of bytes outside gaps (0x20 and 0x09-0x0D), with A-Z lower-cased.
     """
     n = len(offsets) - 1
     lengths = np.diff(offsets)
@@ -69,7 +71,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     ends = np.cumsum(lengths + 1)
     keep[ends - 1] = False
     buf[keep] = data[offsets[0] : offsets[-1]]
-    gap = SPACE[buf]
+    gap = gaps[buf]
     first = ~gap
     first[1:] &= gap[:-1]
     starts = np.flatnonzero(first)
@@ -79,7 +81,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     place = np.arange(starts[0], len(buf)) - np.repeat(starts, np.diff(np.append(starts, len(buf))))
     longest = int(place[~gap[starts[0] :]].max()) + 1
     table = PLACE if longest <= len(PLACE) else randoms(longest, 2) | np.uint64(1)
-    value = BYTE[buf[starts[0] :]] * table[np.minimum(place, len(table) - 1)]
+    value = np.where(gaps, np.uint64(0), BYTE)[buf[starts[0] :]] * table[np.minimum(place, len(table) - 1)]
     return mix(np.add.reduceat(value, starts - starts[0])), rows
 
 
