@@ -53,3 +53,64 @@ def op4_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from topograph.llm.quality import quality
 
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: Bytes of text in a shard.
+SHARD_BYTES = 1 << 20
+
+
+@query
+def op8_extendible_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topograph.llm.sharding import shards
+
+    return shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+@query
+def op9_media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topograph.llm.media import stored_payloads
+
+    return stored_payloads(table(spark, sf_dir, "documents"))
+
+
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@query
+def op2_url_digest_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topograph.llm.url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+ORACLE_SQL["op2_url_digest_filter"] = r"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, lower(regexp_extract(rest, '^([^/?#]*)', 1)) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+m AS (SELECT page_id, r.h || r.p AS rule, r.verdict FROM p JOIN r ON (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.p)),
+b AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM m GROUP BY page_id)
+SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') AS verdict FROM p LEFT JOIN b USING (page_id)
+"""
+
+
+@query
+def op3_consensus_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topograph.llm.html_extract import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_separator_scan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topograph.llm.token_counts import document_token_counts
+
+    return document_token_counts(table(spark, sf_dir, "documents"))
+
+
+def _shard_oracle() -> str:
+    from topograph.llm.sharding import oracle
+
+    return oracle(SHARD_BYTES)
+
+
+ORACLE_SQL["op8_extendible_hash_shards"] = _shard_oracle()
