@@ -38,7 +38,7 @@ def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from topograph.llm.repeats import remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans", "sha")
 
 
 @query

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,7 +89,17 @@ def anchors(data: np.ndarray, length: int = LENGTH, q: int = Q) -> tuple[np.ndar
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """(key, did, spot) of (did, text); spot packs the place and how far the strings reach before it."""
+    """(key, did, spot, n) of (did, text); spot packs the place and how far the strings reach before it.
+
+    Keys that come again within some ten thousand anchors are summed up here:
+    one row stands for n of them, the others have n = 0 and need no partner.
+    """
+
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
+        key, did, spot = (np.concatenate(x) for x in zip(*rows, strict=True))
+        _, first, back, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        n = np.where(first[back] == np.arange(len(key)), count[back], 0)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, did, spot, n)], ["key", "did", "spot", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,72 +111,100 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                 rows.append((key, np.full(len(key), did, np.int64), (place << 16) | ((place - first) << 8) | (last - first)))
                 size += len(key)
                 if size > 1 << 16 or i == len(dids) - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], ["key", "did", "spot"])
+                    yield pack(rows)
                     rows, size = [], 0
 
-    return docs.mapInArrow(run, "key long, did long, spot long")
+    return docs.mapInArrow(run, "key long, did long, spot long, n long")
 
 
 def _crowded(rows: DataFrame, parts: int, hot: int) -> DataFrame:
-    """The rows whose key another row shares; a row with null did names a key of more than hot rows.
+    """(key, did, spot) of the anchors whose key another one shares; a null did names a key of more than hot anchors.
 
     Rows stream by in order of their keys, so a key of any size takes no memory.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None  # the last row so far, and whether its key has come before
-        again, count, held_key = False, 0, None
+        held: pa.RecordBatch | None = None  # the last row so far, the number of its key and whether that has company
+        held_key = count = 0
+        kept = False
+        names = ["key", "did", "spot"]
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.column("n").to_numpy()
+            if (n == 0).any():
+                yield batch.filter(pa.array(n == 0)).select(names)
+                batch = batch.filter(pa.array(n > 0))
+                n = n[n > 0]
+            if not len(n):
                 continue
             key = batch.column("key").to_numpy()
             same = key[1:] == key[:-1]
             joins = held is not None and held_key == key[0]
-            if held is not None and (again or joins):
+            if held is not None and (kept or joins):
                 yield held
-            keep = np.concatenate([[joins], same])
+            keep = n > 1
+            keep[0] |= joins
+            keep[1:] |= same
             keep[:-1] |= same
-            last = batch.slice(batch.num_rows - 1)
-            if batch.num_rows > 1:
-                yield batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1]))
+            rest = batch.slice(0, len(n) - 1).filter(pa.array(keep[:-1]))
+            if rest.num_rows:
+                yield rest.select(names)
             starts = np.flatnonzero(np.concatenate([[True], ~same]))
-            sizes = np.diff(np.append(starts, len(key)))
+            total = np.add.reduceat(n, starts)
             before = count if joins else 0
-            total = sizes.copy()
             total[0] += before
-            large = [int(key[s]) for s, n, i in zip(starts, total, range(len(total)), strict=True) if n > hot and not (i == 0 and before > hot)]
-            if large:
-                yield pa.RecordBatch.from_arrays([pa.array(large, pa.int64()), pa.nulls(len(large), pa.int64()), pa.nulls(len(large), pa.int64())], ["key", "did", "spot"])
-            again = bool(keep[-1])
-            held, held_key, count = last, key[-1], int(total[-1])
-        if held is not None and again:
+            large = (total > hot) & ~((np.arange(len(total)) == 0) & (before > hot))
+            if large.any():
+                none = pa.nulls(int(large.sum()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(key[starts[large]]), none, none], names)
+            held, held_key, count, kept = batch.slice(len(n) - 1).select(names), key[-1], int(total[-1]), bool(keep[-1])
+        if held is not None and kept:
             yield held
 
-    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "key long, did long, spot long")
+    by = F.when(F.col("n") == 0, F.col("did")).otherwise(F.col("key"))
+    return rows.repartition(parts, by).sortWithinPartitions("key").mapInArrow(run, "key long, did long, spot long")
 
 
 def _contexts(marked: DataFrame) -> DataFrame:
-    """(key, did, start, bytes): for each anchor the bytes of all strings it stands for; of (did, text, keys, spots)."""
+    """(key, did, start, end, bytes): for each anchor the bytes of all strings it stands for; of (did, text, keys, spots).
+
+    Of equal bytes within some ten thousand anchors only the earliest has to
+    meet others; the later ones are repeated throughout and have null bytes.
+    """
+
+    def pack(key: list, did: list, start: list, data: list[bytes]) -> pa.RecordBatch:
+        key, did, start = np.concatenate(key), np.concatenate(did), np.concatenate(start)
+        order = np.lexsort((start, did))
+        key, did, start = key[order], did[order], start[order]
+        seen: set[bytes] = set()
+        size, rest = [], []
+        for i in order.tolist():
+            x = data[i]
+            size.append(len(x))
+            rest.append(None if x in seen else x)
+            seen.add(x)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(did), pa.array(start), pa.array(start + np.array(size)), pa.array(rest, pa.binary())], ["key", "did", "start", "end", "bytes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = ([], [], [], []), 0
         for batch in batches:
             data, offsets = byte_column(batch.column("text"))
-            out, size = ([], [], [], []), 0
             for i, (did, keys, spots) in enumerate(zip(batch.column("did").to_pylist(), batch.column("keys"), batch.column("spots"), strict=True)):
                 text = data[offsets[i] : offsets[i + 1]].tobytes()
                 spot = spots.values.to_numpy()
                 first = (spot >> 16) - ((spot >> 8) & 255)
                 stop = first + (spot & 255) + LENGTH
-                out[0].append(keys.values.to_numpy())
-                out[1].append(np.full(len(spot), did, np.int64))
-                out[2].append(first)
-                out[3].extend(text[a:b] for a, b in zip(first.tolist(), stop.tolist(), strict=True))
+                held[0].append(keys.values.to_numpy())
+                held[1].append(np.full(len(spot), did, np.int64))
+                held[2].append(first)
+                held[3].extend(text[a:b] for a, b in zip(first.tolist(), stop.tolist(), strict=True))
                 size += len(spot)
-                if size > 1 << 15 or i == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in out[:3]), pa.array(out[3], pa.binary())], ["key", "did", "start", "bytes"])
-                    out, size = ([], [], [], []), 0
+                if size > 1 << 16:
+                    yield pack(*held)
+                    held, size = ([], [], [], []), 0
+        if size:
+            yield pack(*held)
 
-    return marked.mapInArrow(run, "key long, did long, start long, bytes binary")
+    return marked.mapInArrow(run, "key long, did long, start long, end long, bytes binary")
 
 
 def _pointers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,6 +269,10 @@ def _repeated(contexts: DataFrame, parts: int) -> DataFrame:
                 a = b
 
         for batch in batches:
+            told = batch.column("bytes").is_valid()
+            if told.false_count:
+                yield batch.filter(pc.invert(told)).select(["did", "start", "end"])
+                batch = batch.filter(told)
             if not batch.num_rows:
                 continue
             key = batch.column("key").to_numpy()
@@ -241,7 +284,8 @@ def _repeated(contexts: DataFrame, parts: int) -> DataFrame:
         if held:
             yield from done(held)
 
-    return contexts.repartition(parts, "key").sortWithinPartitions("key", "did", "start").mapInArrow(run, "did long, start long, end long")
+    by = F.when(F.col("bytes").isNull(), F.col("did")).otherwise(F.col("key"))
+    return contexts.repartition(parts, by).sortWithinPartitions("key", "did", "start").mapInArrow(run, "did long, start long, end long")
 
 
 def _repeated_hot(contexts: DataFrame) -> DataFrame:
@@ -272,36 +316,60 @@ def _merge(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-_CUT = "did long, spans array<struct<start:long,end:long>>, n_removed long, kept_sha256 string, kept string"
+_CUT = "did long, spans array<struct<start:long,end:long>>, n_removed long, kept_sha256 string"
 
 
-def _cut(marked: DataFrame, keep_text: bool) -> DataFrame:
+def _cut(marked: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = byte_column(batch.column("text"))
-            starts, ends = batch.column("starts").to_pylist(), batch.column("ends").to_pylist()
-            rows = ([], [], [], [])
-            for i, spans in enumerate(zip(starts, ends, strict=True)):
+            rows = ([], [], [])
+            for i, spans in enumerate(zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True)):
                 text = data[offsets[i] : offsets[i + 1]].tobytes()
                 merged = _merge(list(zip(*spans, strict=True)))
-                left = b"".join(text[a:b] for a, b in zip([0, *(e for _, e in merged)], [*(s for s, _ in merged), len(text)], strict=True))
+                left = without(text, merged)
                 rows[0].append([{"start": a, "end": b} for a, b in merged])
                 rows[1].append(len(text) - len(left))
                 rows[2].append(hashlib.sha256(left).hexdigest())
-                rows[3].append(left.decode("utf-8", "ignore") if keep_text else None)
             spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array(rows[0], spans_type), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.string())], ["did", "spans", "n_removed", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array(rows[0], spans_type), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string())], ["did", "spans", "n_removed", "kept_sha256"])
 
     return marked.mapInArrow(run, _CUT)
 
 
+def without(text: bytes, spans: list) -> bytes:
+    """text without the bytes of sorted, disjoint spans."""
+    return b"".join(text[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(text)], strict=True))
+
+
+def kept_texts(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the repeated bytes of remove_repeats taken out of text_col; a character that a cut splits goes too.
+
+    Rows are told apart by id and the digest of their text.
+    """
+    names = docs.columns
+    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    cuts = found.where("n_removed > 0").select(F.col(id_col).alias("_id"), F.col("sha").alias("_sha"), F.col("spans.start").alias("_starts"), F.col("spans.end").alias("_ends")).dropDuplicates(["_id", "_sha"])
+    joined = docs.join(cuts, (docs[id_col] == cuts["_id"]) & (sha == cuts["_sha"]), "left").select(*names, "_starts", "_ends")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text_col).to_pylist()
+            for i, (starts, ends) in enumerate(zip(batch.column("_starts").to_pylist(), batch.column("_ends").to_pylist(), strict=True)):
+                if starts:
+                    texts[i] = without(texts[i].encode(), list(zip(starts, ends, strict=True))).decode("utf-8", "ignore")
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in names], names)
+
+    return joined.mapInArrow(run, docs.schema)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, hot: int = HOT) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256, spans) for every row; with keep_text, also kept.
 
     A byte goes if a string of LENGTH bytes over it also starts earlier: in a
-    document of a smaller id, or before in its own. kept is what is left,
-    without the bytes of characters that a cut has split. A null text counts
-    as empty. A row whose id is null takes no part and keeps its text. Rows
+    document of a smaller id, or before in its own; kept_texts() takes them
+    out. A null text counts as empty. A row whose id is null takes no part and
+    keeps its text. Rows
     that repeat id and text are one document and get the same result; rows
     that repeat an id with another text are documents in the order of their
     texts' digests. Other columns play no part.
@@ -337,9 +405,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     else:
         # there are at most rows / hot such keys
         contexts = materialize(contexts, "contexts")
-        found = _repeated(contexts.join(large, "key", "left_anti"), parts).union(_repeated_hot(contexts.join(large, "key", "left_semi")))
+        found = _repeated(contexts.where("bytes is not null").join(large, "key", "left_anti").union(contexts.where("bytes is null")), parts).union(_repeated_hot(contexts.where("bytes is not null").join(large, "key", "left_semi")))
     spans = found.groupBy("did").agg(F.collect_list(F.struct("start", "end")).alias("x")).select("did", F.col("x.start").alias("starts"), F.col("x.end").alias("ends"))
-    cut = _cut(given.join(spans, "did").select("did", "text", "starts", "ends"), keep_text)
+    cut = _cut(given.join(spans, "did").select("did", "text", "starts", "ends"))
     cut = materialize(cut.dropDuplicates(["did"]), "cut")
 
     copy = F.coalesce(F.col("rep") < F.col("did"), F.lit(False))
@@ -350,6 +418,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.when(copy, 1).otherwise(F.coalesce(F.size("spans"), F.lit(0))).cast("long").alias("n_spans"),
         F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
         F.when(copy, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))).otherwise(F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"))).alias("spans"),
-        *([F.when(copy, F.lit("")).otherwise(F.col("kept")).alias("kept"), "sha"] if keep_text else []),
+        "sha",
     )
     return out
