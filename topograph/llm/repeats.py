@@ -394,6 +394,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         given = given.withColumn("sha", F.sha2("text", 256)).join(earlier, ["id", "sha"], "left").select(did, "text")
 
     reps = base.where(f"id is not null and n_bytes >= {LENGTH}").groupBy("sha").agg(F.min("did").alias("rep"))
+    reps = materialize(reps, "reps")  # so that a join may split the rows of one text
     anchored = materialize(_crowded(_anchor_rows(given), parts, hot), "anchors")
     large = anchored.where("did is null").select("key").distinct()
     per_doc = anchored.where("did is not null").join(reps.select(F.col("rep").alias("did")), "did", "left_semi").distinct()
