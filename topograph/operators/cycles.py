@@ -96,7 +96,7 @@ def cycle_report(nodes: DataFrame, cycles: DataFrame) -> DataFrame:
     """One row: number of cycles, nodes on them, their percentage, longest length, severity."""
     on = cycles.select(F.explode("nodes").alias("id")).agg(F.count_distinct("id").alias("nodes_in_cycles"))
     all_ = cycles.agg(F.count(F.lit(1)).alias("total_cycles"), F.coalesce(F.max("length"), F.lit(0)).alias("longest"))
-    share = F.round(F.coalesce(F.col("nodes_in_cycles") / F.col("n") * 100, F.lit(0.0)), 6)
+    share = F.round(F.coalesce(F.try_divide("nodes_in_cycles", "n") * 100, F.lit(0.0)), 6)
     out = all_.crossJoin(on).crossJoin(nodes.agg(F.count(F.lit(1)).alias("n"))).select("total_cycles", "longest", "nodes_in_cycles", share.alias("percent"))
     return out.withColumn("severity", severity(F.col("total_cycles"), F.col("percent")))
 

@@ -53,4 +53,4 @@ def impact_together(nodes: DataFrame, edges: DataFrame, changed: DataFrame) -> D
     found = impact(edges, known).select(F.col("affected").alias("id"))
     union = found.union(known).distinct().agg(F.count(F.lit(1)).alias("union_size"))
     counts = found.distinct().agg(F.count(F.lit(1)).alias("affected")).crossJoin(known.agg(F.count(F.lit(1)).alias("mutated"))).crossJoin(union).crossJoin(nodes.agg(F.count(F.lit(1)).alias("n")))
-    return counts.select("mutated", "affected", F.coalesce(F.col("union_size") / F.col("n") * 100, F.lit(0.0)).alias("blast_radius"))
+    return counts.select("mutated", "affected", F.coalesce(F.try_divide("union_size", "n") * 100, F.lit(0.0)).alias("blast_radius"))

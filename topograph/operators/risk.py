@@ -1,4 +1,4 @@
-"""Explainable risk of a change: nine weighted components and their sum."""
+"""Explainable risk of a change: ten weighted components and their sum."""
 
 from __future__ import annotations
 
@@ -42,7 +42,7 @@ class RiskWeights:
 
 
 def risk_components(changed: DataFrame, involved: DataFrame, nodes: DataFrame, degree: DataFrame, central: DataFrame, blast: DataFrame, hotspots: DataFrame | None = None, cycles: DataFrame | None = None, symbols: DataFrame | None = None, weights: RiskWeights = RiskWeights(), lines: int | None = None) -> DataFrame:
-    """(name, weight, raw_value, normalized_value, contribution): eight rows that sum up to the score.
+    """(name, weight, raw_value, normalized_value, contribution): ten rows that sum up to the score.
 
     changed, involved and nodes have id; degree and central are by id; blast
     is one row with blast_radius in percent; symbols (path, change_type,
@@ -64,7 +64,7 @@ def risk_components(changed: DataFrame, involved: DataFrame, nodes: DataFrame, d
     if cycles is None:
         one = one.withColumns({"cycles": F.lit(0), "on_cycles": F.lit(0)})
     else:
-        near = cycles.select(F.monotonically_increasing_id().alias("c"), F.explode("nodes").alias("id")).join(involved.select("id").distinct(), "id", "left_semi")
+        near = cycles.select(F.array_join("nodes", "\n").alias("c"), F.explode("nodes").alias("id")).join(involved.select("id").distinct(), "id", "left_semi")
         one = one.crossJoin(near.agg(F.count_distinct("c").alias("cycles"), F.count_distinct("id").alias("on_cycles")))
     if symbols is None:
         one = one.withColumns({"signature": F.lit(0), "body": F.lit(0), "symbols": F.lit(0), "length": F.lit(0)})

@@ -31,8 +31,8 @@ _EDGES = f"{_SALES}, {_ranked('e')}"
 _NODES = "n AS (SELECT n_name AS id FROM nation)"
 _TESTS = "t AS (SELECT n_name AS id FROM nation WHERE n_regionkey = 0)"
 _DEGREE = """deg AS (SELECT id, (SELECT count(*) FROM e WHERE dst = id) AS in_degree, (SELECT count(*) FROM e WHERE src = id) AS out_degree FROM n)"""
-CHANGED = ["NATION_1", "NATION_12", "NATION_20"]
-_CHANGED = "c AS (SELECT id FROM n WHERE id IN ('NATION_1', 'NATION_12', 'NATION_20'))"
+CHANGED = ["NATION_5", "NATION_6", "NATION_7", "NATION_17", "NATION_19"]
+_CHANGED = "c AS (SELECT id FROM n WHERE id IN ('NATION_5', 'NATION_6', 'NATION_7', 'NATION_17', 'NATION_19'))"
 # reverse reachability with hop counts from the changed nodes, or from all nodes
 _BACK = """walk(origin, node, d) AS (SELECT id, id, 0 FROM c UNION SELECT origin, e.src, d + 1 FROM walk JOIN e ON e.dst = node WHERE d < 25),
 back AS (SELECT origin AS mutated, node AS affected, min(d) AS distance FROM walk GROUP BY 1, 2 HAVING min(d) > 0)"""
@@ -234,10 +234,10 @@ sql("impact_chain", _EDGES, _NODES, _CHANGED, "w(origin, node, path) AS (SELECT
 
 @query
 def khop_ego(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.ego(D.trade_edges(spark, sf_dir), changed(spark, sf_dir).where("id = 'NATION_1'"), 1)
+    return traverse.ego(D.trade_edges(spark, sf_dir), changed(spark, sf_dir).where("id = 'NATION_6'"), 1)
 
 
-sql("khop_ego", _EDGES, "near AS (SELECT 'NATION_1' AS id UNION SELECT src FROM e WHERE dst = 'NATION_1' UNION SELECT dst FROM e WHERE src = 'NATION_1')", select="SELECT src, dst FROM e WHERE src IN (SELECT id FROM near) AND dst IN (SELECT id FROM near)")
+sql("khop_ego", _EDGES, "near AS (SELECT 'NATION_6' AS id UNION SELECT src FROM e WHERE dst = 'NATION_6' UNION SELECT dst FROM e WHERE src = 'NATION_6')", select="SELECT src, dst FROM e WHERE src IN (SELECT id FROM near) AND dst IN (SELECT id FROM near)")
 
 
 @query
@@ -295,10 +295,10 @@ sql("cycle_report", _EDGES, _NODES, _CYCLES, "x AS (SELECT count(*) AS c, coales
 
 @query
 def cycles_for_node(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _joined(cycles.cycles_of(_cycles(spark, sf_dir), "NATION_1"))
+    return _joined(cycles.cycles_of(_cycles(spark, sf_dir), "NATION_6"))
 
 
-sql("cycles_for_node", _EDGES, _CYCLES, select="SELECT array_to_string(nodes, '>') AS cycle, length FROM cyc WHERE list_contains(nodes, 'NATION_1') ORDER BY length, nodes LIMIT 10")
+sql("cycles_for_node", _EDGES, _CYCLES, select="SELECT array_to_string(nodes, '>') AS cycle, length FROM cyc WHERE list_contains(nodes, 'NATION_6') ORDER BY length, nodes LIMIT 10")
 
 
 @query
