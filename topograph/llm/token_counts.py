@@ -101,7 +101,7 @@ def scan(blocks: DataFrame, eod: int = 50256, width: int = 2, block: int = BLOCK
     found = materialize(blocks.mapInArrow(find, schema), "separators")
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    slim = found.select("file", "block", "n", F.size("places").alias("ended"), F.element_at("places", -1).alias("last"))
+    slim = found.select("file", "block", "n", F.size("places").alias("ended"), F.try_element_at("places", F.lit(-1)).alias("last"))
     carried = slim.select(
         "file", "block",
         F.coalesce(F.sum("ended").over(before), F.lit(0)).alias("first_document"),
