@@ -125,7 +125,7 @@ def fit(rows: DataFrame, trees: int = 24, depth: int = 3, penalty: float = 1e-3,
         return RuleEnsemble(math.log(share / (1 - share)), {})
     if n > fit_rows:
         rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * fit_rows / n))
-    rows = rows.repartition(8, "id").sortWithinPartitions("id", *STATISTICS)
+    rows = rows.repartition(8, "id").coalesce(8).sortWithinPartitions("id", *STATISTICS)
     packed = VectorAssembler(inputCols=STATISTICS, outputCol="features", handleInvalid="keep").transform(rows).select("id", F.col("label").cast("double").alias("label"), "features", *STATISTICS)
     packed = packed.persist()
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy="onethird", seed=7, minInstancesPerNode=max(2, min(20, n // 50))).fit(packed)
