@@ -12,6 +12,7 @@ is encoded by the one path that spells it.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -28,8 +29,10 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 #: White space and the run of other characters after it: no token reaches beyond such a piece.
 PIECE = re.compile(rf"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: Pieces, and words, that a worker keeps ready.
-KEPT = 1 << 17
+#: Pieces, and words, that a worker keeps ready, and as many that were used before.
+KEPT = 1 << 18
+#: Bytes that a remembered step looks at.
+AHEAD = 6
 
 
 def byte_letters() -> dict[str, int]:
@@ -67,8 +70,11 @@ class Automaton:
         self.table: dict[tuple[int, int], bool] = {}
         self.split = regex.compile(PATTERN)
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.sizes = {i: len(x) for i, x in self.labels.items()}
+        self.steps: dict[tuple[int, bytes], int] = {}
         self.words: dict[str, list[int]] = {}
-        self.kept: dict[str, tuple[list[int], str]] = {}
+        self.kept: dict[str, tuple[int, str, bytes]] = {}
+        self.older: dict[str, tuple[int, str, bytes]] = {}
 
     def _has(self, x: int, time: int, y: int) -> bool:
         """Whether the state after arc x has an arc y once the merges up to number time have been made."""
@@ -100,11 +106,56 @@ class Automaton:
         return found
 
     def path(self, word: bytes) -> list[int]:
-        """The arcs that spell word; longer arcs are tried first, and no arc is tried twice at one place."""
-        n, arcs, reach, table, follows = len(word), self.arcs, self.reach, self.table, self.follows
-        whole = arcs.get(word)
+        """The arcs that spell word.
+
+        Only one path does, so the arc that led on from the same state and the
+        same next bytes before is taken at once; if that ends nowhere, the
+        path is searched for.
+        """
+        whole = self.arcs.get(word)
         if whole is not None:
             return [whole]
+        steps, sizes = self.steps, self.sizes
+        out: list[int] = []
+        at, last, n = 0, -1, len(word)
+        while at < n:
+            key = (last, word[at : at + AHEAD])
+            y = steps.get(key)
+            if y is None:
+                y = self._step(last, word, at)
+                if y is None:
+                    return self._learn(word)
+                if sizes[y] <= AHEAD:
+                    if len(steps) >= 2 * KEPT:
+                        steps.clear()
+                    steps[key] = y
+            out.append(y)
+            at += sizes[y]
+            last = y
+        return out
+
+    def _learn(self, word: bytes) -> list[int]:
+        """Search for the path, and remember its steps."""
+        out = self._search(word)
+        at, last = 0, -1
+        for y in out:
+            if self.sizes[y] <= AHEAD:
+                self.steps[last, word[at : at + AHEAD]] = y
+            at += self.sizes[y]
+            last = y
+        return out
+
+    def _step(self, last: int, word: bytes, at: int) -> int | None:
+        """The longest arc at a place that may follow the last one."""
+        for size in range(min(self.reach.get(word[at : at + 4], 3), len(word) - at), 0, -1):
+            y = self.arcs.get(word[at : at + size])
+            if y is not None and (last < 0 or self.follows(last, y)):
+                return y
+        return None
+
+    def _search(self, word: bytes) -> list[int]:
+        """path() by backtracking; longer arcs are tried first, and no arc is tried twice at one place."""
+        n, arcs, reach, table, follows = len(word), self.arcs, self.reach, self.table, self.follows
         out: list[int] = []
         ends = [0]
         at, last = 0, -1
@@ -141,15 +192,25 @@ class Automaton:
                 self.words[text] = found
         return found
 
-    def piece(self, text: str) -> tuple[list[int], str]:
-        found = self.kept.get(text)
+    def piece(self, text: str) -> tuple[int, str, bytes]:
+        """Number of ids of a piece, the ids joined by commas, and the labels of their arcs."""
+        ids = [i for word in self.split.findall(text) for i in self.word(word)]
+        labels = self.labels
+        found = len(ids), ",".join(map(str, ids)), b"".join([labels[i] for i in ids])
+        if len(text) <= 64:
+            if len(self.kept) >= KEPT:
+                # what was used lately comes back from the older half
+                self.older, self.kept = self.kept, {}
+            self.kept[text] = found
+        return found
+
+    def _known(self, text: str) -> tuple[int, str, bytes]:
+        found = self.older.get(text)
         if found is None:
-            ids = [i for word in self.split.findall(text) for i in self.word(word)]
-            found = ids, ",".join(map(str, ids))
-            if len(text) <= 64:
-                if len(self.kept) >= KEPT:
-                    self.kept.clear()
-                self.kept[text] = found
+            return self.piece(text)
+        if len(self.kept) >= KEPT:
+            self.older, self.kept = self.kept, {}
+        self.kept[text] = found
         return found
 
     def _spans(self, text: str, special: bool) -> Iterator[tuple[str, int | None]]:
@@ -164,16 +225,24 @@ class Automaton:
             at = m.end()
         yield text[at:], None
 
-    def pieces(self, text: str, special: bool = True) -> Iterator[tuple[list[int], str]]:
+    def pieces(self, text: str, special: bool = True) -> list[tuple[int, str, bytes]]:
+        """What piece() gives for the pieces of text, in order."""
+        known = self._known
+        if not (special and self.cut and self.cut.search(text)):
+            get = self.kept.get
+            return [get(p) or known(p) for p in PIECE.findall(text)]
+        out: list[tuple[int, str, bytes]] = []
         for part, one in self._spans(text, special):
             if one is not None:
-                yield [one], str(one)
+                out.append((1, str(one), self.labels[one]))
             else:
-                yield from map(self.piece, PIECE.findall(part))
+                out += [self.kept.get(p) or known(p) for p in PIECE.findall(part)]
+        return out
 
     def encode(self, text: str, special: bool = True) -> list[int]:
         """Ids of text; with special = False, strings of special tokens are ordinary text."""
-        return [i for ids, _ in self.pieces(text, special) for i in ids]
+        joined = [x[1] for x in self.pieces(text, special)]
+        return list(map(int, ",".join(joined).split(","))) if joined else []
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs, one after the other."""
@@ -183,8 +252,14 @@ class Automaton:
 
 @lru_cache(maxsize=2)
 def automaton(file: str) -> Automaton:
-    """One compiled automaton for each worker process."""
-    return Automaton(file)
+    """One compiled automaton for each worker process.
+
+    Its tables hold no cycles, so the collector is told to pass them over.
+    """
+    out = Automaton(file)
+    gc.freeze()
+    gc.set_threshold(200_000, 20, 100)
+    return out
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -208,16 +283,14 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             rows = ([], [], [], [], [])
             for text in batch.column("text"):
-                ids, parts = [], []
-                for some, joined in auto.pieces(text.as_py() or ""):
-                    ids += some
-                    parts.append(joined)
-                plain = auto.decode(ids)
-                rows[0].append(len(ids))
-                rows[1].append(hashlib.sha256(",".join(parts).encode()).hexdigest())
+                found = auto.pieces(text.as_py() or "")
+                joined = ",".join([x[1] for x in found])
+                plain = b"".join([x[2] for x in found]).decode("utf-8", "replace")
+                rows[0].append(sum([x[0] for x in found]))
+                rows[1].append(hashlib.sha256(joined.encode()).hexdigest())
                 rows[2].append(hashlib.sha256(plain.encode()).hexdigest())
                 if keep:
-                    rows[3].append(ids)
+                    rows[3].append(list(map(int, joined.split(","))) if joined else [])
                     rows[4].append(plain)
             columns = [batch.column("id"), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
