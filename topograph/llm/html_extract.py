@@ -191,6 +191,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     strong = counted.join(total, "host").where(F.col("n") >= share * F.col("all"))
     winners = strong.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "path"))), lambda x: x["path"]).alias("paths"))
 
+    winners = materialize(winners, "winners")  # so that a join may split the pages of one host
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
