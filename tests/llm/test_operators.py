@@ -125,6 +125,18 @@ def test_repeats_of_odd_rows(spark):
     assert repeats.remove_repeats(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("other", [[], [(7, "another text")]])
+@pytest.mark.parametrize("hot", [100_000, 1])
+def test_repeats_of_repeated_rows(spark, hot, other):
+    docs = [*corpus(12, 5), (1000, "ab" * 300)]
+    want = brute_repeats(docs)
+    twice = [(i, t) for i, t in docs if i in (0, 7, 1000)]
+    docs = [*docs, *twice, *twice, *[(100 + i, t) for i, t in other], *[(100 + i, t + "!") for i, t in other]]
+    rows = repeats.remove_repeats(frame(spark, docs), hot=hot).collect()
+    assert len(rows) == len(docs)
+    assert all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id] for r in rows if r.doc_id in want)
+
+
 def test_repeats_across_segments_of_a_long_text():
     rng = random.Random(2)
     data = np.frombuffer(bytes(rng.choice(b"abcd ") for _ in range(3 * (1 << 16))), np.uint8)

@@ -380,8 +380,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     given = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     base = given.select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     base = materialize(base, "texts")
-    shared = base.where("id is not null").groupBy("id").agg(F.count_distinct("sha").alias("n")).where("n > 1")
-    most = shared.agg(F.max("n")).first()[0] or 1
+    shared = base.where("id is not null").groupBy("id").agg(F.count_distinct("sha").alias("n"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    most, again = shared.agg(F.max("n"), F.max(F.col("rows") > F.col("n"))).first()
+    shared, most = shared.where("n > 1"), most or 1
     given = given.where("id is not null")
     if most == 1:
         base = base.withColumn("did", F.col("id"))
@@ -392,6 +393,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         did = (F.col("id") * F.lit(most) + F.coalesce("turn", F.lit(0))).alias("did")
         base = materialize(base.join(earlier, ["id", "sha"], "left").select("id", "n_bytes", "sha", did), "texts")
         given = given.withColumn("sha", F.sha2("text", 256)).join(earlier, ["id", "sha"], "left").select(did, "text")
+    if again:  # else a repeated row would meet itself
+        given = materialize(given.distinct(), "given")
 
     reps = base.where(f"id is not null and n_bytes >= {LENGTH}").groupBy("sha").agg(F.min("did").alias("rep"))
     reps = materialize(reps, "reps")  # so that a join may split the rows of one text
@@ -399,7 +402,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     large = anchored.where("did is null").select("key").distinct()
     per_doc = anchored.where("did is not null").join(reps.select(F.col("rep").alias("did")), "did", "left_semi").distinct()
     per_doc = per_doc.groupBy("did").agg(F.collect_list(F.struct("key", "spot")).alias("x")).select("did", F.col("x.key").alias("keys"), F.col("x.spot").alias("spots"))
-    given = given.distinct() if most > 1 else given
     contexts = _contexts(given.join(per_doc, "did").select("did", "text", "keys", "spots"))
     if large.isEmpty():
         found = _repeated(contexts, parts)
