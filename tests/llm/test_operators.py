@@ -296,6 +296,34 @@ def test_main_text(spark):
     assert html_extract.main_text(pages.limit(0)).count() == 0
 
 
+LONG = "".join(f"<p>Sentence {i} of a story that goes on for quite some time.</p>" for i in range(20))
+NAV = "<nav><a href=/>Home</a></nav>"
+
+
+def own_text(page):
+    return html_extract.extract(page, [p for p, _ in html_extract.votes(page)])
+
+
+def test_main_text_keeps_what_stands_around_the_largest_container():
+    links = "<div class=more>" + "".join(f"<p><a href=/{i}>Another story, number {i}</a></p>" for i in range(20)) + "</div>"
+    outside = ["<h1>Title</h1><p>lead</p>", "<section><p>Short section</p></section>", "<ul><li>point</ul>", "<blockquote>said</blockquote>", "<table><tr><td>7</table>"]
+    for part in ("div class=body", "section", "ul", "table", "blockquote"):
+        inner = f"<{part}>{LONG}</{part.split()[0]}>"
+        for some in outside:
+            page = f"<body>{NAV}<article>{some}{inner}<p>the end</p></article>{links}</body>"
+            text = own_text(page)
+            assert all(x in text for x in re.findall(">([^<>]+)", some))
+            assert "Sentence 19" in text and "the end" in text and "Home" not in text and "Another" not in text
+
+
+def test_main_text_keeps_the_outer_text_where_other_pages_of_the_host_have_none(spark):
+    flat = f"<body><article><div class=body>{LONG}</div></article></body>"
+    outer = f"<body><article><h1>Title</h1>{LONG}<div class=body><p>rest</p></div></article></body>"
+    pages = spark.createDataFrame([(i, f"http://h/{i}", flat) for i in range(5)] + [(9, "http://h/9", outer)], "page_id long, url string, html string")
+    text = {r.page_id: r.text for r in html_extract.main_text(pages).collect()}[9]
+    assert text.startswith("Title") and "Sentence 19" in text and text.endswith("rest")
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -2,7 +2,8 @@
 
 Every page is read once to score its containers: the length of the text
 blocks in a container, less what is linked, and less as the blocks lie deeper.
-The path of tags and classes to the best one, generalised so that numbers and
+From the best one it climbs to the outermost container that adds hardly any
+links. The path of tags and classes to that, generalised so that numbers and
 the like don't count, is the page's vote. Spark sums the votes of each host.
 Then each page is read again and the text comes from the path with the most
 votes that the page has.
@@ -140,10 +141,11 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
 
 
 def votes(page: str) -> list[tuple[str, float]]:
-    """(path, score) of the container that holds the most own text; none for a page without text."""
+    """(path, score) of the container around the most own text; none for a page without text."""
     scores: dict[str, float] = {}
     whole = 0.0
-    for paths, text, linked in blocks(page):
+    found = list(blocks(page))
+    for paths, text, linked in found:
         worth = max(0.0, len(text) - 2.0 * linked)
         whole += worth
         for above, path in enumerate(reversed(paths)):
@@ -151,16 +153,35 @@ def votes(page: str) -> list[tuple[str, float]]:
     if not scores:
         return []
     best = max(scores, key=lambda p: (scores[p], -len(p), p))
-    return [(best, scores[best])] if scores[best] > 0 else []
+    return [(_outer(found, best), scores[best])] if scores[best] > 0 else []
+
+
+def _outer(found: list[tuple[tuple[str, ...], str, int]], path: str) -> str:
+    """The outermost container of path whose other text is mostly unlinked, with few links beside all it holds."""
+    chain: tuple[str, ...] = ()
+    chars: dict[str, int] = {}
+    links: dict[str, int] = {}
+    for paths, text, linked in found:
+        if path in paths:
+            chain = paths
+        for p in paths:
+            chars[p] = chars.get(p, 0) + len(text)
+            links[p] = links.get(p, 0) + min(linked, len(text))
+    best = path
+    for p in reversed(chain[: chain.index(path)] if chain else ()):
+        added, linked = chars[p] - chars[path], links[p] - links[path]
+        if chars[p] > chars[best] and 2 * linked <= added and 10 * linked <= chars[p]:
+            best = p
+    return best
 
 
 def extract(page: str, wanted: list[str]) -> str:
-    """The blocks under the first of the wanted paths that the page has text at; all blocks if it has none of them."""
+    """The blocks around the first of the wanted paths that the page has text at; all blocks if it has none of them."""
     found = list(blocks(page))
     for path in wanted:
-        inside = [text for paths, text, _ in found if path in paths]
-        if inside:
-            return "\n".join(inside)
+        if any(path in paths for paths, _, _ in found):
+            path = _outer(found, path)
+            return "\n".join(text for paths, text, _ in found if path in paths)
     return "\n".join(text for _, text, _ in found)
 
 
