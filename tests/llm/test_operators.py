@@ -324,6 +324,18 @@ def test_main_text_keeps_the_outer_text_where_other_pages_of_the_host_have_none(
     assert text.startswith("Title") and "Sentence 19" in text and text.endswith("rest")
 
 
+def test_main_text_in_wrappers_with_names_of_boilerplate():
+    comments = "<div class=comments><article class=comment>" + "<p>A reader says so and so</p>" * 100 + "</article></div>"
+    inner = f"<h1>Title</h1>{LONG}"
+    wraps = [f"<div class='container has-sidebar'>{inner}</div>", f"<article class='post tag-search'>{inner}</article>", f"<main class='content with-comments'>{inner}</main>", f"<div id='menu-open'><article>{inner}</article></div>", f"<div class='page sidebar'><div class=search>{inner}</div></div>", f"<article class='story comments-open'>{inner}</article>"]
+    for wrap in wraps:
+        for page in (f"<body>{NAV}<div class=cookie>We use them</div>{wrap}{comments}</body>", f"<body>{wrap}<div class=sidebar>Side</div></body>"):
+            text = own_text(page)
+            assert text.startswith("Title") and "Sentence 19" in text, wrap
+            assert not any(x in text for x in ("reader", "Home", "We use", "Side")), wrap
+    assert own_text("<body><div class=cookie-notice>We use cookies</div></body>") == ""
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

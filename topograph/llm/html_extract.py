@@ -29,6 +29,10 @@ CONTAINER = set("article main section div body td center blockquote form ul ol t
 #: Elements that never hold main text, and words of a class, id or role that say the same.
 ASIDE = set("head nav footer header aside form script style noscript template iframe svg math canvas audio video object button select option textarea input label menu dialog map title".split())
 ASIDE_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments respond disqus cookie cookies consent notice notices alert gdpr popup modal overlay share sharing social related recommended newsletter subscribe signup login pagination pager toolbar widget complementary contentinfo search".split())
+#: Of these, words that stay in force however much text the element holds.
+_NEVER = set("comment comments respond disqus cookie cookies consent gdpr".split())
+#: has-sidebar, tag-search or comments-open say something of a page or its subject, not that this is a sidebar.
+_ABOUT = re.compile(r"(?:has|have|with|without|no|non|not|hide|show|tag|category|cat|topic|type|format)[-_].*|[a-z]+[-_](?:open|closed|enabled|disabled)")
 _SPLIT = re.compile(r"[^a-z]+")
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -39,25 +43,68 @@ _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 
 
 class _Element:
-    __slots__ = ("aside", "link", "path", "tag")
+    __slots__ = ("aside", "link", "never", "owner", "path", "tag")
 
-    def __init__(self, tag: str, path: str, aside: bool, link: bool):
-        self.tag, self.path, self.aside, self.link = tag, path, aside, link
+    def __init__(self, tag: str, path: str, aside: bool, link: bool, never: bool, owner: int):
+        self.tag, self.path, self.aside, self.link, self.never, self.owner = tag, path, aside, link, never, owner
 
 
-def _step(tag: str, attributes: str) -> tuple[str, bool]:
-    """A step of a generalised path, and whether the names say that this isn't main text."""
+class _Named:
+    """An element whose names say that it isn't main text; own is its unlinked text outside of others within it."""
+
+    __slots__ = ("article", "main", "never", "own", "owner")
+
+    def __init__(self, owner: int, never: bool):
+        self.owner, self.never, self.own, self.main, self.article = owner, never, 0, False, False
+
+
+def _spared(named: list[_Named]) -> set[int]:
+    """The numbers of elements that hold the page's text for all that their names say; the first of named is the page.
+
+    They hold main, or more than half of the text, and an article or nine tenths of all but what
+    other names rule out.
+    """
+    inside = [e.own for e in named]
+    for k in range(len(named) - 1, 0, -1):  # elements come before those within
+        e, above = named[k], named[named[k].owner]
+        if e.never and not e.main:
+            inside[k] = 0
+            continue
+        inside[e.owner] += inside[k]
+        above.main |= e.main
+        above.article |= e.article
+    spared, outside = {0}, [0] * len(named)
+    for k, e in enumerate(named[1:], 1):
+        if e.owner not in spared:
+            continue
+        outside[k] = outside[e.owner] + named[e.owner].own
+        least = 0.5 if e.article else 0.9
+        if e.main or not e.never and 2 * inside[k] > inside[0] and inside[k] > least * (inside[k] + outside[k]):
+            spared.add(k)
+    return spared
+
+
+def _step(tag: str, attributes: str) -> tuple[str, set[str], bool]:
+    """A step of a generalised path, the names' words that say this isn't main text, and whether it is hidden."""
     names: dict[str, str] = {}
     for m in _NAMES.finditer(attributes):
         names.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
-    words = {w for n in names.values() for w in _SPLIT.split(n) if w}
+    words = {w for n in names.values() for c in n.split() if not _ABOUT.fullmatch(c) for w in _SPLIT.split(c)}
     classes = sorted({re.sub(r"\d+", "#", c) for c in names.get("class", "").split()})
-    return ".".join([tag, *classes]), bool(words & ASIDE_WORDS) and tag not in ("html", "body") or bool(_HIDDEN.search(attributes))
+    return ".".join([tag, *classes]), words & ASIDE_WORDS if tag not in ("html", "body") else set(), bool(_HIDDEN.search(attributes))
 
 
-def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
+def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(paths of the open elements, text, linked characters) of each block of main text, in page order."""
-    open_: list[_Element] = [_Element("", "", False, False)]
+    named = [_Named(0, False)]
+    found = list(_read(page, {0}, named))
+    spared = _spared(named) if len(named) > 1 else {0}
+    return found if len(spared) == 1 else list(_read(page, spared, [_Named(0, False)]))
+
+
+def _read(page: str, spared: set[int], named: list[_Named]) -> Iterator[tuple[tuple[str, ...], str, int]]:
+    """blocks() where the names of the spared elements don't count; all elements with such names are added to named."""
+    open_: list[_Element] = [_Element("", "", False, False, False, 0)]
     text: list[str] = []
     linked = 0
     at = 0
@@ -73,10 +120,14 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
 
     def add(some: str) -> None:
         nonlocal linked
-        if some and not open_[-1].aside:
-            text.append(some)
-            if open_[-1].link:
-                linked += len(some)
+        top = open_[-1]
+        if some and not top.never:
+            if not top.link:
+                named[top.owner].own += len(some.strip())
+            if not top.aside:
+                text.append(some)
+                if top.link:
+                    linked += len(some)
 
     pos = 0
     n = len(page)
@@ -123,9 +174,10 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
                         break
         if tag in VOID:
             continue
-        step, names_aside = _step(tag, m[3]) if m[3] else (tag, False)
+        step, words, hidden = _step(tag, m[3]) if m[3] else (tag, set(), False)
         top = open_[-1]
-        aside = top.aside or tag in ASIDE or names_aside
+        never = top.never or tag in ASIDE or hidden
+        aside, owner = top.aside or never, top.owner
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
             inside = page[pos : end.start()] if end else page[pos:]
@@ -135,7 +187,15 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
             continue
         if m[3].rstrip().endswith("/") and tag not in BLOCK:
             continue
-        open_.append(_Element(tag, f"{top.path}>{step}" if tag in CONTAINER or tag == "html" else top.path, aside, top.link or tag == "a"))
+        if words and not never:
+            owner = len(named)
+            named.append(_Named(top.owner, bool(words & _NEVER)))
+            aside = aside or owner not in spared
+        if tag == "main" and not never:
+            named[owner].main = True
+        if tag == "article" and not (never or words & _NEVER):
+            named[owner].article = True
+        open_.append(_Element(tag, f"{top.path}>{step}" if tag in CONTAINER or tag == "html" else top.path, aside, top.link or tag == "a", never, owner))
     add(page[at:])
     yield from flush()
 
@@ -144,7 +204,7 @@ def votes(page: str) -> list[tuple[str, float]]:
     """(path, score) of the container around the most own text; none for a page without text."""
     scores: dict[str, float] = {}
     whole = 0.0
-    found = list(blocks(page))
+    found = blocks(page)
     for paths, text, linked in found:
         worth = max(0.0, len(text) - 2.0 * linked)
         whole += worth
@@ -177,7 +237,7 @@ def _outer(found: list[tuple[tuple[str, ...], str, int]], path: str) -> str:
 
 def extract(page: str, wanted: list[str]) -> str:
     """The blocks around the first of the wanted paths that the page has text at; all blocks if it has none of them."""
-    found = list(blocks(page))
+    found = blocks(page)
     for path in wanted:
         if any(path in paths for paths, _, _ in found):
             path = _outer(found, path)
