@@ -1,4 +1,5 @@
 import json
+from dataclasses import replace
 
 import pytest
 
@@ -99,3 +100,27 @@ def test_parsers():
     js = c_like.javascript("const a = require('./a');\nrequire(b);\n// require('no')\nfunction g() {}\nclass H {}\n")
     assert [(x[1], x[3]) for x in js["import"]] == [("./a", "require"), ("", "dynamic")]
     assert [x[2] for x in js["symbol"]] == ["function:g", "class:H"]
+
+
+def with_edges(scan, pairs):
+    spark = scan.nodes.sparkSession
+    ids = sorted({x for p in pairs for x in p})
+    nodes = scan.nodes.drop("id").limit(1).crossJoin(spark.createDataFrame([(i,) for i in ids], "id string"))
+    return replace(scan, nodes=nodes, edges=spark.createDataFrame(pairs, "src string, dst string"))
+
+
+def test_audit_and_trends_know_long_cycles(scan, tmp_path):
+    path = [(f"f{i}", f"f{i + 1}") for i in range(8)]
+    ring = with_edges(scan, [*path, ("f8", "f0")])
+    row = project.audit(ring)["report"].first()
+    assert (row.total_cycles, row.longest, row.nodes_in_cycles, row.percent, row.severity, row.truncated) == (1, 9, 9, 100.0, "SEVERE", False)
+    row = project.audit(ring, 8)["report"].first()
+    assert (row.total_cycles, row.nodes_in_cycles, row.severity, row.truncated) == (0, 9, "SEVERE", True)
+    project.save_snapshot(with_edges(scan, path), str(tmp_path), "before")
+    assert [(r.kind, r.severity) for r in project.check_trends(ring, str(tmp_path), "before").where("kind = 'new_cycles'").collect()] == [("new_cycles", "CRITICAL")]
+
+
+def test_trends_of_an_unchanged_graph_of_many_cycles(scan, tmp_path):
+    dense = with_edges(scan, [(f"f{i}", f"f{j}") for i in range(6) for j in range(6) if i != j])
+    project.save_snapshot(dense, str(tmp_path), "same")
+    assert project.check_trends(dense, str(tmp_path), "same").collect() == []

@@ -23,7 +23,7 @@ def parser() -> argparse.ArgumentParser:
     add("trace", arg("files", nargs="+"), arg("--max-chains", type=int, default=50))
     add("diff", arg("--staged", action="store_true"), arg("--ref"), arg("--max-chains", type=int, default=50))
     add("cycles", arg("--max-length", type=int))
-    add("report", arg("--json-output"), arg("--markdown-output"), arg("--sarif-output"))
+    add("report", arg("--max-length", type=int), arg("--json-output"), arg("--markdown-output"), arg("--sarif-output"))
     add("doctor")
     add("callgraph", arg("--file"), arg("--format", choices=["json", "mermaid", "dot"], default="json"), arg("--max-nodes", type=int, default=100), out)
     add("viz", arg("--format", choices=["html", "mermaid", "dot"], default="html"), arg("--focus"), arg("--depth", type=int, default=1), out)
@@ -64,7 +64,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
     elif a.verb == "cycles":
         put(render.audit_json(project.cycle_tables(s, a.max_length)), None)
     elif a.verb == "report":
-        tables = project.audit(s)
+        tables = project.audit(s, a.max_length)
         put(render.audit_json(tables), a.json_output)
         if a.markdown_output:
             put(render.markdown("Audit", tables), a.markdown_output)

@@ -92,13 +92,24 @@ def severity(cycles: Column, share: Column) -> Column:
     return F.when(cycles == 0, "NONE").when((cycles > 20) | (share > 30), "SEVERE").when((cycles > 5) | (share > 10), "MODERATE").otherwise("MINOR")
 
 
-def cycle_report(nodes: DataFrame, cycles: DataFrame) -> DataFrame:
-    """One row: number of cycles, nodes on them, their percentage, longest length, severity."""
-    on = cycles.select(F.explode("nodes").alias("id")).agg(F.count_distinct("id").alias("nodes_in_cycles"))
+def cycle_report(nodes: DataFrame, cycles: DataFrame, components: DataFrame | None = None, max_length: int | None = None) -> DataFrame:
+    """One row: number of cycles, nodes on them, their percentage, longest length, severity.
+
+    With strong components (id, component), nodes are counted by those, so a
+    bound on the length of cycles loses none; then truncated tells whether
+    there may be cycles beyond max_length, and total_cycles, longest and
+    severity are the least there can be.
+    """
+    on = cycles.select(F.explode("nodes").alias("id")) if components is None else components
+    on = on.agg(F.count_distinct("id").alias("nodes_in_cycles"))
     all_ = cycles.agg(F.count(F.lit(1)).alias("total_cycles"), F.coalesce(F.max("length"), F.lit(0)).alias("longest"))
     share = F.round(F.coalesce(F.try_divide("nodes_in_cycles", "n") * 100, F.lit(0.0)), 6)
     out = all_.crossJoin(on).crossJoin(nodes.agg(F.count(F.lit(1)).alias("n"))).select("total_cycles", "longest", "nodes_in_cycles", share.alias("percent"))
-    return out.withColumn("severity", severity(F.col("total_cycles"), F.col("percent")))
+    if components is None:
+        return out.withColumn("severity", severity(F.col("total_cycles"), F.col("percent")))
+    out = out.withColumn("severity", severity(F.greatest("total_cycles", (F.col("nodes_in_cycles") > 0).cast("long")), F.col("percent")))
+    size = components.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
+    return out.crossJoin(size).withColumn("truncated", F.lit(False) if max_length is None else F.col("largest") > max_length).drop("largest")
 
 
 def participants(cycles: DataFrame, n: int = 10) -> DataFrame:

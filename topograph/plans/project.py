@@ -79,7 +79,7 @@ def score(s: Scan, paths: DataFrame, hotspots: DataFrame | None = None, symbols:
     """(components, total) of the risk of changing paths (id)."""
     known = paths.join(s.nodes.select("id"), "id", "left_semi")
     blast = impact.impact_together(s.nodes, s.edges, known)
-    found = cycles.simple_cycles(s.edges, 8) if with_cycles else None
+    found = cycles.simple_cycles(s.edges) if with_cycles else None
     parts = materialize(risk.risk_components(paths, known, s.nodes, s.degrees, centrality.betweenness(s.nodes, s.edges), blast, hotspots, found, symbols, s.config.weights), "risk")
     return parts, risk.risk_total(parts, s.config.high_threshold, s.config.medium_threshold)
 
@@ -93,7 +93,8 @@ def trace(s: Scan, paths: list[str], max_chains: int = 50) -> dict[str, DataFram
 
 def cycle_tables(s: Scan, max_length: int | None = None, keep: int = 100) -> dict[str, DataFrame]:
     found = materialize(cycles.simple_cycles(s.edges, max_length), "cycles")
-    return {"cycles": found.orderBy("length", "nodes").limit(keep), "report": cycles.cycle_report(s.nodes, found), "participants": cycles.participants(found)}
+    parts = materialize(cycles.strong_components(s.edges), "components")
+    return {"cycles": found.orderBy("length", "nodes").limit(keep), "report": cycles.cycle_report(s.nodes, found, parts, max_length), "participants": cycles.participants(found)}
 
 
 def call_graph(s: Scan) -> dict[str, DataFrame]:
@@ -128,19 +129,22 @@ def history_of(spark: SparkSession, root: str, days: int = 90) -> DataFrame:
 
 
 def save_snapshot(s: Scan, store: str, tag: str, commit: str = "unknown", message: str = "") -> None:
-    found = cycles.simple_cycles(s.edges, 8).orderBy("length", "nodes").limit(100)
+    found = cycles.simple_cycles(s.edges)
     snapshots.save(store, tag, snapshots.metrics(tag, s.degrees, centrality.betweenness(s.nodes, s.edges)), s.edges, found, commit, message)
 
 
 def check_trends(s: Scan, store: str, tag: str) -> DataFrame:
-    """Alerts of the scan against a saved snapshot; nothing is written."""
+    """Alerts of the scan against a saved snapshot; nothing is written.
+
+    The snapshot's cycles are those of its edges, as an older one may have been saved without all of them.
+    """
     spark = s.nodes.sparkSession
-    old = {name: snapshots.table(spark, store, name).where(F.col("tag") == snapshots.find_tag(spark, store, tag)) for name in ("metrics", "edges", "cycles")}
-    return snapshots.trend_alerts(old["metrics"], snapshots.metrics("now", s.degrees), old["edges"], s.edges, old["cycles"], cycles.simple_cycles(s.edges, 8))
+    old = {name: snapshots.table(spark, store, name).where(F.col("tag") == snapshots.find_tag(spark, store, tag)) for name in ("metrics", "edges")}
+    return snapshots.trend_alerts(old["metrics"], snapshots.metrics("now", s.degrees), old["edges"], s.edges, cycles.simple_cycles(old["edges"]), cycles.simple_cycles(s.edges))
 
 
-def audit(s: Scan) -> dict[str, DataFrame]:
-    c = cycle_tables(s, 8)
+def audit(s: Scan, max_length: int | None = None) -> dict[str, DataFrame]:
+    c = cycle_tables(s, max_length)
     deg = s.degrees
     return {"stats": stats(s), "languages": graph.language_breakdown(s.files), "top_in": graph.top(deg, "in_degree"), "top_out": graph.top(deg, "out_degree"), "high_risk": graph.high_risk(deg), **c, "unresolved": s.deps.where("is_unresolved").select("path", "line", "raw_text", "resolution_note").distinct().orderBy("path", "line", "raw_text").limit(50), "external": s.deps.where("is_external and not is_unresolved").select("raw_text").distinct().orderBy("raw_text").limit(50)}
 
