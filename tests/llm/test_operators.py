@@ -137,6 +137,13 @@ def test_repeats_of_repeated_rows(spark, hot, other):
     assert all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id] for r in rows if r.doc_id in want)
 
 
+def test_repeats_with_the_kept_text(spark):
+    docs = [*corpus(12, 5), (1000, "ab" * 300), (1000, "ab" * 300), (None, "ab" * 300), (1001, None)]
+    rows = repeats.remove_repeats(frame(spark, docs), keep_text=True).collect()
+    assert len(rows) == len(docs) and any(r.n_removed for r in rows)
+    assert all(len(r.kept.encode()) == r.n_bytes - r.n_removed and hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in rows)
+
+
 def test_repeats_across_segments_of_a_long_text():
     rng = random.Random(2)
     data = np.frombuffer(bytes(rng.choice(b"abcd ") for _ in range(3 * (1 << 16))), np.uint8)

@@ -423,4 +423,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.when(copy, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))).otherwise(F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"))).alias("spans"),
         "sha",
     )
-    return out
+    if not keep_text:
+        return out
+    whole = docs.select(F.col(id_col).cast("long").alias(id_col), text.alias("kept"), F.sha2(text, 256).alias("_of")).distinct()
+    left = kept_texts(whole, out, id_col, "kept").withColumnRenamed(id_col, "_left")
+    return out.join(left, F.col(id_col).eqNullSafe(F.col("_left")) & (F.col("sha") == F.col("_of")), "left").drop("_left", "_of")
