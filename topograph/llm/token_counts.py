@@ -1,106 +1,108 @@
 """Operator 6: documents counted in flat token files that have no index.
 
 A flat file is a run of little-endian ids, each document ended by the
-end-of-document id. Files are cut into blocks of equal size. Within a block a
+end-of-document id. Files are cut into blocks of equal size, one row for each
+byte range, which tasks open and seek to on their own. Within a block a
 vectorised comparison finds the separators; a prefix scan over the blocks of a
 file, of one short row each, says where the document that is open at a
-block's start began and how many ended before.
+block's start began and how many ended before. That scan is one sort for each
+file over rows of some 40 bytes: 1 TB in one file is a million of them.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from topograph.functions.scratch import materialize
+from topograph.functions.scratch import materialize, scratch_path
 from topograph.llm.bpe import automaton, vocabulary
+from topograph.llm.text import byte_column
 
-#: Bytes of a block; even, so that no id of 2 or 4 bytes is cut.
-BLOCK = 1 << 18
+#: Bytes of a block; a multiple of 4, so that no id of 2 or 4 bytes is cut.
+BLOCK = 1 << 20
 
 
-def token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "byte_bpe_50k.json", eod: int = 50256, block: int = BLOCK) -> DataFrame:
-    """(file, block, data, ids): each partition's documents as one flat file of uint16 ids, in blocks.
+def token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "byte_bpe_50k.json", eod: int = 50256) -> DataFrame:
+    """(file, length, ordinal, id): documents in flat files of uint16 ids in the shared folder, one file for each partition.
 
     Strings of special tokens in a text are encoded as ordinary text, so only
-    separators have the id eod. ids are those of the documents that end in the
-    block: what a scan that knows only data can be held against. A null text
-    is a document of no tokens.
+    separators have the id eod. A null text is a document of no tokens. An
+    attempt that is lost leaves a file that no row names.
     """
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.spark_partition_id().alias("file"))
+    folder = scratch_path(docs.sparkSession, "flat")
+    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton(vocabulary(name))
-        buffer, ends, number, file = bytearray(), [], 0, 0
-        sent = 0
-
-        def cut(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal number, sent
-            while len(buffer) >= block or (last and buffer):
-                data = bytes(buffer[:block])
-                del buffer[:block]
-                sent += len(data)
-                mine = []
-                while ends and ends[0][0] <= sent:
-                    mine.append(ends.pop(0)[1])
-                yield pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([number], pa.int64()), pa.array([data], pa.binary()), pa.array([mine], pa.list_(pa.int64()))], ["file", "block", "data", "ids"])
-                number += 1
-
-        total = 0
+        uri = f"{folder}/{uuid.uuid4().hex}.bin"
+        system, path = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+        out, size, n = None, 0, 0
         for batch in batches:
-            if batch.num_rows:
-                file = batch.column("file")[0].as_py()
-            for doc, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.array([*auto.encode(text.as_py() or "", special=False), eod], "<u2").tobytes()
-                buffer += ids
-                total += len(ids)
-                ends.append((total, doc))
-                if len(buffer) >= block:
-                    yield from cut(False)
-        yield from cut(True)
+            if out is None:
+                system.create_dir(path.rpartition("/")[0], recursive=True)
+                out = system.open_output_stream(path)
+            data, offsets = byte_column(batch.column("text"))
+            for _, _, ids, ends in auto.rows(data, offsets, special=False):
+                flat = np.insert(ids, ends, eod).astype("<u2").tobytes()
+                out.write(flat)
+                size += len(flat)
+            k = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([uri] * k, pa.string()), pa.nulls(k, pa.int64()), pa.array(np.arange(n, n + k)), batch.column("id")], ["file", "length", "ordinal", "id"])
+            n += k
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([size]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], ["file", "length", "ordinal", "id"])
 
-    return given.mapInArrow(run, "file int, block long, data binary, ids array<long>")
+    return given.mapInArrow(run, "file string, length long, ordinal long, id long")
 
 
-def file_blocks(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """(file, block, data) of flat token files under path; a task holds one file at a time."""
-    files = spark.read.format("binaryFile").load(path)
-    at = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("length") / block) - 1, F.lit(0)).cast("int"))).alias("block")
-    cut = files.select(F.col("path").alias("file"), "content", at)
-    return cut.select("file", F.col("block").cast("long").alias("block"), F.substring("content", (F.col("block") * block + 1).cast("int"), F.lit(block)).alias("data"))
+def files_under(spark: SparkSession, path: str) -> DataFrame:
+    """(file, length) of the files under path, of any size; they are listed, not read."""
+    return spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", "^file:/+", "file:///").alias("file"), "length")
 
 
-def scan(blocks: DataFrame, eod: int = 50256, width: int = 2, block: int = BLOCK) -> DataFrame:
-    """(file, block, first_document, lengths): the documents that end in each block, in order, in tokens.
+def scan(files: DataFrame, eod: int = 50256, width: int = 2, block: int = BLOCK) -> DataFrame:
+    """(file, block, first_document, lengths) of files (file, length): the documents that end in each block, in order, in tokens.
 
     A document that no separator ends has one more row: block is null and
-    lengths its length, unless it is empty. Other columns of blocks, but data,
-    are kept.
+    lengths its length, unless it is empty. Files without bytes give no rows;
+    files that are named twice count once, null names not at all. Other
+    columns of files play no part. file is a URI of a store that pyarrow can
+    open in every task.
     """
     per_block = block // width
-    names = [c for c in blocks.columns if c != "data"]
+    given = files.where("file is not null and length > 0").groupBy("file").agg(F.max("length").alias("length"))
+    ranges = given.select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {block}"))).alias("block"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, source = None, None
         for batch in batches:
             places, sizes = [], []
-            for data, number in zip(batch.column("data"), batch.column("block").to_pylist(), strict=True):
-                ids = np.frombuffer(data.as_buffer() or b"", f"<u{width}")
+            for file, length, number in zip(*(batch.column(c).to_pylist() for c in ("file", "length", "block")), strict=True):
+                if file != held:
+                    if source is not None:
+                        source.close()
+                    system, path = fs.FileSystem.from_uri(file) if "://" in file else (fs.LocalFileSystem(), file)
+                    held, source = file, system.open_input_file(path)
+                data = source.read_at(min(block, length - number * block), number * block)
+                ids = np.frombuffer(data, f"<u{width}", len(data) // width)
                 places.append(np.flatnonzero(ids == eod) + number * per_block)
                 sizes.append(len(ids))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in places])]).astype(np.int32)
             flat = np.concatenate(places) if places else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))], [*names, "n", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))], ["file", "block", "n", "places"])
+        if source is not None:
+            source.close()
 
-    from pyspark.sql import types as T
-
-    schema = T.StructType([blocks.schema[c] for c in names]).add("n", T.LongType()).add("places", T.ArrayType(T.LongType()))
-    found = materialize(blocks.mapInArrow(find, schema), "separators")
-    order = Window.partitionBy("file").orderBy("block")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.repartition("file", F.expr(f"block div {max(1, (16 << 20) // block)}")).sortWithinPartitions("file", "block")
+    found = materialize(ranges.mapInArrow(find, "file string, block long, n long, places array<long>"), "separators")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     slim = found.select("file", "block", "n", F.size("places").alias("ended"), F.try_element_at("places", F.lit(-1)).alias("last"))
     carried = slim.select(
         "file", "block",
@@ -108,22 +110,24 @@ def scan(blocks: DataFrame, eod: int = 50256, width: int = 2, block: int = BLOCK
         F.coalesce(F.max("last").over(before), F.lit(-1)).alias("since"),
     )
     stitched = found.join(carried, ["file", "block"]).select(
-        *names, "first_document",
+        "file", "block", "first_document",
         F.transform("places", lambda p, i: p - F.when(i == 0, F.col("since")).otherwise(F.element_at("places", F.greatest(i, F.lit(1)))) - 1).alias("lengths"),
     )
     whole = slim.groupBy("file").agg(F.sum("n").alias("n"), F.sum("ended").alias("first_document"), F.coalesce(F.max("last"), F.lit(-1)).alias("last")).where("n - 1 > last")
-    nulls = [F.lit(None).cast(blocks.schema[c].dataType).alias(c) for c in names if c != "file"]
-    rest = whole.select("file", "first_document", F.array(F.col("n") - 1 - F.col("last")).alias("lengths"), *nulls)
-    return stitched.unionByName(rest.select(*names, "first_document", "lengths"))
+    rest = whole.select("file", F.lit(None).cast("long").alias("block"), "first_document", F.array(F.col("n") - 1 - F.col("last")).alias("lengths"))
+    return stitched.union(rest)
 
 
 def document_token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(id_col, file, ordinal, n_tokens) of every row of docs, counted from the flat files alone.
 
-    A null or empty text has 0 tokens; rows that repeat and null ids are
-    counted each; an empty table has no files and no rows.
+    file numbers the files by their names. A null or empty text has 0 tokens;
+    rows that repeat and null ids are counted each; an empty table has no files
+    and no rows; texts of any length may run over many blocks. Other columns
+    play no part.
     """
-    stored = materialize(token_blocks(docs, id_col, text_col, block=block), "tokens")
-    found = scan(stored, block=block)
-    each = found.select("file", "first_document", F.posexplode(F.arrays_zip("ids", "lengths")).alias("at", "x"))
-    return each.select(F.col("x.ids").alias(id_col), F.col("file").cast("long").alias("file"), (F.col("first_document") + F.col("at")).alias("ordinal"), F.col("x.lengths").alias("n_tokens"))
+    stored = materialize(token_files(docs, id_col, text_col), "tokens")
+    found = scan(stored.where("length is not null").select("file", "length"), block=block)
+    each = found.where("block is not null").select("file", "first_document", F.posexplode("lengths").alias("at", "n_tokens")).select("file", (F.col("first_document") + F.col("at")).alias("ordinal"), "n_tokens")
+    named = stored.where("length is null").select("file", "ordinal", F.col("id").alias(id_col))
+    return named.join(each, ["file", "ordinal"]).select(id_col, F.xxhash64("file").alias("file"), "ordinal", "n_tokens")
