@@ -7,6 +7,9 @@ links. The path of tags and classes to that, generalised so that numbers and
 the like don't count, is the page's vote. Spark sums the votes of each host.
 Then each page is read again and the text comes from the path with the most
 votes that the page has.
+
+Reading looks at every character a bounded number of times: the open elements
+are also listed by tag, and paths are numbered nodes of a tree.
 """
 
 from __future__ import annotations
@@ -26,233 +29,286 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = set("article main section div body td center blockquote form ul ol table figure".split())
-#: Elements that never hold main text, and words of a class, id or role that say the same.
-ASIDE = set("head nav footer header aside form script style noscript template iframe svg math canvas audio video object button select option textarea input label menu dialog map title".split())
+#: Elements that never hold main text, and words of a block's class, id or role that say the same.
+ASIDE = set("head nav footer aside script style noscript template iframe svg math canvas audio video object button select option textarea input label menu dialog map title".split())
 ASIDE_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments respond disqus cookie cookies consent notice notices alert gdpr popup modal overlay share sharing social related recommended newsletter subscribe signup login pagination pager toolbar widget complementary contentinfo search".split())
 #: Of these, words that stay in force however much text the element holds.
 _NEVER = set("comment comments respond disqus cookie cookies consent gdpr".split())
+#: Characters that an element with such a name, and without an article, must hold to count as the page's text.
+ENOUGH = 250
 #: has-sidebar, tag-search or comments-open say something of a page or its subject, not that this is a sidebar.
 _ABOUT = re.compile(r"(?:has|have|with|without|no|non|not|hide|show|tag|category|cat|topic|type|format)[-_].*|[a-z]+[-_](?:open|closed|enabled|disabled)")
 _SPLIT = re.compile(r"[^a-z]+")
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_END = re.compile(r">|=\s*(?:\"[^\"]*\"|'[^']*')")
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 #: p ends where a block begins; these end at a sibling of their kind.
-_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
-
-
-class _Element:
-    __slots__ = ("aside", "link", "never", "owner", "path", "tag")
-
-    def __init__(self, tag: str, path: str, aside: bool, link: bool, never: bool, owner: int):
-        self.tag, self.path, self.aside, self.link, self.never, self.owner = tag, path, aside, link, never, owner
+_ENDS = {"li": ["li"], "dt": ["dt", "dd"], "dd": ["dt", "dd"], "tr": ["tr", "td", "th"], "td": ["td", "th"], "th": ["td", "th"], "option": ["option"]}
+_SCOPE = {"li": ["ul", "ol", "menu"], "dt": ["dl"], "dd": ["dl"], "tr": ["table"], "td": ["table", "tr"], "th": ["table", "tr"], "option": ["select"]}
 
 
 class _Named:
-    """An element whose names say that it isn't main text; own is its unlinked text outside of others within it."""
+    """An element whose names, or tag, say that it isn't main text; own is its unlinked text outside of others within it."""
 
-    __slots__ = ("article", "main", "never", "own", "owner")
+    __slots__ = ("article", "main", "never", "own", "owner", "wrapper")
 
-    def __init__(self, owner: int, never: bool):
-        self.owner, self.never, self.own, self.main, self.article = owner, never, 0, False, False
+    def __init__(self, owner: int, never: bool, wrapper: bool):
+        self.owner, self.never, self.wrapper, self.own, self.main, self.article = owner, never, wrapper, 0, False, False
 
 
-def _spared(named: list[_Named]) -> set[int]:
-    """The numbers of elements that hold the page's text for all that their names say; the first of named is the page.
+def _spared(named: list[_Named]) -> list[bool]:
+    """Which elements hold the page's text for all that their names say; the first of named is the page.
 
     They hold main, or more than half of the text, and an article or nine tenths of all but what
-    other names rule out.
+    other names rule out. A header must hold main or an article.
     """
     inside = [e.own for e in named]
     for k in range(len(named) - 1, 0, -1):  # elements come before those within
         e, above = named[k], named[named[k].owner]
-        if e.never and not e.main:
+        if not e.main and (e.never or e.wrapper and not e.article):
             inside[k] = 0
             continue
         inside[e.owner] += inside[k]
         above.main |= e.main
         above.article |= e.article
-    spared, outside = {0}, [0] * len(named)
+    spared, outside = [True] + [False] * (len(named) - 1), [0] * len(named)
     for k, e in enumerate(named[1:], 1):
-        if e.owner not in spared:
+        if not spared[e.owner]:
             continue
         outside[k] = outside[e.owner] + named[e.owner].own
         least = 0.5 if e.article else 0.9
-        if e.main or not e.never and 2 * inside[k] > inside[0] and inside[k] > least * (inside[k] + outside[k]):
-            spared.add(k)
+        much = 2 * inside[k] > inside[0] and inside[k] > least * (inside[k] + outside[k]) and (e.article or inside[k] >= ENOUGH)
+        spared[k] = e.main or not e.never and much
     return spared
 
 
 def _step(tag: str, attributes: str) -> tuple[str, set[str], bool]:
     """A step of a generalised path, the names' words that say this isn't main text, and whether it is hidden."""
-    names: dict[str, str] = {}
-    for m in _NAMES.finditer(attributes):
-        names.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
-    words = {w for n in names.values() for c in n.split() if not _ABOUT.fullmatch(c) for w in _SPLIT.split(c)}
-    classes = sorted({re.sub(r"\d+", "#", c) for c in names.get("class", "").split()})
-    return ".".join([tag, *classes]), words & ASIDE_WORDS if tag not in ("html", "body") else set(), bool(_HIDDEN.search(attributes))
-
-
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(paths of the open elements, text, linked characters) of each block of main text, in page order."""
-    named = [_Named(0, False)]
-    found = list(_read(page, {0}, named))
-    spared = _spared(named) if len(named) > 1 else {0}
-    return found if len(spared) == 1 else list(_read(page, spared, [_Named(0, False)]))
-
-
-def _read(page: str, spared: set[int], named: list[_Named]) -> Iterator[tuple[tuple[str, ...], str, int]]:
-    """blocks() where the names of the spared elements don't count; all elements with such names are added to named."""
-    open_: list[_Element] = [_Element("", "", False, False, False, 0)]
-    text: list[str] = []
-    linked = 0
-    at = 0
-
-    def flush() -> Iterator[tuple[tuple[str, ...], str, int]]:
-        nonlocal linked
-        if text:
-            joined = " ".join(html.unescape("".join(text)).split())
-            text.clear()
-            if joined:
-                yield tuple(e.path for e in open_ if e.tag in CONTAINER), joined, linked
-        linked = 0
-
-    def add(some: str) -> None:
-        nonlocal linked
-        top = open_[-1]
-        if some and not top.never:
-            if not top.link:
-                named[top.owner].own += len(some.strip())
-            if not top.aside:
+    given: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        given.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+    classes = given.get("class", "").split()
+    words: set[str] = set()
+    if tag in BLOCK and tag not in ("html", "body"):
+        names = [*classes, *given.get("id", "").split(), *given.get("role", "").split()]
+        words = {w for c in names if not _ABOUT.fullmatch(c) for w in _SPLIT.split(c)} & ASIDE_WORDS
+    hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in "".join(given.get("style", "").split())
+    return ".".join([tag, *sorted({re.sub(r"\d+", "#", c) for c in classes})]), words, hidden
+
+
+class Page:
+    """The blocks of main text of a page, in order, and the paths of the containers around them as a tree."""
+
+    def __init__(self, page: str):
+        self.parent, self.steps, self.numbers = [0], [""], {}
+        #: (path, text, linked characters)
+        self.blocks: list[tuple[int, str, int]] = []
+        named = [_Named(0, False, False)]
+        found = list(self._read(page, named))
+        spared = _spared(named)
+        self.blocks = [(path, text, linked) for path, text, linked, owner in found if spared[owner]]
+        n = len(self.parent)
+        self.chars, self.links, self.scores = [0] * n, [0] * n, [0.0] * n
+        for path, text, linked in self.blocks:
+            self.chars[path] += len(text)
+            self.links[path] += min(linked, len(text))
+            self.scores[path] += max(0.0, len(text) - 2.0 * linked)
+        for k in range(n - 1, 0, -1):  # a path comes before those within
+            above = self.parent[k]
+            self.chars[above] += self.chars[k]
+            self.links[above] += self.links[k]
+            self.scores[above] += 0.85 * self.scores[k]
+
+    def _read(self, page: str, named: list[_Named]) -> Iterator[tuple[int, str, int, int]]:
+        """(path, text, linked characters, named element) of each block; all elements with names of boilerplate are added to named."""
+        # tag, path, named element around it, whether its text never counts, whether it is linked
+        open_: list[tuple[str, int, int, bool, bool]] = [("", 0, 0, False, False)]
+        where: dict[str, list[int]] = {}
+        block_at: list[int] = [0]
+        text: list[str] = []
+        linked = at = pos = 0
+        n = len(page)
+
+        def flush() -> Iterator[tuple[int, str, int, int]]:
+            nonlocal linked
+            if text:
+                joined = " ".join(html.unescape("".join(text)).split())
+                text.clear()
+                if joined:
+                    _, path, owner, _, _ = open_[-1]
+                    yield path, joined, linked, owner
+            linked = 0
+
+        def add(some: str) -> None:
+            nonlocal linked
+            _, _, owner, never, link = open_[-1]
+            if some and not never:
                 text.append(some)
-                if top.link:
+                if link:
                     linked += len(some)
-
-    pos = 0
-    n = len(page)
-    while pos < n:
-        m = _TAG.search(page, pos)
-        if not m:
-            break
-        add(page[at : m.start()])
-        at = pos = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag == "p" and not any(e.tag == "p" for e in open_):
-                yield from flush()
+                else:
+                    named[owner].own += len(some.strip())
+
+        def close(upto: int) -> None:
+            while len(open_) > upto:
+                tag = open_.pop()[0]
+                where[tag].pop()
+            while block_at[-1] >= upto:
+                block_at.pop()
+
+        def last(tags: list[str]) -> int:
+            return max(where[t][-1] if where.get(t) else 0 for t in tags)
+
+        while True:
+            lt = page.find("<", pos)
+            if lt < 0:
+                break
+            c = page[lt + 1 : lt + 2]
+            ending = c == "/"
+            name = _NAME.match(page, lt + 2 if ending else lt + 1)
+            if name is None:
+                if c not in ("!", "?", "/") or not c:
+                    pos = lt + 1
+                    continue
+                add(page[at:lt])  # a comment or the like
+                mark = "-->" if page.startswith("<!--", lt) else ">"
+                end = page.find(mark, lt + 2)
+                at = pos = end + len(mark) if end >= 0 else n
                 continue
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag == tag:
-                    if tag in BLOCK or any(e.tag in BLOCK for e in open_[i:]):
-                        if tag not in BLOCK:  # an inline end tag closes no block
-                            break
+            end = name.end()
+            found = _END.search(page, end)
+            while found and found[0] != ">":
+                found = _END.search(page, found.end())
+            add(page[at:lt])
+            if found is None:  # the page ends within a tag
+                at = n
+                break
+            attributes = page[end : found.start()]
+            at = pos = found.end()
+            tag = name[0].lower()
+            block = tag in BLOCK
+            if ending:
+                i = where[tag][-1] if where.get(tag) else 0
+                if block:
+                    if i or tag == "p":
                         yield from flush()
-                    del open_[i:]
-                    break
-            continue
-        if tag == "br":
-            add(" ")
-            continue
-        if tag in BLOCK:
-            yield from flush()
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag == "p":
-                    del open_[i:]
-                    break
-                if open_[i].tag in BLOCK:
-                    break
-            if tag in _ENDS:
-                for i in range(len(open_) - 1, 0, -1):
-                    if open_[i].tag in _ENDS[tag]:
-                        del open_[i:]
-                        if tag != "tr" or not any(e.tag == "tr" for e in open_):
+                    if i:
+                        close(i)
+                elif i > block_at[-1]:  # an inline end tag closes no block
+                    close(i)
+                continue
+            if tag == "br":
+                add(" ")
+                continue
+            if block:
+                yield from flush()
+                if open_[block_at[-1]][0] == "p":
+                    close(block_at[-1])
+                if tag in _ENDS:
+                    while (i := last(_ENDS[tag])) > last(_SCOPE[tag]):
+                        close(i)
+                        if tag != "tr":
                             break
-                    elif open_[i].tag in _SCOPE[tag]:
-                        break
-        if tag in VOID:
-            continue
-        step, words, hidden = _step(tag, m[3]) if m[3] else (tag, set(), False)
-        top = open_[-1]
-        never = top.never or tag in ASIDE or hidden
-        aside, owner = top.aside or never, top.owner
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
-            inside = page[pos : end.start()] if end else page[pos:]
-            at = pos = end.end() if end else n
-            if tag == "textarea" and not aside:
-                add(inside)
-            continue
-        if m[3].rstrip().endswith("/") and tag not in BLOCK:
-            continue
-        if words and not never:
-            owner = len(named)
-            named.append(_Named(top.owner, bool(words & _NEVER)))
-            aside = aside or owner not in spared
-        if tag == "main" and not never:
-            named[owner].main = True
-        if tag == "article" and not (never or words & _NEVER):
-            named[owner].article = True
-        open_.append(_Element(tag, f"{top.path}>{step}" if tag in CONTAINER or tag == "html" else top.path, aside, top.link or tag == "a", never, owner))
-    add(page[at:])
-    yield from flush()
+            if tag in VOID:
+                continue
+            step, words, hidden = _step(tag, attributes) if attributes else (tag, set(), False)
+            _, path, owner, never, link = open_[-1]
+            never = never or tag in ASIDE or hidden
+            if tag in RAW:
+                stop = _RAW_END[tag].search(page, pos)
+                if stop is None:
+                    at = n
+                    break
+                close_at = page.find(">", stop.end())
+                at = pos = close_at + 1 if close_at >= 0 else n
+                continue
+            if attributes.rstrip().endswith("/") and not block:
+                continue
+            if (words or tag in ("form", "header")) and not never:
+                named.append(_Named(owner, bool(words & _NEVER), tag == "header"))
+                owner = len(named) - 1
+            if tag == "main" and not never:
+                named[owner].main = True
+            if tag == "article" and not (never or words & _NEVER):
+                named[owner].article = True
+            if tag in CONTAINER or tag == "html":
+                key = path, step
+                path = self.numbers.get(key, 0)
+                if not path:
+                    path = self.numbers[key] = len(self.steps)
+                    self.steps.append(step)
+                    self.parent.append(key[0])
+            if block:
+                block_at.append(len(open_))
+            where.setdefault(tag, []).append(len(open_))
+            open_.append((tag, path, owner, never, link or tag == "a"))
+        add(page[at:])
+        yield from flush()
+
+    def best(self) -> int:
+        """The container around the most own text, and what stands around it; 0, the page, where there is none."""
+        top = max(range(len(self.scores)), key=lambda k: (self.scores[k] if k else 0.0, -k))
+        return self.outer(top)
+
+    def outer(self, path: int) -> int:
+        """The outermost container of path whose other text is mostly unlinked, with few links beside all it holds."""
+        best, at = path, self.parent[path]
+        while at:
+            added, linked = self.chars[at] - self.chars[path], self.links[at] - self.links[path]
+            if self.chars[at] > self.chars[best] and 2 * linked <= added and 10 * linked <= self.chars[at]:
+                best = at
+            at = self.parent[at]
+        return best
+
+    def name(self, path: int) -> str:
+        """The steps to a path, parted by spaces."""
+        out = []
+        while path:
+            out.append(self.steps[path])
+            path = self.parent[path]
+        return " ".join(reversed(out))
+
+    def find(self, name: str) -> int:
+        """The path of that name if the page has text there, else 0."""
+        at = 0
+        for step in name.split(" "):
+            at = self.numbers.get((at, step), 0)
+            if not at:
+                return 0
+        return at if self.chars[at] else 0
+
+    def text(self, path: int) -> str:
+        """The blocks in a container; in the page if path is 0."""
+        inside = [path == 0] * len(self.parent)
+        for k in range(1, len(inside)):
+            inside[k] = k == path or inside[self.parent[k]]
+        return "\n".join(text for p, text, _ in self.blocks if inside[p])
 
 
 def votes(page: str) -> list[tuple[str, float]]:
     """(path, score) of the container around the most own text; none for a page without text."""
-    scores: dict[str, float] = {}
-    whole = 0.0
-    found = blocks(page)
-    for paths, text, linked in found:
-        worth = max(0.0, len(text) - 2.0 * linked)
-        whole += worth
-        for above, path in enumerate(reversed(paths)):
-            scores[path] = scores.get(path, 0.0) + worth * 0.85**above
-    if not scores:
-        return []
-    best = max(scores, key=lambda p: (scores[p], -len(p), p))
-    return [(_outer(found, best), scores[best])] if scores[best] > 0 else []
-
-
-def _outer(found: list[tuple[tuple[str, ...], str, int]], path: str) -> str:
-    """The outermost container of path whose other text is mostly unlinked, with few links beside all it holds."""
-    chain: tuple[str, ...] = ()
-    chars: dict[str, int] = {}
-    links: dict[str, int] = {}
-    for paths, text, linked in found:
-        if path in paths:
-            chain = paths
-        for p in paths:
-            chars[p] = chars.get(p, 0) + len(text)
-            links[p] = links.get(p, 0) + min(linked, len(text))
-    best = path
-    for p in reversed(chain[: chain.index(path)] if chain else ()):
-        added, linked = chars[p] - chars[path], links[p] - links[path]
-        if chars[p] > chars[best] and 2 * linked <= added and 10 * linked <= chars[p]:
-            best = p
-    return best
+    read = Page(page)
+    best = read.best()
+    return [(read.name(best), read.scores[best])] if best else []
 
 
 def extract(page: str, wanted: list[str]) -> str:
-    """The blocks around the first of the wanted paths that the page has text at; all blocks if it has none of them."""
-    found = blocks(page)
-    for path in wanted:
-        if any(path in paths for paths, _, _ in found):
-            path = _outer(found, path)
-            return "\n".join(text for paths, text, _ in found if path in paths)
-    return "\n".join(text for _, text, _ in found)
+    """The blocks around the first of the wanted paths that the page has text at; around its own best one if it has none of them."""
+    read = Page(page)
+    path = next((p for p in map(read.find, wanted) if p), 0)
+    return read.text(read.outer(path) if path else read.best())
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = 0.05) -> DataFrame:
     """(id_col, url_col, text, n_chars) for every row of pages.
 
-    A null or empty page, or one without main text, has an empty text. Pages
-    without a host vote together. Paths with at least share of a host's votes
-    stand for it, the most voted first; ties go to the lesser path. A page
-    that has none of them uses its own best one. Rows that repeat are read
-    each; other columns play no part.
+    A null or empty page, or one without main text, has an empty text; an
+    empty table gives no rows. Pages without a host vote together. Paths with
+    at least share of a host's votes stand for it, the most voted first; ties
+    go to the lesser path. A page that has none of them uses its own best one.
+    Rows that repeat vote and are read each; pages of any length are read in
+    time and memory in proportion; other columns play no part.
     """
     given = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"), host_of(F.col(url_col)).alias("host"))
 
@@ -278,9 +334,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         for batch in batches:
             texts = []
             for page, paths in zip(batch.column("html"), batch.column("paths").to_pylist(), strict=True):
-                page = page.as_py()
-                own = votes(page) if not paths else []
-                texts.append(extract(page, paths or [p for p, _ in own]))
+                texts.append(extract(page.as_py(), paths or []))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
     joined = given.join(winners, "host", "left").select("id", "url", "html", "paths")
