@@ -102,6 +102,33 @@ def test_parsers():
     assert [x[2] for x in js["symbol"]] == ["function:g", "class:H"]
 
 
+def test_scripts_with_regular_expressions():
+    text = "const r = /[/*]/;\nimport x from './a';\nfunction f() { return 1 / 2 / 3; }\nconst s = t.replace(/\"/g, '').split(/\\//);\nimport y from './b';\nconst q = a /b/ c; // import z from './no'\nclass K {}\n"
+    for parser in (c_like.javascript, c_like.typescript):
+        found = parser(text)
+        assert [(x[1], x[4]) for x in found["import"]] == [("./a", 2), ("./b", 5)]
+        assert [x[1] for x in found["symbol"]] == ["f", "K"]
+
+
+def test_types_without_bodies_hold_nothing():
+    found = c_like.kotlin("package a.b\nclass Point(val x: Int)\nfun top() { q.run() }\nobject O { fun k() = \"class Not { fun no() }\" }\n")
+    assert [x[2] for x in found["symbol"]] == ["class:Point", "class:O", "property:x", "function:top", "method:O.k"]
+    assert [(x[2], x[3]) for x in found["call"]] == [("q", "run")] and c_like.kotlin_package("// package no\npackage a.`in`.b\n") == "a.in.b"
+    assert c_like.java("interface A; class B { String s = \"Foo.bar()\"; void m() { Foo.go(); } }")["call"] == [("method:Foo.go", "", "Foo", "go", 1)]
+
+
+def test_large_files_are_parsed_in_a_moment():
+    import time
+
+    text = "".join(f"class C{i} {{\n  a: number = 1;\n  m{i}(x: string): void {{ if (x) {{ y(); }} }}\n}}\n" for i in range(6000))
+    start = time.process_time()
+    assert len(text) > 400_000 and len(c_like.typescript(text)["symbol"]) == 18_000
+    for hostile in ("/*" * 100_000, "'\\" * 100_000, "/[" * 100_000, "`\\" * 100_000, '"""' * 70_000 + '"'):
+        c_like.javascript(hostile)
+        c_like.kotlin(hostile)
+    assert time.process_time() - start < 30
+
+
 def with_edges(scan, pairs):
     spark = scan.nodes.sparkSession
     ids = sorted({x for p in pairs for x in p})

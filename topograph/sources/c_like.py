@@ -1,11 +1,20 @@
-"""Imports and declarations of Java, Kotlin, C, C++, JavaScript and TypeScript, by a tokenizer that knows comments and strings."""
+"""Imports and declarations of Java, Kotlin, C, C++, JavaScript and TypeScript, by a tokenizer that knows comments, strings and regular expressions."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-_TOKEN = re.compile(r"//[^\n]*|/\*.*?(?:\*/|$)|\"\"\".*?\"\"\"|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|[A-Za-z_$@][\w$]*|\d[\w.]*|=>|->|\?\.|[^\s]", re.S)
+_START = re.compile(r"\S")
+_TOKEN = re.compile(r"[A-Za-z_$@][\w$]*|\d[\w.]*|=>|->|\?\.|[^\s]")
+_STRINGS = {q: re.compile(rf"{q}(?:\\.|[^{q}\\{end}])*{q}", re.S) for q, end in (('"', "\\n"), ("'", "\\n"), ("`", ""))}
+#: A regular expression of scripts; a slash within brackets doesn't end it.
+_PATTERN = re.compile(r"/(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\[\n])+/[A-Za-z]*")
+#: After these a slash begins a regular expression: an operand can't have ended.
+_OPERAND = set("return typeof case in of delete void throw new do else yield await instanceof".split())
+_WORD = re.compile(r"[A-Za-z_$@`\"'\d]")
 
 
 @dataclass
@@ -16,23 +25,71 @@ class Token:
     depth: int
 
 
-def blank(text: str) -> str:
+def _pieces(text: str, script: bool = False) -> Iterator[tuple[str, int]]:
+    """(text, place) of tokens and comments, in order; in a script also regular expressions.
+
+    What isn't closed is one character; up to the end of its line, or of the
+    text for a template, nothing of its kind is looked for again.
+    """
+    at, before, n = 0, "", len(text)
+    open_until = {'"': 0, "'": 0, "`": 0, "/": 0, '"""': 0}
+    while m := _START.search(text, at):
+        at = m.start()
+        c = text[at]
+        end = 0
+        if c in _STRINGS:
+            if text.startswith('"""', at) and at >= open_until['"""']:
+                end = text.find('"""', at + 3) + 3
+                if end < 3:
+                    end, open_until['"""'] = 0, n
+            if not end and at >= open_until[c]:
+                found = _STRINGS[c].match(text, at)
+                end = found.end() if found else 0
+                if not end:
+                    line = text.find("\n", at)
+                    open_until[c] = n if line < 0 or c == "`" else line
+            end = end or at + 1
+        elif text.startswith("//", at):
+            end = text.find("\n", at)
+            end = n if end < 0 else end
+        elif text.startswith("/*", at):
+            end = text.find("*/", at + 2)
+            end = n if end < 0 else end + 2
+        elif c == "/" and script and at >= open_until["/"] and (not before or before in _OPERAND or before not in (")", "]") and not _WORD.match(before)):
+            found = _PATTERN.match(text, at)
+            end = found.end() if found else at + 1
+            if not found:
+                line = text.find("\n", at)
+                open_until["/"] = n if line < 0 else line
+        else:
+            end = _TOKEN.match(text, at).end()
+        t = text[at:end]
+        yield t, at
+        at = end
+        if t[:2] not in ("//", "/*"):
+            before = t if len(t) == 1 or t[0] != "/" else '"'  # what follows a regular expression follows a value
+
+
+def blank(text: str, script: bool = False) -> str:
     """text with comments as spaces, so that places stay."""
-    keep = lambda m: m[0] if m[0][:2] not in ("//", "/*") else re.sub(r"[^\n]", " ", m[0])
-    return _TOKEN.sub(keep, text)
+    out, at = [], 0
+    for t, start in _pieces(text, script):
+        if t[:2] in ("//", "/*"):
+            out += [text[at:start], re.sub(r"[^\n]", " ", t)]
+            at = start + len(t)
+    return "".join([*out, text[at:]])
 
 
-def tokens(text: str) -> list[Token]:
+def tokens(text: str, script: bool = False) -> list[Token]:
     out, depth, line, at = [], 0, 1, 0
-    for m in _TOKEN.finditer(text):
-        line += text.count("\n", at, m.start())
-        at = m.start()
-        t = m[0]
+    for t, start in _pieces(text, script):
+        line += text.count("\n", at, start)
+        at = start
         if t[:2] in ("//", "/*"):
             continue
         if t == "}":
             depth -= 1
-        out.append(Token(t, line, m.start(), depth))
+        out.append(Token(t, line, start, depth))
         if t == "{":
             depth += 1
     return out
@@ -45,62 +102,100 @@ def _rows() -> Rows:
     return {k: [] for k in ("import", "dynamic", "symbol", "call", "binding", "warning")}
 
 
-def _line(text: str, at: int) -> tuple[int, int]:
-    return text.count("\n", 0, at) + 1, at - (text.rfind("\n", 0, at) + 1)
+class _Lines:
+    """(line, column) of places in a text."""
 
+    def __init__(self, text: str):
+        self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
 
-def _owners(found: list[Token], kinds: dict[str, str]) -> list[tuple[int, str, str, int]]:
-    """(depth inside, kind, name, index) of each type declaration."""
-    out = []
-    for i, t in enumerate(found[:-1]):
-        if t.text in kinds and re.match(r"[A-Za-z_$]", found[i + 1].text) and (i == 0 or found[i - 1].text not in (".", "::", "?.")):
-            out.append((t.depth + 1, kinds[t.text], found[i + 1].text, i))
-    return out
+    def at(self, place: int) -> tuple[int, int]:
+        line = bisect_right(self.starts, place)
+        return line, place - self.starts[line - 1]
+
+    def of(self, m: re.Match) -> tuple[int, int]:
+        """Where a match begins, without the white space it begins with."""
+        return self.at(m.start() + len(m[0]) - len(m[0].lstrip()))
 
 
-def _inside(found: list[Token], i: int, types: list[tuple[int, str, str, int]]) -> tuple[str, str] | None:
-    """Kind and name of the type that token i stands directly in; None within a function or outside."""
-    for depth, kind, name, start in reversed(types):
-        if start < i and depth == found[i].depth:
-            if all(found[k].depth >= depth or k <= start + 40 and found[k].depth == depth - 1 and "{" not in (x.text for x in found[start:k]) for k in range(start + 2, i)):
-                return kind, name
-    return None
+Type = tuple[str, str, int]
+
+
+def _owners(found: list[Token], kinds: dict[str, str]) -> tuple[list[Type], list[Type | None]]:
+    """The types declared, (kind, name, index), and for each token the type that it stands directly in; None within a function or outside.
+
+    One pass with a stack of open braces. A declaration that ends, or that
+    another one follows, before a brace opens has no body.
+    """
+    types: list[Type] = []
+    inside: list[Type | None] = []
+    open_: list[Type | None] = []
+    waiting: Type | None = None
+    round_ = waits_at = 0
+    for i, t in enumerate(found):
+        if t.text == "}" and open_:
+            open_.pop()
+        inside.append(open_[-1] if open_ else None)
+        if t.text in kinds and i + 1 < len(found) and re.match(r"[A-Za-z_$]", found[i + 1].text) and (i == 0 or found[i - 1].text not in (".", "::", "?.")):
+            waiting, waits_at = (kinds[t.text], found[i + 1].text, i), round_
+            types.append(waiting)
+        elif t.text == "{":
+            open_.append(waiting if round_ == waits_at else None)
+            if round_ == waits_at:
+                waiting = None
+        elif t.text == "(":
+            round_ += 1
+        elif t.text == ")":
+            round_ -= 1
+        elif t.text in (";", "fun", "val", "var", "import") and round_ == waits_at:
+            waiting = None
+    return types, inside
 
 
 _CONTROL = {"if", "for", "while", "switch", "catch", "return", "new", "throw", "else", "do", "try", "synchronized", "super", "this", "when", "sizeof", "operator", "function", "await", "typeof", "in", "of"}
 
 
+def _calls(found: list[Token], receiver: str, name: str) -> list[tuple]:
+    """Calls of the form receiver.name( as rows."""
+    out = []
+    for a, dot, b, bracket in zip(found, found[1:], found[2:], found[3:], strict=False):
+        if bracket.text == "(" and dot.text == "." and re.match(receiver, a.text) and re.match(name, b.text):
+            out.append((f"method:{a.text}.{b.text}", "", a.text, b.text, a.line))
+    return out
+
+
 def java(text: str) -> Rows:
-    out = _rows()
-    for m in re.finditer(r"(?m)^\s*import\s+(static\s+)?([\w.]+?)(\.\*)?\s*;", blank(text)):
-        line, column = _line(text, m.start() + len(m[0]) - len(m[0].lstrip()))
+    out, lines, plain = _rows(), _Lines(text), blank(text)
+    for m in re.finditer(r"(?m)^\s*import\s+(static\s+)?([\w.]+?)(\.\*)?\s*;", plain):
         star = bool(m[3])
-        out["import"].append((f"import {'static ' if m[1] and not star else ''}{m[2]}{m[3] or ''};", m[2] + (m[3] or ""), 0, "", line, column, star))
+        out["import"].append((f"import {'static ' if m[1] and not star else ''}{m[2]}{m[3] or ''};", m[2] + (m[3] or ""), 0, "", *lines.of(m), star))
     found = tokens(text)
-    types = _owners(found, {"class": "class", "interface": "interface", "enum": "enum", "@interface": "annotation"})
-    for _, kind, name, i in types:
+    types, inside = _owners(found, {"class": "class", "interface": "interface", "enum": "enum", "@interface": "annotation"})
+    for kind, name, i in types:
         out["symbol"].append((kind, name, f"{kind}:{name}", found[i].line))
     for i, t in enumerate(found[1:-1], 1):
         if found[i + 1].text == "(" and re.match(r"[A-Za-z_$]", t.text) and t.text not in _CONTROL and found[i - 1].text not in (".", "new", "@", "(", ",", "=", "!", "return", "->"):
-            owner = _inside(found, i, types)
+            owner = inside[i]
             if owner and owner[0] in ("class", "interface") and t.text != owner[1] and re.match(r"[\w$>\]]", found[i - 1].text):
                 out["symbol"].append(("method", t.text, f"method:{owner[1]}.{t.text}", t.line))
-    plain = blank(text)
-    for m in re.finditer(r"\b([A-Z]\w*)\.([a-z]\w*)\s*\(", plain):
-        out["call"].append((f"method:{m[1]}.{m[2]}", "", m[1], m[2], _line(text, m.start())[0]))
+    out["call"] = _calls(found, "[A-Z]", "[a-z]")
     return out
 
 
+def kotlin_package(text: str) -> str:
+    """The package that a Kotlin file declares; an empty string if none."""
+    found = re.search(r"(?m)^\s*package\s+([\w.`]+)", blank(text))
+    return found[1].replace("`", "") if found else ""
+
+
 def kotlin(text: str) -> Rows:
-    out = _rows()
-    for m in re.finditer(r"(?m)^\s*import\s+([^\n;]+)", blank(text)):
-        line, column = _line(text, m.start() + len(m[0]) - len(m[0].lstrip()))
+    out, lines, plain = _rows(), _Lines(text), blank(text)
+    for m in re.finditer(r"(?m)^\s*import\s+([^\n;]+)", plain):
         name = m[1].strip()
-        out["import"].append((f"import {name}", name, 0, "", line, column, name.endswith(".*")))
+        out["import"].append((f"import {name}", name, 0, "", *lines.of(m), name.endswith(".*")))
     found = tokens(text)
-    types = _owners(found, {"class": "class", "interface": "class", "object": "class"})
-    for _, kind, name, i in types:
-        out["symbol"].append((kind, name, f"class:{name}", found[i].line))
+    types, inside = _owners(found, {"class": "class", "interface": "class", "object": "class"})
+    for _, name, i in types:
+        out["symbol"].append(("class", name, f"class:{name}", found[i].line))
     for i, t in enumerate(found[:-1]):
         if t.text not in ("fun", "val", "var"):
             continue
@@ -114,25 +209,23 @@ def kotlin(text: str) -> Rows:
             receiver, j = found[j].text, j + 2
         if j >= len(found) or not re.match(r"[A-Za-z_`]", found[j].text):
             continue
-        name, owner = found[j].text.strip("`"), _inside(found, i, types)
-        if t.depth and owner is None and not any(d == t.depth and s < i for d, _, _, s in types):
+        name, owner = found[j].text.strip("`"), inside[i]
+        if t.depth and owner is None:
             continue  # local
         if t.text == "fun":
             kind, fqn = ("method", f"method:{owner[1]}.{name}") if owner else ("function", f"function:{receiver + '.' if receiver else ''}{name}")
         else:
             kind, fqn = "property", f"property:{owner[1] + '.' if owner else ''}{name}"
         out["symbol"].append((kind, name, fqn, t.line))
-    for m in re.finditer(r"\b([a-z]\w*)\.(\w+)\s*\(", blank(text)):
-        out["call"].append((f"method:{m[1]}.{m[2]}", "", m[1], m[2], _line(text, m.start())[0]))
+    out["call"] = _calls(found, "[a-z]", r"[A-Za-z_]")
     return out
 
 
 def cpp(text: str) -> Rows:
-    out = _rows()
-    for m in re.finditer(r"(?m)^[ \t]*#[ \t]*include[ \t]*([\"<])([^\">\n]+)[\">]", blank(text)):
-        line, column = _line(text, m.start() + len(m[0]) - len(m[0].lstrip()))
-        out["import"].append((m[0].strip(), m[2], 0 if m[1] == "<" else 1, "", line, column, False))
-    found = [t for t in tokens(re.sub(r"(?m)^[ \t]*#[^\n]*", lambda m: " " * len(m[0]), blank(text)))]
+    out, lines, plain = _rows(), _Lines(text), blank(text)
+    for m in re.finditer(r"(?m)^[ \t]*#[ \t]*include[ \t]*([\"<])([^\">\n]+)[\">]", plain):
+        out["import"].append((m[0].strip(), m[2], 0 if m[1] == "<" else 1, "", *lines.of(m), False))
+    found = tokens(re.sub(r"(?m)^[ \t]*#[^\n]*", lambda m: " " * len(m[0]), plain))
     for i, t in enumerate(found[:-2]):
         if t.text == "class" and re.match(r"\w", found[i + 1].text) and found[i + 2].text in ("{", ":", "final") and (i == 0 or found[i - 1].text != "enum"):
             out["symbol"].append(("class", found[i + 1].text, found[i + 1].text, t.line))
@@ -151,20 +244,18 @@ def cpp(text: str) -> Rows:
 
 
 def _es(text: str, typed: bool) -> Rows:
-    out = _rows()
-    plain = blank(text)
+    out, lines, plain = _rows(), _Lines(text), blank(text, script=True)
     for m in re.finditer(r"(?m)^[ \t]*(?:import|export)\b(?:[^'\"`;]*?\bfrom)?\s*(['\"])([^'\"\n]+)\1\s*;?", plain):
-        line, column = _line(text, m.start() + len(m[0]) - len(m[0].lstrip()))
-        out["import"].append((" ".join(m[0].split()), m[2], 0, "import", line, column, "* as" in m[0]))
+        out["import"].append((" ".join(m[0].split()), m[2], 0, "import", *lines.of(m), "* as" in m[0]))
     for m in re.finditer(r"(?<![\w.$])require\s*\(\s*([^()]*)\)", plain):
-        line, column = _line(text, m.start())
+        line, column = lines.at(m.start())
         given = m[1].strip()
         literal = re.fullmatch(r"(['\"`])([^'\"`]+)\1", given)
         out["import"].append((f"const ... = {m[0]}", literal[2] if literal else "", 0, "require" if literal else "dynamic", line, column, False))
-    found = tokens(text)
+    found = tokens(text, script=True)
     top = [(i, t) for i, t in enumerate(found[:-1]) if t.depth == 0 or typed]
     kinds = {"function": "function", "class": "class"} | ({"interface": "interface", "type": "type", "enum": "enum"} if typed else {})
-    types = _owners(found, {"class": "class"})
+    _, inside = _owners(found, {"class": "class"})
     for i, t in top:
         name = found[i + 1].text if found[i + 1].text != "*" or i + 2 >= len(found) else found[i + 2].text
         if t.text in kinds and re.match(r"[A-Za-z_$]", name) and (i == 0 or found[i - 1].text not in (".", "=", "(", ",", ":", "?.")) and t.depth == 0:
@@ -174,7 +265,7 @@ def _es(text: str, typed: bool) -> Rows:
             out["symbol"].append((kind, name, name if typed else f"{kind}:{name}", t.line))
     if typed:
         for i, t in enumerate(found[:-1]):
-            owner = _inside(found, i, types) if t.depth else None
+            owner = inside[i]
             if owner and re.match(r"[A-Za-z_$#]", t.text) and (found[i - 1].text in ("{", "}", ";", ")", "readonly", "public", "private", "protected", "static", "async", "abstract", "get", "set", "override") or found[i - 1].line < t.line):
                 after = found[i + 1].text
                 if t.text in _CONTROL or t.text in ("public", "private", "protected", "static", "readonly", "async", "abstract", "override", "get", "set", "class"):
