@@ -622,33 +622,6 @@ def scan_cache_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 sql("scan_cache_anti_join", "d AS (SELECT doc_id, source, sha1(text) AS sha1 FROM documents)", select="SELECT doc_id, sha1 FROM d WHERE source >= 'src2' AND sha1 NOT IN (SELECT sha1 FROM d WHERE source < 'src2')")
 
 
-@query
-def added_lines_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of a document as a diff: those that are not blank, with their number among such lines before."""
-    from pyspark.sql import Window
-
-    lines = D.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    order = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = lines.withColumn("new_line", F.sum((F.length(F.trim("line")) > 0).cast("long")).over(order))
-    return numbered.where("length(trim(line)) > 0").select("doc_id", F.col("pos").cast("long").alias("pos"), "new_line", F.sha1("line").alias("line_sha1"))
-
-
-sql("added_lines_window", "l AS (SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))", "k AS (SELECT doc_id, pos, line, sum(CASE WHEN length(trim(line)) > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS new_line FROM l)", select="SELECT doc_id, pos, CAST(new_line AS BIGINT) AS new_line, sha1(line) AS line_sha1 FROM k WHERE length(trim(line)) > 0")
-
-
-@query
-def callgraph_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls matched by name alone: line items to suppliers' nations; several definitions make a match polymorphic."""
-    calls = D.table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("sites"))
-    names = D.table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    per = names.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("definitions"))
-    found = calls.join(names, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("s_nationkey").agg(F.sum("sites").alias("sites"))
-    return found.join(per, "s_nationkey").select(F.col("s_nationkey").alias("callee"), "sites", "definitions", (F.col("definitions") > 1).alias("is_polymorphic"))
-
-
-ORACLE_SQL["callgraph_name_match"] = "SELECT s.s_nationkey AS callee, count(*) AS sites, max(d.k) AS definitions, max(d.k) > 1 AS is_polymorphic FROM lineitem JOIN supplier s ON l_suppkey = s_suppkey JOIN (SELECT s_nationkey, count(*) AS k FROM supplier GROUP BY 1) d ON d.s_nationkey = s.s_nationkey GROUP BY 1"
-
-
 @query
 def event_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors and all events in windows of one day, as the stream in topograph.streaming counts them."""
