@@ -1,4 +1,4 @@
-"""Operator 9: media columns. Netpbm and BMP images as numpy arrays, area-resized tiles, difference hashes."""
+"""Operator 9: media columns. Netpbm and BMP images as numpy arrays, area-resized NPY tiles, difference hashes."""
 
 from __future__ import annotations
 
@@ -44,25 +44,35 @@ def _netpbm_header(data: bytes, fields: int) -> tuple[list[int], int]:
     return found, at
 
 
-def decode_netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6 as an array (height, width) or (height, width, 3); uint16 if samples have two bytes. Bitmaps are 0 and 255."""
+def decode_netpbm(data: bytes, scale: bool = False) -> np.ndarray:
+    """P1 to P6 as an array (height, width) or (height, width, 3); uint16 if samples have two bytes. Bitmaps are 0 and 255.
+
+    With scale, samples go from 0 to 255 whatever the greatest one of the file is.
+    """
     kind = data[:2]
     if kind not in (b"P1", b"P2", b"P3", b"P4", b"P5", b"P6"):
         raise ValueError("not a Netpbm file")
     bitmap, colours = kind in (b"P1", b"P4"), 3 if kind in (b"P3", b"P6") else 1
     fields, at = _netpbm_header(data, 2 if bitmap else 3)
-    width, height = fields[:2]
+    width, height, most = *fields[:2], 1 if bitmap else fields[2]
     shape = (height, width, 3) if colours == 3 else (height, width)
-    wide = not bitmap and fields[2] > 255
+    if not 0 < most < 1 << 16:
+        raise ValueError("the greatest sample is out of range")
     if kind == b"P4":
         rows = np.frombuffer(data, np.uint8, height * -(-width // 8), at + 1).reshape(height, -1)
         return np.where(np.unpackbits(rows, axis=1)[:, :width] > 0, 0, 255).astype(np.uint8)
     if kind in (b"P5", b"P6"):
-        return np.frombuffer(data, ">u2" if wide else np.uint8, height * width * colours, at + 1).reshape(shape)
-    text = b" ".join(line.partition(b"#")[0] for line in data[at:].split(b"\n"))
-    values = [int(c) for c in text.decode() if c in "01"] if bitmap else [int(x) for x in text.split()]
-    out = np.array(values[: height * width * colours], np.uint16 if wide else np.uint8).reshape(shape)
-    return np.where(out > 0, 0, 255).astype(np.uint8) if bitmap else out
+        out = np.frombuffer(data, ">u2" if most > 255 else np.uint8, height * width * colours, at + 1)
+    else:
+        text = b" ".join(line.partition(b"#")[0] for line in data[at:].split(b"\n"))
+        values = [int(c) for c in text.decode() if c in "01"] if bitmap else [int(x) for x in text.split()]
+        out = np.array(values[: height * width * colours], np.uint16 if most > 255 else np.uint8)
+    if out.size and out.max() > most:
+        raise ValueError("a sample is greater than the greatest one")
+    out = out.reshape(shape)
+    if bitmap:
+        return np.where(out > 0, 0, 255).astype(np.uint8)
+    return out * (255 / most) if scale and most != 255 else out
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
@@ -90,8 +100,8 @@ def encode_bmp(pixels: np.ndarray) -> bytes:
     return b"BM" + struct.pack("<IHHI", 54 + rows.size, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, rows.size, 0, 0, 0, 0) + rows.tobytes()
 
 
-def decode(data: bytes) -> np.ndarray:
-    return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+def decode(data: bytes, scale: bool = False) -> np.ndarray:
+    return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data, scale)
 
 
 def grey(pixels: np.ndarray) -> np.ndarray:
@@ -141,19 +151,22 @@ def npy(array: np.ndarray) -> bytes:
 def image_features(media: DataFrame, column: str = "media", height: int = 8, width: int = 9) -> DataFrame:
     """media with columns height, width, tile (NPY bytes), dhash and error.
 
-    A null, empty or broken image has nulls and says why in error.
+    A null, empty or broken image, or one whose header asks for more samples
+    than it has, has nulls and says why in error. Rows that repeat stay apart;
+    an empty table gives no rows. Columns of media that have one of these names
+    give way to them, also the one that holds the images; the others are kept.
     """
     names = [c for c in media.columns if c not in ("height", "width", "tile", "dhash", "error")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = ([], [], [], [], [])
-            for value in batch.column(column):
+            for value in batch.column("image of the row"):
                 try:
-                    pixels = decode(value.as_py() or b"")
+                    pixels = decode(value.as_py() or b"", scale=True)
                     small = tile(pixels, height, width)
                     row = pixels.shape[0], pixels.shape[1], npy(small), difference_hash(small), None
-                except (ValueError, struct.error, IndexError) as e:
+                except (ValueError, OverflowError, struct.error, IndexError) as e:
                     row = None, None, None, None, str(e)[:200]
                 for x, y in zip(rows, row, strict=True):
                     x.append(y)
@@ -165,14 +178,16 @@ def image_features(media: DataFrame, column: str = "media", height: int = 8, wid
     schema = T.StructType([media.schema[c] for c in names])
     for name, kind in (("height", T.IntegerType()), ("width", T.IntegerType()), ("tile", T.BinaryType()), ("dhash", T.StringType()), ("error", T.StringType())):
         schema = schema.add(name, kind)
-    return media.select(names).mapInArrow(run, schema)
+    given = media.select(*names, F.col(column).alias("image of the row"))
+    return given.mapInArrow(run, schema)
 
 
 def texts_as_images(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_bytes, media): the UTF-8 text, zero-filled to a positive multiple of 64 bytes, as a greymap 64 wide.
+    """(id_col, n_bytes, media): the UTF-8 text, zero-filled to a positive multiple of 64 bytes, as an image 64 wide.
 
-    A null text counts as empty. Rows that repeat stay apart; a null id stays
-    null; other columns play no part.
+    Samples that fill whole rows of 64 pixels in colour are a 24-bit BMP, others
+    a greymap. A null text counts as empty. Rows that repeat stay apart; a null
+    id stays null; other columns play no part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +199,7 @@ def texts_as_images(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 rows = max(1, -(-len(text) // WIDTH))
                 samples = np.zeros(rows * WIDTH, np.uint8)
                 samples[: len(text)] = text
-                out.append(encode_pgm(samples.reshape(rows, WIDTH)))
+                out.append(encode_pgm(samples.reshape(rows, WIDTH)) if rows % 3 else encode_bmp(samples.reshape(rows // 3, WIDTH, 3)))
                 size += len(out[-1])
                 if size > 8 << 20 or i == batch.num_rows - 1:
                     sizes = np.diff(offsets[start : i + 2])
@@ -196,27 +211,31 @@ def texts_as_images(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def stored_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Digests of the stored images of texts_as_images and of the payload read back from them.
+    """Digests of the stored images of texts_as_images, of the payload read back from them, and their tiles.
 
-    The images are written to a table in the shared folder; everything else is
-    computed from what that table holds.
+    The images are written to a table in the shared folder, and their tiles, as
+    NPY, with the difference hashes to another; everything is computed from
+    what these tables hold. feature is the difference hash and the beginning of
+    the tile's digest. An empty table gives no rows.
     """
     stored = materialize(texts_as_images(docs, id_col, text_col), "media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = ([], [], [], [], [], [])
+            rows = ([], [], [], [], [], [], [])
             for value in batch.column("media"):
                 media = value.as_py()
                 pixels = decode(media)
                 payload = pixels.tobytes()
                 small = tile(pixels)
-                row = len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(small) + ":" + hashlib.sha256(npy(small)).hexdigest()[:16]
+                row = len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(small), npy(small)
                 for x, y in zip(rows, row, strict=True):
                     x.append(y)
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
+            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "dhash", "tile"]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), *(pa.array(x, t) for x, t in zip(rows, kinds, strict=True))], ["id", "n_bytes", *names])
 
-    schema = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return stored.withColumnRenamed(id_col, "id").mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    schema = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, dhash string, tile binary"
+    found = materialize(stored.withColumnRenamed(id_col, "id").mapInArrow(run, schema), "tiles")
+    feature = F.concat("dhash", F.lit(":"), F.substring(F.sha2("tile", 256), 1, 16)).alias("feature")
+    return found.select(F.col("id").alias(id_col), *found.columns[1:-2], feature, "tile")
