@@ -6,11 +6,13 @@ the Q-gram of least rank among the Q-grams of the string. So
    one member are done;
 2. each remaining anchor carries the bytes of the strings it stands for;
    members of one anchor bucket meet in one task, in order of their suffixes;
-3. there the buckets are refined: the pointer of a suffix at depth 2d is the
-   pair of the pointers, at depth d, of the suffix and of the one d later.
-   Suffixes alone in a bucket leave; pointers already refined are reused at
-   every later depth, up to LENGTH.
-A string is repeated if its last bucket holds an earlier suffix.
+3. there the suffixes of these bytes are sorted into buckets by their first
+   GRAM bytes, and a suffix points at its bucket. Each bucket of several is
+   then sorted on the pointers of the suffixes that follow its members, and the
+   new pointers are used at once by the buckets that come after; the offset
+   grows with the depth reached, up to LENGTH.
+Neighbours in the order that this gives are compared byte by byte; a string is
+repeated if an equal one among its neighbours starts earlier.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 from topograph.functions.scratch import materialize
 from topograph.llm.text import byte_column, mix, randoms
 
-LENGTH, Q = 100, 32
+LENGTH, Q, GRAM = 100, 32, 8
+#: Buckets are refined in so many turns at each offset; every turn sees the pointers of those before.
+SLICES = 4
 #: Members of an anchor bucket that one task may hold; larger buckets are refined by shuffled keys.
 HOT = 100_000
 
@@ -207,15 +211,46 @@ def _contexts(marked: DataFrame) -> DataFrame:
     return marked.mapInArrow(run, "key long, did long, start long, end long, bytes binary")
 
 
-def _pointers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shift, pointer at depth 64, pointer at depth 64 of the suffix 36 later) of every string of the rows."""
-    n = np.diff(offsets) - (LENGTH - 1)
-    row = np.repeat(np.arange(len(n)), n)
-    shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at = offsets[:-1][row] + shift
-    p32 = grams(data, Q)
-    pair = lambda x: mix(p32[x] + (p32[x + Q] ^ np.uint64(1)) * np.uint64(_BASE))
-    return row, shift, pair(at), pair(at + LENGTH - 2 * Q)
+def _packed(data: np.ndarray) -> np.ndarray:
+    """The GRAM bytes from each place on as one number, as if zeros came after the end."""
+    out = np.concatenate([data, np.zeros(GRAM, np.uint8)]).astype(np.uint64)
+    for n in (1, 2, 4):
+        out[:-n] = out[:-n] << np.uint64(8 * n) | out[n:]
+    return out[: len(data)]
+
+
+def suffix_order(data: np.ndarray, grams: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+    """All suffixes of data, sorted by their first bytes, depth of them at least, by bucket-pointer refinement."""
+    n = len(data)
+    order = np.argsort(grams)
+    value = grams[order]
+    last = np.append(np.flatnonzero(value[1:] != value[:-1]), n - 1)
+    size = np.diff(last, prepend=-1)
+    #: the place behind the last member of a suffix's bucket; 0 after the end of data
+    pointer = np.zeros(n + 2 * depth, np.int64)
+    pointer[order] = np.repeat(last + 1, size)
+    known = GRAM
+    while known < depth:
+        several = np.flatnonzero(np.repeat(size > 1, size))  # suffixes alone in a bucket leave
+        if not len(several):
+            break
+        bucket = pointer[order[several]]
+        cuts = np.unique(np.searchsorted(bucket, bucket[np.arange(1, SLICES) * len(several) // SLICES]))
+        for at in np.split(several, cuts):
+            if not len(at):
+                continue
+            members = order[at]
+            key = pointer[members] << 32 | pointer[members + known]
+            by = np.argsort(key)
+            members, key = members[by], key[by]
+            order[at] = members
+            end = np.append(np.flatnonzero(key[1:] != key[:-1]), len(key) - 1)
+            pointer[members] = np.repeat(at[end] + 1, np.diff(end, prepend=-1))
+        value = pointer[order]
+        last = np.append(np.flatnonzero(value[1:] != value[:-1]), n - 1)
+        size = np.diff(last, prepend=-1)
+        known *= 2
+    return order
 
 
 def refine(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,17 +260,23 @@ def refine(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """
     data = data[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
-    row, shift, head, tail = _pointers(data, offsets)
-    # depth 64: suffixes alone in their bucket leave
-    _, bucket, count = np.unique(head, return_inverse=True, return_counts=True)
-    left = np.flatnonzero(count[bucket] > 1)
-    if not len(left):
-        return row[left], shift[left]
-    # depth 100: sort on the bucket of the suffix 36 later
-    last = mix(bucket[left].astype(np.uint64) * np.uint64(_BASE) + tail[left])
-    order = np.argsort(last, kind="stable")
-    same = np.concatenate([[False], last[order][1:] == last[order][:-1]])
-    found = np.sort(left[order[same]])
+    n = np.diff(offsets) - (LENGTH - 1)
+    row = np.repeat(np.arange(len(n)), n)
+    shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    number = np.full(len(data), -1, np.int64)
+    number[offsets[:-1][row] + shift] = np.arange(len(row))
+    grams = _packed(data)
+    order = suffix_order(data, grams)
+    order = order[number[order] >= 0]
+    same = np.flatnonzero(grams[order[1:]] == grams[order[:-1]]) + 1
+    for ahead in [*range(GRAM, LENGTH - GRAM, GRAM), LENGTH - GRAM]:
+        same = same[grams[order[same] + ahead] == grams[order[same - 1] + ahead]]
+    equal = np.zeros(len(order) + 1, bool)
+    equal[same] = True
+    first = np.flatnonzero(~equal[:-1])
+    # of equal strings the earliest stays
+    least = np.repeat(np.minimum.reduceat(order, first), np.diff(first, append=len(order))) if len(order) else order
+    found = np.sort(number[order[order != least]])
     return row[found], shift[found]
 
 
@@ -255,6 +296,25 @@ def _repeated(contexts: DataFrame, parts: int) -> DataFrame:
 
         def done(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(batches).combine_chunks()
+            # of equal bytes under one key only the earliest is refined
+            seen: set[bytes] = set()
+            again, last = np.zeros(len(t), bool), None
+            for i, (k, x) in enumerate(zip(t.column("key").to_pylist(), t.column("bytes").to_pylist(), strict=True)):
+                if k != last:
+                    seen.clear()
+                    last = k
+                again[i] = x in seen
+                seen.add(x)
+            if again.any():
+                yield from t.filter(pa.array(again)).select(["did", "start", "end"]).to_batches()
+                t = t.filter(pa.array(~again))
+            # equal strings have their anchor at the same place, so a row never meets itself
+            key = t.column("key").to_numpy()
+            several = np.zeros(len(key) + 1, bool)
+            several[1:-1] = key[1:] == key[:-1]
+            t = t.filter(pa.array(several[1:] | several[:-1])).combine_chunks()
+            if not len(t):
+                return
             key, did, start = (t.column(c).to_numpy() for c in ("key", "did", "start"))
             data, offsets = byte_column(t.column("bytes").combine_chunks())
             cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -289,20 +349,19 @@ def _repeated(contexts: DataFrame, parts: int) -> DataFrame:
 
 
 def _repeated_hot(contexts: DataFrame) -> DataFrame:
-    """The same for keys of very many rows: strings meet by their last pointer, summed up before they are shuffled."""
+    """The same for keys of very many rows: equal strings meet by a shuffle, summed up before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            did, start = (batch.column(c).to_numpy() for c in ("did", "start"))
             data, offsets = byte_column(batch.column("bytes"))
-            data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-            row, shift, head, tail = _pointers(data, offsets)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (head.view(np.int64), tail.view(np.int64), did[row], start[row] + shift)], ["head", "tail", "did", "start"])
-
-    rows = contexts.mapInArrow(run, "head long, tail long, did long, start long")
-    rows = materialize(rows, "hot")
-    earliest = rows.groupBy("head", "tail").agg(F.min(F.struct("did", "start")).alias("least"))
-    later = rows.join(earliest, ["head", "tail"]).where(F.struct("did", "start") > F.col("least"))
+            for i, (did, start) in enumerate(zip(batch.column("did").to_pylist(), batch.column("start").to_pylist(), strict=True)):
+                text = data[offsets[i] : offsets[i + 1]].tobytes()
+                n = len(text) - LENGTH + 1
+                yield pa.RecordBatch.from_arrays([pa.array([text[k : k + LENGTH] for k in range(n)], pa.binary()), pa.array(np.full(n, did, np.int64)), pa.array(np.arange(start, start + n))], ["string", "did", "start"])
+
+    rows = materialize(contexts.mapInArrow(run, "string binary, did long, start long"), "hot")
+    earliest = rows.groupBy("string").agg(F.min(F.struct("did", "start")).alias("least"))
+    later = rows.join(earliest, "string").where(F.struct("did", "start") > F.col("least"))
     return later.select("did", "start", (F.col("start") + LENGTH).alias("end"))
 
 
@@ -348,17 +407,20 @@ def kept_texts(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_c
     Rows are told apart by id and the digest of their text.
     """
     names = docs.columns
-    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    cuts = found.where("n_removed > 0").select(F.col(id_col).alias("_id"), F.col("sha").alias("_sha"), F.col("spans.start").alias("_starts"), F.col("spans.end").alias("_ends")).dropDuplicates(["_id", "_sha"])
-    joined = docs.join(cuts, (docs[id_col] == cuts["_id"]) & (sha == cuts["_sha"]), "left").select(*names, "_starts", "_ends")
+    cuts = found.where("n_removed > 0").select(F.col(id_col).alias("id"), "sha", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends")).dropDuplicates(["id", "sha"])
+    # the columns of docs travel in one, so that none can clash
+    packed = docs.select(F.struct(*names).alias("row"), F.col(id_col).cast("long").alias("id"), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256).alias("sha"))
+    joined = packed.join(cuts, ["id", "sha"], "left").select("row", "starts", "ends")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            for i, (starts, ends) in enumerate(zip(batch.column("_starts").to_pylist(), batch.column("_ends").to_pylist(), strict=True)):
+            columns = dict(zip(names, batch.column("row").flatten(), strict=True))
+            texts = columns[text_col].to_pylist()
+            for i, (starts, ends) in enumerate(zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True)):
                 if starts:
                     texts[i] = without(texts[i].encode(), list(zip(starts, ends, strict=True))).decode("utf-8", "ignore")
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in names], names)
+            columns[text_col] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
     return joined.mapInArrow(run, docs.schema)
 
@@ -369,10 +431,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte goes if a string of LENGTH bytes over it also starts earlier: in a
     document of a smaller id, or before in its own; kept_texts() takes them
     out. A null text counts as empty. A row whose id is null takes no part and
-    keeps its text. Rows
-    that repeat id and text are one document and get the same result; rows
-    that repeat an id with another text are documents in the order of their
-    texts' digests. Other columns play no part.
+    keeps its text. Rows that repeat id and text are one document and get the
+    same result; rows that repeat an id with another text are documents in the
+    order of their texts' digests. An empty table gives no rows; texts of any
+    length are read in segments. Other columns play no part.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -380,21 +442,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     given = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     base = given.select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     base = materialize(base, "texts")
-    shared = base.where("id is not null").groupBy("id").agg(F.count_distinct("sha").alias("n"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    most, again = shared.agg(F.max("n"), F.max(F.col("rows") > F.col("n"))).first()
-    shared, most = shared.where("n > 1"), most or 1
     given = given.where("id is not null")
-    if most == 1:
+    twice = base.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    if twice.isEmpty():
         base = base.withColumn("did", F.col("id"))
         given = given.select(F.col("id").alias("did"), "text")
     else:
-        one = base.where("id is not null").join(shared.select("id"), "id", "left_semi").select("id", "sha").distinct()
-        earlier = one.alias("a").join(one.alias("b"), (F.col("a.id") == F.col("b.id")) & (F.col("a.sha") > F.col("b.sha"))).groupBy("a.id", "a.sha").agg(F.count(F.lit(1)).alias("turn"))
-        did = (F.col("id") * F.lit(most) + F.coalesce("turn", F.lit(0))).alias("did")
-        base = materialize(base.join(earlier, ["id", "sha"], "left").select("id", "n_bytes", "sha", did), "texts")
-        given = given.withColumn("sha", F.sha2("text", 256)).join(earlier, ["id", "sha"], "left").select(did, "text")
-    if again:  # else a repeated row would meet itself
-        given = materialize(given.distinct(), "given")
+        # documents are numbered in the order of (id, sha): partitions by range, sorted, and numbers that grow with both
+        one = base.where("id is not null").select("id", "sha").distinct()
+        turns = materialize(one.repartitionByRange("id", "sha").sortWithinPartitions("id", "sha").withColumn("did", F.monotonically_increasing_id()), "turns")
+        base = materialize(base.join(turns, ["id", "sha"], "left").select("id", "n_bytes", "sha", "did"), "texts")
+        given = given.withColumn("sha", F.sha2("text", 256)).join(turns, ["id", "sha"]).select("did", "text")
+        given = materialize(given.dropDuplicates(["did"]), "given")  # else a repeated row would meet itself
 
     reps = base.where(f"id is not null and n_bytes >= {LENGTH}").groupBy("sha").agg(F.min("did").alias("rep"))
     reps = materialize(reps, "reps")  # so that a join may split the rows of one text
