@@ -65,8 +65,8 @@ def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tu
     """
     n = len(offsets) - 1
     lengths = np.diff(offsets)
-    # a separator byte ends each row
-    buf = np.full(int(lengths.sum()) + n, 32, np.uint8)
+    # a byte of gaps ends each row
+    buf = np.full(int(lengths.sum()) + n, np.flatnonzero(gaps)[0], np.uint8)
     keep = np.ones(len(buf), bool)
     ends = np.cumsum(lengths + 1)
     keep[ends - 1] = False
