@@ -34,7 +34,9 @@ class DigestArray:
         self.ends = np.memmap(os.path.join(folder, name + ".ends"), np.int64, "r")
         self.allow = np.memmap(os.path.join(folder, name + ".allow"), np.uint8, "r")
         self.strings = np.memmap(os.path.join(folder, name + ".text"), np.uint8, "r")
-        self.lengths = sorted({int(x) for x in np.unique(np.memmap(os.path.join(folder, name + ".paths"), np.int32, "r"))})
+        #: lengths that rules' paths have, and the longest host of a rule
+        self.lengths = np.memmap(os.path.join(folder, name + ".paths"), np.int32, "r").tolist()
+        self.longest = self.lengths.pop()
 
     def string(self, i: int) -> bytes:
         return self.strings[self.ends[i - 1] if i else 0 : self.ends[i]].tobytes()
@@ -71,7 +73,7 @@ def write_digests(rules: Iterable[Rule], folder: str) -> str:
         "ends": np.cumsum([len(k) for k in order]).astype(np.int64),
         "allow": np.array([merged[k][0] for k in order], np.uint8),
         "text": np.frombuffer(b"".join(order), np.uint8),
-        "paths": np.array([len(k.partition(b"\0")[2].decode()) for k in order] or [0], np.int32),
+        "paths": np.array([*sorted({len(k.partition(b"\0")[2].decode()) for k in order}), max((len(k.partition(b"\0")[0].decode()) for k in order), default=0)], np.int32),
     }
     for part, values in parts.items():
         # an empty file can't be mapped
@@ -115,8 +117,9 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     subdomains if the path starts with the rule's. The longest rule (host and
     path together, then the longer host) wins. Without one, rule is null and
     the verdict is default: a URL that the array doesn't hold is not blocked.
-    Rows that repeat, or have a null id, are judged each; other columns play
-    no part.
+    Rows that repeat, or have a null id, are judged each; an empty table gives
+    no rows; of a URL of any length only what some rule could fit is looked up.
+    Other columns play no part.
     """
     spark = pages.sparkSession
     name = _ship(spark, rules)
@@ -132,11 +135,14 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
                 key = host, path[: starts[-1]] if starts else ""
                 mine = known.get(key)
                 if mine is None:
-                    labels = host.split(".")
                     mine = []
-                    for n in starts:
-                        for i in range(len(labels)):
-                            domain = ".".join(labels[i:])
+                    dot = len(host)
+                    while dot >= 0:  # the host and its parents, the shortest first
+                        dot = host.rfind(".", 0, dot)
+                        domain = host[dot + 1 :]
+                        if len(domain) > array.longest:
+                            break
+                        for n in starts:
                             q = asked.setdefault((domain + "\0" + path[:n]).encode(), len(asked))
                             mine.append((len(domain) + n, len(domain), q))
                     known[key] = mine
