@@ -26,7 +26,9 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject.
 
-    A doc_id that stands before several texts goes only if all of them are rejected.
+    A doc_id that stands before several texts goes only if all of them are
+    rejected. A null or empty text is scored as any other; a null doc_id stays,
+    as do rows that repeat; an empty table stays empty.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     judged = quality(docs, labels)
@@ -36,12 +38,18 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more.
 
-    Equal rows become one. A doc_id before several texts goes only if none of them is kept.
+    Rows that are equal in all columns become one, those of a null doc_id too,
+    which else stay. A doc_id before several texts goes only if none of them is
+    kept. Documents without words are linked with none.
     """
     found = near_duplicates(docs, k=5, percent=80)
     kept = without_ids(docs, found.groupBy("doc_id").agg(F.max(F.col("kept").cast("int")).alias("best")).where("best = 0"))
-    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return kept if again.isEmpty() else kept.dropDuplicates()
+    # equal rows have equal ids, so only rows whose id repeats are compared
+    again = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    again = materialize(again, "again")
+    same = kept["doc_id"].eqNullSafe(again["doc_id"])
+    once = kept.join(again, same, "left_anti")
+    return once.union(kept.join(again, same, "left_semi").dropDuplicates())
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,12 +61,12 @@ def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
+    """Documents that leak no benchmark item. Null and tokenless texts and null ids stay; of rows that repeat an id all go if one leaks."""
     return without_ids(docs, leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left."""
+    """Token counts and digests of what is left, a row for each row; a null text counts as empty."""
     return encode_decode(docs)
 
 

@@ -161,8 +161,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets of k-word shingles. Documents with equal sets are one class from the
     start. A null or wordless text has no shingles and no link; a row whose id
     is null takes no part and gets a null component_id and kept = false. Rows
-    that repeat an id each get a row, judged by their own text. Other columns of
-    docs play no part.
+    that repeat an id each get a row, judged by their own text. An empty table
+    gives no rows; texts of any length are read whole, one at a time beyond
+    1 MB. Other columns of docs play no part.
     """
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sk = materialize(sketches(given, k), "sketch")

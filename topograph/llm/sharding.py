@@ -37,8 +37,8 @@ def shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str =
     bytes. Equal rows have equal keys, which no bit parts: if they outgrow a
     shard they fill pages of it in turn. A row over the limit by itself is a
     shard of its own, with fits = false. A null id hashes as an empty one;
-    rows that repeat an id are told apart by their text. Other columns play no
-    part.
+    rows that repeat an id are told apart by their text. An empty table gives
+    no rows. Other columns play no part.
     """
     n_bytes = F.coalesce(F.octet_length(F.col(text_col).cast("string")).cast("long"), F.lit(0).cast("long"))
     rows = materialize(docs.select(F.col(id_col).alias("id"), n_bytes.alias("n_bytes"), key_of(id_col, text_col).alias("key")), "keys")
