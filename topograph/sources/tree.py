@@ -1,7 +1,11 @@
-"""Source files as a table, by Spark's binary file reader."""
+"""Source files as a table."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,20 +25,53 @@ def can_scan(path: Column) -> Column:
     return (language_of(path) != "unknown") & ~F.endswith(path, F.lit(".d.ts"))
 
 
+def _store(root: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """(place, path, size_bytes, mtime) of all files below root.
+
+    Names are listed by the driver, as Spark's own file sources do; those leave
+    out empty files and names that begin with _ or ., such as __init__.py.
+    """
+    system, base = _store(root)
+    found = [x for x in system.get_file_info(fs.FileSelector(base, recursive=True)) if x.is_file]
+    places = pa.table({"place": pa.array([x.path for x in found], pa.string()), "size_bytes": pa.array([x.size for x in found], pa.int64()), "mtime": pa.array([x.mtime for x in found], pa.timestamp("us", "UTC"))})
+    listed = spark.createDataFrame(places)
+    return listed.select("place", rel_path(F.col("place"), base).alias("path"), "size_bytes", "mtime")
+
+
 def read_tree(spark: SparkSession, root: str, config: Config = Config()) -> DataFrame:
     """(path, content, size_bytes, mtime, sha1, suffix, language, is_script, skipped) of the files below root that parsers take.
 
     Files over the size limit come with skipped = true and no content; names
-    are filtered before any content is read.
+    are filtered before any content is read. Tasks open the files on their own,
+    so root must be a store that all of them see; a file that is gone by then
+    has no content.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    plain = F.regexp_replace("path", "^file:/*", "/")
-    path = rel_path(plain, root.removeprefix("file://"))
-    rows = files.select(path.alias("path"), "content", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"))
-    rows = rows.where(~ignored(F.col("path"), config) & can_scan(F.col("path")))
+    path = F.col("path")
     large = F.floor(F.col("size_bytes") / 1024) > config.max_file_size_kb
-    kept = F.when(~large, F.col("content"))
-    return rows.select("path", kept.alias("content"), "size_bytes", "mtime", F.sha1(kept).alias("sha1"), suffix_of(F.col("path")).alias("suffix"), language_of(F.col("path")).alias("language"), F.startswith(kept.cast("string"), F.lit("#!")).alias("is_script"), large.alias("skipped"))
+    rows = list_tree(spark, root).where(~ignored(path, config) & can_scan(path)).withColumn("skipped", large)
+    rows = rows.repartition(4 * spark.sparkContext.defaultParallelism, "path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = _store(root)
+        for batch in batches:
+            for k, (place, skipped) in enumerate(zip(batch.column("place").to_pylist(), batch.column("skipped").to_pylist(), strict=True)):
+                content = None
+                if not skipped:
+                    try:
+                        with system.open_input_stream(place) as f:
+                            content = f.read()
+                    except FileNotFoundError:
+                        pass
+                row = batch.slice(k, 1)
+                yield pa.RecordBatch.from_arrays([row.column(c) for c in names] + [pa.array([content], pa.binary())], [*names, "content"])
+
+    names = ["path", "size_bytes", "mtime", "skipped"]
+    read = rows.mapInArrow(run, "path string, size_bytes long, mtime timestamp, skipped boolean, content binary")
+    return read.select("path", "content", "size_bytes", "mtime", F.sha1("content").alias("sha1"), suffix_of(path).alias("suffix"), language_of(path).alias("language"), F.startswith(F.col("content").cast("string"), F.lit("#!")).alias("is_script"), "skipped")
 
 
 def subset(files: DataFrame, changed: DataFrame) -> DataFrame:
