@@ -2,6 +2,7 @@ import json
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from topograph.plans import project, render
 from topograph.sources import c_like, gittext, python_ast
@@ -12,6 +13,7 @@ FILES = {
     "b.py": "from .a import a_func\n\ndef forward():\n    return a_func()\n",
     "broken.py": "def f(:\n",
     "main.py": "import json\nfrom utils.helpers import fmt\n\ndef main():\n    from models.user import User\n    u = User('x')\n    return fmt(u)\n\nclass Config:\n    def get(self):\n        return 1\n",
+    "models/__init__.py": "",
     "models/user.py": "from utils.helpers import fmt\nfrom .profile import Profile\n\nclass User:\n    def __init__(self, n):\n        self.p = Profile()\n    def greet(self):\n        return fmt(self)\n",
     "models/profile.py": "class Profile:\n    def __init__(self):\n        pass\n",
     "utils/helpers.py": "def fmt(x):\n    return str(x)\n",
@@ -151,3 +153,102 @@ def test_trends_of_an_unchanged_graph_of_many_cycles(scan, tmp_path):
     dense = with_edges(scan, [(f"f{i}", f"f{j}") for i in range(6) for j in range(6) if i != j])
     project.save_snapshot(dense, str(tmp_path), "same")
     assert project.check_trends(dense, str(tmp_path), "same").collect() == []
+
+
+def test_aliases_and_exports(spark, tmp_path):
+    files = {
+        "tsconfig.json": '{ // aliases\n "compilerOptions": {"baseUrl": "./code", "paths": {"@u/*": ["util/*"], "main": ["./start"],} } }',
+        "package.json": '{"name": "us", "main": "./lib/main.js", "exports": {".": {"import": "./lib/esm.js", "require": "./lib/main.js"}, "./sub": "./lib/sub.js"}}',
+        "code/util/fmt.ts": "export const f = 1;\n", "code/start.ts": "", "lib/esm.js": "", "lib/sub.js": "",
+        "code/app.ts": "import {f} from '@u/fmt';\nimport m from 'main';\nimport g from '@other/pkg';\n",
+        "test.js": "import a from 'us';\nimport b from 'us/sub';\nimport c from 'them';\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    s = project.scan(spark, str(tmp_path))
+    assert {(r.src, r.dst) for r in s.edges.collect()} == {("code/app.ts", "code/util/fmt.ts"), ("code/app.ts", "code/start.ts"), ("test.js", "lib/esm.js"), ("test.js", "lib/sub.js")}
+
+
+def test_a_cache_spares_what_has_not_changed(spark, tmp_path, monkeypatch):
+    from topograph.sources import parse
+
+    root, cache = tmp_path / "tree", str(tmp_path / "cache")
+    root.mkdir()
+    (root / "a.py").write_text("import b\n")
+    (root / "b.py").write_text("def f(): pass\n")
+    first = project.scan(spark, str(root), cache_path=cache)
+    assert {(r.src, r.dst) for r in first.edges.collect()} == {("a.py", "b.py")}
+    (root / "b.py").write_text("import c\n")
+    (root / "c.py").write_text("import a\n")
+    seen = []
+    plain = parse.parse_files
+    monkeypatch.setattr(parse, "parse_files", lambda files: seen.append({r.path for r in files.collect()}) or plain(files))
+    second = project.scan(spark, str(root), cache_path=cache)
+    assert seen == [{"b.py", "c.py"}] and {(r.src, r.dst) for r in second.edges.collect()} == {("a.py", "b.py"), ("b.py", "c.py"), ("c.py", "a.py")}
+    (root / "c.py").unlink()
+    assert {(r.src, r.dst) for r in project.scan(spark, str(root), cache_path=cache).edges.collect()} == {("a.py", "b.py")} and seen[1:] == [set()]
+    assert {r.path for r in project.saved_cache(spark, cache).collect()} == {"a.py", "b.py"}
+    (tmp_path / "no").mkdir()
+    (tmp_path / "no" / "part.parquet").write_text("broken")
+    assert project.saved_cache(spark, str(tmp_path / "no")) is None and project.saved_cache(spark, str(tmp_path / "none")) is None
+
+
+def test_sarif_has_every_dependency(scan):
+    spark = scan.nodes.sparkSession
+    one = scan.deps.where("path = 'app.py' and target_path is not null").limit(1)
+    many = one.crossJoin(spark.range(5001)).withColumn("raw_text", F.concat("raw_text", F.col("id").cast("string"))).drop("id")
+    assert len(json.loads(render.sarif(many))["runs"][0]["results"]) == 5001
+    assert {r.confidence: r.dependencies for r in render.confidence_summary(scan.deps).collect()}["ast"] > 3
+
+
+def test_snapshots_are_compared(scan, tmp_path):
+    project.save_snapshot(with_edges(scan, [("a", "b"), ("b", "c")]), str(tmp_path), "one")
+    project.save_snapshot(with_edges(scan, [("a", "b"), ("b", "c"), ("c", "a"), ("d", "b")]), str(tmp_path), "two")
+    found = project.diff_snapshots(scan.nodes.sparkSession, str(tmp_path), "one", "two")
+    row = found["diff"].first()
+    assert (row.files_added, row.newer_edges, row.new_cycles) == (1, 4, 1)
+    assert [(r.path, r.growth, r["rank"]) for r in found["growth"].orderBy("rank").limit(2).collect()] == [("a", 1, 1), ("b", 1, 2)]
+    assert [r.tag for r in project.snapshots.list_tags(scan.nodes.sparkSession, str(tmp_path)).collect()] == ["two", "one"]
+
+
+def test_risk_of_a_diff(scan):
+    spark = scan.nodes.sparkSession
+    text = "diff --git a/models/user.py b/models/user.py\n--- a/models/user.py\n+++ b/models/user.py\n@@ -1 +1,2 @@\n-x\n+def changed(a):\n+    pass\n"
+    hot = spark.createDataFrame([("models/user.py", 0.5, 3.0, 10)], "path string, bug_fix_rate double, churn_frequency double, co_change_count long")
+    parts, total = project.score_diff(scan, text, hot)
+    value = {r.name: r.normalized_value for r in parts.collect()}
+    assert value["change_nature.line_count"] == 3 / 500 and value["change_nature.api_change"] == 1.0 and value["historical_hotspot"] == 1.0
+    assert total.first().score_100 > 40 and history_zero(spark, hot) == (0, 0.0)
+
+
+def history_zero(spark, hot):
+    from topograph.operators import history
+
+    row = history.hotspot_of(hot, "nowhere.py").first()
+    return row.co_change_count, row.bug_fix_rate
+
+
+def test_the_command_line(spark, tmp_path, capsys):
+    import subprocess
+
+    from topograph import __main__ as cli
+
+    git = lambda *args: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.email=me@x", "-c", "user.name=me", *args], check=True, capture_output=True)
+    git("init", "-q", "-b", "main")
+    (tmp_path / "a.py").write_text("import b\n")
+    (tmp_path / "b.py").write_text("def f():\n    pass\n")
+    git("add", ".")
+    git("commit", "-qm", "fix: start")
+    git("checkout", "-qb", "work")
+    (tmp_path / "b.py").write_text("def g(x):\n    pass\n")
+    git("commit", "-qam", "change")
+    run = lambda *args: (cli.run(spark, cli.parser().parse_args([*args[:1], str(tmp_path), *args[1:]])), capsys.readouterr().out)
+    code, out = run("scan", "--incremental", "--max-file-size", "1", "--sarif-output", str(tmp_path / "s.sarif"))
+    assert code == 0 and json.loads(out)["total_files"] == 2 and json.loads(out)["repository"]["branch"] == "work" and json.loads((tmp_path / "s.sarif").read_text())["version"] == "2.1.0"
+    assert (tmp_path / ".topograph" / "cache").exists() and "| mutated |" in run("diff", "--ref", "main", "--format", "markdown")[1]
+    code, out = run("pr-report", "--base", "main")
+    assert code == 0 and "**Risk:**" in out and (tmp_path / ".topograph" / "hotspots").exists()
+    assert run("snapshot", "save", "--tag", "x")[0] == 0 and run("snapshot", "check", "--tag", "x") == (0, "[]\n")
+    assert json.loads(run("snapshot", "diff", "--tag", "x", "--with", "x")[1])["diff"][0]["new_cycles"] == 0
+    assert "<svg" in run("viz")[1] and json.loads(run("callgraph")[1])["stats"]["total_symbols"] == 1

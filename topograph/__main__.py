@@ -5,9 +5,12 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from collections.abc import Iterator
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
+from topograph.functions import scratch
 from topograph.plans import project, render
 from topograph.sources import gittext
 from topograph.sources.config import Config
@@ -19,16 +22,16 @@ def parser() -> argparse.ArgumentParser:
     add = lambda name, *args: [v := verbs.add_parser(name), v.add_argument("path"), *(v.add_argument(*a[0], **a[1]) for a in args)]
     arg = lambda *names, **options: (names, options)
     out = arg("--output")
-    add("scan", arg("--max-file-size", type=int, default=512), arg("--since"), arg("--incremental", action="store_true"), arg("--sarif-output"))
-    add("trace", arg("files", nargs="+"), arg("--max-chains", type=int, default=50))
-    add("diff", arg("--staged", action="store_true"), arg("--ref"), arg("--max-chains", type=int, default=50))
+    add("scan", arg("--max-file-size", type=int), arg("--since"), arg("--incremental", action="store_true"), arg("--sarif-output"))
+    add("trace", arg("files", nargs="+"), arg("--max-chains", type=int, default=50), arg("--format", choices=["json", "markdown"], default="json"))
+    add("diff", arg("--staged", action="store_true"), arg("--ref"), arg("--max-chains", type=int, default=50), arg("--format", choices=["json", "markdown"], default="json"))
     add("cycles", arg("--max-length", type=int))
     add("report", arg("--max-length", type=int), arg("--json-output"), arg("--markdown-output"), arg("--sarif-output"))
     add("doctor")
     add("callgraph", arg("--file"), arg("--format", choices=["json", "mermaid", "dot"], default="json"), arg("--max-nodes", type=int, default=100), out)
     add("viz", arg("--format", choices=["html", "mermaid", "dot"], default="html"), arg("--focus"), arg("--depth", type=int, default=1), out)
     add("tests", arg("--since", default="HEAD"), arg("--format", choices=["list", "args", "json"], default="list"), arg("--max-blast", type=int, default=50))
-    add("snapshot", arg("action", choices=["save", "list", "check"]), arg("--tag", default="latest"), arg("--store"))
+    add("snapshot", arg("action", choices=["save", "list", "check", "diff"]), arg("--tag", default="latest"), arg("--with", dest="other", default="latest"), arg("--store"))
     add("pr-report", arg("--base", default="main"), arg("--format", choices=["github-comment", "markdown"], default="markdown"), arg("--fail-on-high-risk", action="store_true"), out)
     return top
 
@@ -41,6 +44,11 @@ def put(text: str, path: str | None) -> None:
         print(text)
 
 
+def put_parts(parts: Iterator[str], path: str) -> None:
+    with open(path, "w", encoding="utf-8") as f:
+        f.writelines(parts)
+
+
 def run(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.verb == "doctor":
         project.doctor(spark, a.path).show(truncate=False)
@@ -49,27 +57,36 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.verb == "snapshot" and a.action == "list":
         project.snapshots.list_tags(spark, store).show(truncate=False)
         return 0
+    if a.verb == "snapshot" and a.action == "diff":
+        put(render.audit_json(project.diff_snapshots(spark, store, a.tag, a.other)), None)
+        return 0
     config: Config = project.load_config(a.path)
-    only = None
-    if a.verb == "scan" and (a.incremental or a.since):
-        only = gittext.changed_files(spark, a.path, ref=a.since)
-    s = project.scan(spark, a.path, config, only)
+    only = cache = None
+    if a.verb == "scan":
+        if a.max_file_size is not None:
+            config = replace(config, max_file_size_kb=a.max_file_size)
+        if a.since:
+            only = gittext.changed_files(spark, a.path, ref=a.since)
+        if a.incremental:
+            cache = f"{a.path.rstrip('/')}/.topograph/cache"
+    s = project.scan(spark, a.path, config, only, cache_path=cache)
     if a.verb == "scan":
-        put(json.dumps(render.rows(project.stats(s))[0], indent=2), None)
+        put(json.dumps(render.rows(project.stats(s))[0] | {"repository": render.rows(gittext.status(spark, a.path))[0]}, indent=2), None)
         if a.sarif_output:
-            put(render.sarif(s.deps), a.sarif_output)
+            put_parts(render.sarif_parts(s.deps), a.sarif_output)
     elif a.verb in ("trace", "diff"):
         files = a.files if a.verb == "trace" else [r.path for r in gittext.changed_files(spark, a.path, a.staged, a.ref).collect()]
-        put(render.audit_json(project.trace(s, files, a.max_chains)), None)
+        found = project.trace(s, files, a.max_chains)
+        put(render.audit_json(found) if a.format == "json" else render.markdown("Impact", found), None)
     elif a.verb == "cycles":
         put(render.audit_json(project.cycle_tables(s, a.max_length)), None)
     elif a.verb == "report":
         tables = project.audit(s, a.max_length)
         put(render.audit_json(tables), a.json_output)
         if a.markdown_output:
-            put(render.markdown("Audit", tables), a.markdown_output)
+            put(render.markdown("Audit", {"confidence": render.confidence_summary(s.deps)} | tables), a.markdown_output)
         if a.sarif_output:
-            put(render.sarif(s.deps, tables["cycles"]), a.sarif_output)
+            put_parts(render.sarif_parts(s.deps, tables["cycles"]), a.sarif_output)
     elif a.verb == "callgraph":
         t = project.call_graph(s)
         calls = project.callgraph.of_file(t["calls"], a.file) if a.file else t["calls"]
@@ -95,7 +112,9 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
             put(json.dumps(alerts, indent=2), None)
             return int(any(x["severity"] == "CRITICAL" for x in alerts))
     else:
-        t = project.pr_report(s, [r.path for r in gittext.changed_files(spark, a.path, ref=a.base).collect()])
+        hot = project.hotspots(spark, a.path, f"{a.path.rstrip('/')}/.topograph/hotspots")
+        text = gittext.run_git(a.path, "diff", "--unified=0", f"{a.base}...HEAD")
+        t = project.pr_report(s, [r.path for r in gittext.changed_files(spark, a.path, ref=a.base).collect()], hot, text or None)
         put(render.pr_markdown(t, a.format == "github-comment"), a.output)
         return int(a.fail_on_high_risk and t["risk"].first().level == "HIGH")
     return 0
@@ -108,6 +127,8 @@ def main() -> int:
         return run(spark, args)
     except KeyboardInterrupt:
         return 130
+    finally:
+        scratch.clear(spark)
 
 
 if __name__ == "__main__":

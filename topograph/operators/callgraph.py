@@ -17,8 +17,10 @@ def _module_files(bindings: DataFrame, symbols: DataFrame) -> DataFrame:
     slashed = F.replace("module", F.lit("."), F.lit("/"))
     up = F.concat_ws("/", folder, F.array_repeat(F.lit(".."), F.greatest(F.col("level") - 1, F.lit(0))))
     wanted = F.when(F.col("level") > 0, joined(up, slashed)).otherwise(slashed)
-    b = bindings.withColumn("want", F.concat(wanted, F.lit(".py"))).withColumn("name_", basename(F.col("want")))
-    near = b.join(files.withColumn("name_", basename(F.col("file"))), "name_")
+    # files meet on two parts of their paths where a module has so many: names like utils.py are too common
+    b = bindings.withColumn("want", F.concat(wanted, F.lit(".py"))).withColumn("name_", F.substring_index("want", "/", -2))
+    named = files.withColumn("name_", F.explode(F.array_distinct(F.array(basename(F.col("file")), F.substring_index("file", "/", -2)))))
+    near = b.join(named, "name_")
     fits = F.when(F.col("level") > 0, F.col("file") == F.col("want")).otherwise((F.col("file") == F.col("want")) | F.endswith("file", F.concat(F.lit("/"), F.col("want"))))
     keys = ["path", "bound", "module", "level", "imported", "line"]
     found = near.where(fits).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("file").alias("file")).where("n = 1")

@@ -48,8 +48,8 @@ def joined(folder: Column, relative: Column) -> Column:
     return F.when(state["ok"], F.array_join(state["kept"], "/"))
 
 
-def candidates(deps: DataFrame, ts_paths: dict[str, list[str]] | None = None) -> DataFrame:
-    """deps with candidates, the paths that an import may mean, best first."""
+def candidates(deps: DataFrame, ts_paths: dict[str, list[str]] | None = None, exports: dict[str, str] | None = None) -> DataFrame:
+    """deps with candidates, the paths that an import may mean, best first; exports gives the files of the project's own package by name."""
     spec, folder, level = F.col("specifier"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1), F.col("level")
     slashed = F.replace(spec, F.lit("."), F.lit("/"))
     up = F.concat_ws("/", folder, F.array_repeat(F.lit(".."), F.greatest(level - 1, F.lit(0))))
@@ -63,6 +63,8 @@ def candidates(deps: DataFrame, ts_paths: dict[str, list[str]] | None = None) ->
     near = joined(folder, spec)
     relative = _arr(*(F.concat(near, F.lit(s)) for s in RELATIVE_SUFFIXES))
     bare = _arr(F.concat(spec, F.lit("/index.js")), F.concat(spec, F.lit(".js")), F.concat(F.lit("node_modules/"), spec, F.lit("/index.js")))
+    for name, file in sorted((exports or {}).items()):
+        bare = F.when(spec == name, _arr(F.lit(file))).otherwise(bare)
     script = F.when(spec.rlike(r"^\.\.?(/|$)"), relative).otherwise(bare)
     typed = script
     for alias, targets in sorted((ts_paths or {}).items(), reverse=True):
@@ -98,14 +100,14 @@ def is_external(language: Column, spec: Column, wildcard: Column, kind: Column)
     )
 
 
-def resolve(deps: DataFrame, index: DataFrame, ts_paths: dict[str, list[str]] | None = None) -> DataFrame:
+def resolve(deps: DataFrame, index: DataFrame, ts_paths: dict[str, list[str]] | None = None, exports: dict[str, str] | None = None) -> DataFrame:
     """raw_deps with target_path, is_external, is_stdlib, is_unresolved, resolution_note, confidence, confidence_source.
 
     The first candidate in the index (path) wins. Quoted includes that none
     fits are looked up by file name, which must be unique. Project files come
     before libraries, but Python's standard library before everything.
     """
-    rows = candidates(deps, ts_paths)
+    rows = candidates(deps, ts_paths, exports)
     std = is_stdlib(F.col("language"), F.col("specifier"), F.col("level"), F.col("kind"))
     ext = is_external(F.col("language"), F.col("specifier"), F.col("is_wildcard"), F.col("kind"))
     rows = rows.withColumns({"std": std, "ext": ext})

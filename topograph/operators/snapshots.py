@@ -79,4 +79,4 @@ def trend_alerts(older: DataFrame, newer: DataFrame, older_edges: DataFrame, new
 def largest_growth(older: DataFrame, newer: DataFrame, n: int = 10) -> DataFrame:
     """The n paths whose in-degree grew most."""
     grown = newer.select("path", F.col("in_degree").alias("new")).join(older.select("path", F.col("in_degree").alias("old")), "path", "left").fillna(0).withColumn("growth", F.col("new") - F.col("old"))
-    return grown.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("growth"), "path"))).where(F.col("rank") <= n)
+    return grown.orderBy(F.desc("growth"), "path").limit(n).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("growth"), "path")))  # of n rows

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from topograph.functions.scratch import materialize
 
 
+#: Rounds after which what was found so far is written as one table.
+TOGETHER = 8
+
+
 def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
@@ -34,6 +38,8 @@ def distances(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None,
         if new.isEmpty():
             break
         seen = seen.union(new)
+        if depth % TOGETHER == 0:  # else round d would read d tables
+            seen = materialize(seen, "seen")
         frontier = new if closed is None else new.join(closed.select(F.col("id").alias("node")), "node", "left_anti").select("origin", "node", "distance")
     return seen.where("distance > 0")
 
@@ -52,6 +58,8 @@ def shortest_chains(edges: DataFrame, seeds: DataFrame, max_depth: int | None =
         if new.isEmpty():
             break
         seen = seen.unionByName(new)
+        if depth % TOGETHER == 0:
+            seen = materialize(seen, "seen")
         frontier = new
     return seen.select("origin", "node", (F.size("path") - 1).alias("distance"), "path").where("distance > 0")
 

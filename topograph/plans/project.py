@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from topograph.functions.scratch import materialize
 from topograph.operators import callgraph, centrality, cycles, diff, graph, history, impact, risk, selection, snapshots
 from topograph.operators.resolve import resolve
 from topograph.sources import gittext, parse, tree
-from topograph.sources.config import Config
+from topograph.sources.config import Config, script_aliases, script_exports
 
 
 @dataclass
@@ -53,17 +55,31 @@ def load_config(root: str, name: str = "topograph.json") -> Config:
         return Config.from_json(f.read())
 
 
-def scan(spark: SparkSession, root: str, config: Config | None = None, only: DataFrame | None = None, cache: DataFrame | None = None, ts_paths: dict[str, list[str]] | None = None) -> Scan:
-    """Read, parse and resolve a tree. only (path) restricts what is parsed, not the index; cache holds rows parsed before."""
+def scan(spark: SparkSession, root: str, config: Config | None = None, only: DataFrame | None = None, cache: DataFrame | None = None, ts_paths: dict[str, list[str]] | None = None, exports: dict[str, str] | None = None, cache_path: str | None = None) -> Scan:
+    """Read, parse and resolve a tree.
+
+    only (path) restricts what is parsed, not the index. cache holds rows
+    parsed before; with cache_path they are read from there, if it has any, and
+    what the next scan may use is left there. Aliases and exports come from
+    the tree's tsconfig.json and package.json unless given.
+    """
     config = config or load_config(root)
     every = tree.read_tree(spark, root, config)
     mine = every if only is None else tree.subset(every, only)
     todo = mine.where("not skipped")
+    if cache_path is not None:
+        cache = saved_cache(spark, cache_path)
     parsed = parse.parse_files(todo if cache is None else tree.to_parse(todo, cache))
     if cache is not None:
-        parsed = parsed.unionByName(tree.cached(todo.select("path", "sha1"), cache).select(parsed.columns))
+        parsed = tree.refresh_cache(cache.select(parsed.columns), todo, parsed)
+    if cache_path is not None:
+        parsed = materialize(parsed, "parsed")  # the cache that it was made of is replaced
+        kept = parsed if only is None or cache is None else parsed.unionByName(cache.select(parsed.columns).join(todo.select("path"), "path", "left_anti").join(every.select("path"), "path", "left_semi"))
+        materialize(kept, "kept").write.mode("overwrite").parquet(cache_path)
     t = parse.tables(parsed)
-    deps = materialize(resolve(t["raw_deps"], every.select("path"), ts_paths), "deps")
+    ts_paths = script_aliases(root) if ts_paths is None else ts_paths
+    exports = script_exports(root) if exports is None else exports
+    deps = materialize(resolve(t["raw_deps"], every.select("path"), ts_paths, exports), "deps")
     files = materialize(mine.select("path", "language", "suffix", "size_bytes", "mtime", "sha1", "is_script", "skipped", F.lit(None).cast("string").alias("error")).where("not skipped"), "files")
     nodes = materialize(graph.file_nodes(files, deps, t["symbols"]), "nodes")
     edges = materialize(graph.internal_edges(deps), "edges")
@@ -71,19 +87,46 @@ def scan(spark: SparkSession, root: str, config: Config | None = None, only: Dat
     return Scan(files, deps, t["symbols"], t["calls"], t["bindings"], t["dynamic_imports"], t["warnings"].unionByName(large), nodes, edges, config)
 
 
+def saved_cache(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows a scan left at path; None if there are none, or if they can't be read."""
+    try:
+        found = spark.read.schema(parse.SCHEMA).parquet(path)
+        found.limit(1).collect()
+    except (AnalysisException, PySparkException, Py4JJavaError):
+        return None
+    return found
+
+
 def stats(s: Scan) -> DataFrame:
     return graph.graph_stats(s.nodes, s.edges, s.deps, s.files)
 
 
-def score(s: Scan, paths: DataFrame, hotspots: DataFrame | None = None, symbols: DataFrame | None = None, with_cycles: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(components, total) of the risk of changing paths (id)."""
+def score(s: Scan, paths: DataFrame, hotspots: DataFrame | None = None, symbols: DataFrame | None = None, with_cycles: bool = False, lines: int | None = None, sources: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(components, total) of the risk of changing paths (id).
+
+    Betweenness is exact, which takes nodes x nodes rows; with a number of
+    sources it is estimated from so many nodes, drawn by a hash of their ids:
+    with k of them it is off by more than e with a chance of at most
+    2 n exp(-2 k e^2).
+    """
     known = paths.join(s.nodes.select("id"), "id", "left_semi")
     blast = impact.impact_together(s.nodes, s.edges, known)
     found = cycles.simple_cycles(s.edges) if with_cycles else None
-    parts = materialize(risk.risk_components(paths, known, s.nodes, s.degrees, centrality.betweenness(s.nodes, s.edges), blast, hotspots, found, symbols, s.config.weights), "risk")
+    drawn = None if sources is None else materialize(s.nodes.select("id").orderBy(F.xxhash64("id"), "id").limit(sources), "sources")
+    parts = materialize(risk.risk_components(paths, known, s.nodes, s.degrees, centrality.betweenness(s.nodes, s.edges, drawn), blast, hotspots, found, symbols, s.config.weights, lines), "risk")
     return parts, risk.risk_total(parts, s.config.high_threshold, s.config.medium_threshold)
 
 
+def score_diff(s: Scan, diff_text: str, hotspots: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(components, total) of the risk of a diff: its files, the symbols and the lines that it changes, and the history of its files."""
+    lines = gittext.lines(s.nodes.sparkSession, diff_text)
+    rows = materialize(diff.diff_lines(lines).where("path is not null"), "diff")
+    symbols = materialize(diff.changed_symbols(lines), "symbols")
+    changed = rows.select(F.col("path").alias("id")).distinct()
+    count = rows.where("kind in ('added', 'removed')").count()
+    return score(s, changed, hotspots, symbols if not symbols.isEmpty() else None, lines=count)
+
+
 def trace(s: Scan, paths: list[str], max_chains: int = 50) -> dict[str, DataFrame]:
     """Impact of each path and of all, shortest chains, and risk."""
     known = s.asked(paths).join(s.nodes.select("id"), "id", "left_semi")
@@ -113,11 +156,11 @@ def select_tests(s: Scan, diff_text: str, limit: int = 50) -> dict[str, DataFram
     return {"tests": chosen, "summary": selection.selection_summary(s.edges, changed, s.tests, chosen)}
 
 
-def pr_report(s: Scan, paths: list[str], hotspots: DataFrame | None = None) -> dict[str, DataFrame]:
+def pr_report(s: Scan, paths: list[str], hotspots: DataFrame | None = None, diff_text: str | None = None) -> dict[str, DataFrame]:
     changed = s.asked(paths)
     known = changed.join(s.nodes.select("id"), "id", "left_semi")
     hit = impact.impact(s.edges, known).select(F.col("affected").alias("id")).union(changed).distinct()
-    parts, total = score(s, changed, hotspots)
+    parts, total = score(s, changed, hotspots) if diff_text is None else score_diff(s, diff_text, hotspots)
     return {"affected": hit, "top": selection.top_affected(hit, s.degrees), "tests": selection.suggest_tests(s.edges, hit, s.tests), "components": parts, "risk": total}
 
 
@@ -128,6 +171,27 @@ def history_of(spark: SparkSession, root: str, days: int = 90) -> DataFrame:
     return history.hotspots(history.commit_flags(commits), files)
 
 
+def hotspots(spark: SparkSession, root: str, store: str | None = None, days: int = 90, keep_days: int = 7) -> DataFrame:
+    """Hotspots by the log of a repository; those kept at store, if they are younger than keep_days, else new ones that are kept there."""
+    if store is not None:
+        try:
+            found = history.fresh(spark.read.parquet(store), days=keep_days)
+            if not found.isEmpty():
+                return found.drop("computed_at")
+        except AnalysisException:
+            pass
+    found = materialize(history_of(spark, root, days), "hotspots")
+    if store is not None:
+        found.withColumn("computed_at", F.current_timestamp()).write.mode("overwrite").parquet(store)
+    return found
+
+
+def diff_snapshots(spark: SparkSession, store: str, old: str, new: str) -> dict[str, DataFrame]:
+    """What changed between two saved snapshots, and the paths whose in-degree grew most."""
+    a, b = ({name: snapshots.table(spark, store, name).where(F.col("tag") == snapshots.find_tag(spark, store, tag)) for name in ("metrics", "edges", "cycles")} for tag in (old, new))
+    return {"diff": snapshots.diff(a["metrics"], b["metrics"], a["edges"], b["edges"], a["cycles"], b["cycles"]), "growth": snapshots.largest_growth(a["metrics"], b["metrics"]), "new_cycles": snapshots.new_cycles(a["cycles"], b["cycles"])}
+
+
 def save_snapshot(s: Scan, store: str, tag: str, commit: str = "unknown", message: str = "") -> None:
     found = cycles.simple_cycles(s.edges)
     snapshots.save(store, tag, snapshots.metrics(tag, s.degrees, centrality.betweenness(s.nodes, s.edges)), s.edges, found, commit, message)

@@ -437,16 +437,19 @@ def _snap_cycles(edges: str, p: str, c: str) -> str:
 _NEW_CYCLES = ", ".join([_snap_cycles("o", "po", "oc"), _snap_cycles("w", "pw", "wc"), "nc AS (SELECT nodes, length FROM wc WHERE nodes NOT IN (SELECT nodes FROM oc))"])
 
 
-def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+def _snapshot_metrics(spark: SparkSession, sf_dir: str, one: DataFrame, two: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = D.trade_nodes(spark, sf_dir)
+    return snapshots.metrics("older", graph.degrees(nodes, one)), snapshots.metrics("newer", graph.degrees(nodes, two))
+
+
+def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     one, two = _snapshot_edges(spark, sf_dir)
-    old, new = (snapshots.metrics(tag, graph.degrees(nodes, e)) for tag, e in (("older", one), ("newer", two)))
-    return old, new, one, two, cycles.simple_cycles(one), cycles.simple_cycles(two)
+    return *_snapshot_metrics(spark, sf_dir, one, two), one, two, cycles.simple_cycles(one), cycles.simple_cycles(two)
 
 
 @query
 def snapshot_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, new, *_ = _both(spark, sf_dir)
+    old, new = _snapshot_metrics(spark, sf_dir, *_snapshot_edges(spark, sf_dir))
     return old.unionByName(new).select("tag", "path", "in_degree", "out_degree")
 
 
@@ -463,7 +466,7 @@ sql("snapshot_diff", _SNAP, _NODES, _NEW_CYCLES, select="SELECT CAST(0 AS BIGINT
 
 @query
 def snapshot_new_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    *_, one, two = _both(spark, sf_dir)
+    one, two = map(cycles.simple_cycles, _snapshot_edges(spark, sf_dir))
     return snapshots.new_cycles(one, two).select(F.array_join("nodes", ">").alias("cycle"))
 
 

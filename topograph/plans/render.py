@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +20,10 @@ SARIF_RULES = [
 ]
 
 
-def rows(df: DataFrame, limit: int = 1000) -> list[dict]:
-    """Rows of a report table as plain values, at most limit of them."""
-    return [json.loads(x) for x in df.limit(limit).toJSON().collect()]
+def rows(df: DataFrame, limit: int | None = None) -> list[dict]:
+    """Rows of a report table as plain values, all of them unless a limit is given."""
+    text = (df if limit is None else df.limit(limit)).select(F.to_json(F.struct("*")).alias("row"))
+    return [json.loads(r.row) for r in text.collect()]
 
 
 def sarif_results(deps: DataFrame) -> DataFrame:
@@ -44,26 +46,42 @@ def cycle_results(cycles: DataFrame, limit: int = 20) -> DataFrame:
     return cycles.orderBy("length", "nodes").limit(limit).select(F.to_json(F.struct(F.lit("dependency-cycle").alias("ruleId"), F.lit("warning").alias("level"), F.struct(text.alias("text")).alias("message"), F.array(where).alias("locations"))).alias("result"))
 
 
-def sarif(deps: DataFrame, cycles: DataFrame | None = None, limit: int = 5000) -> str:
-    """A SARIF 2.1.0 document of the first limit results by path."""
-    found = [json.loads(r.result) for r in sarif_results(deps).orderBy("path", "result").limit(limit).collect()]
-    found += [json.loads(r.result) for r in cycle_results(cycles).collect()] if cycles is not None else []
+def sarif_parts(deps: DataFrame, cycles: DataFrame | None = None) -> Iterator[str]:
+    """A SARIF 2.1.0 document of all results by path, piece by piece: the driver holds one partition of them at a time."""
     rules = [{"id": i, "shortDescription": {"text": t}, "defaultConfiguration": {"level": level}} for i, t, level in SARIF_RULES]
-    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": "topograph", "rules": rules}}, "results": found}]}, indent=2)
+    frame = json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": "topograph", "rules": rules}}, "results": []}]})
+    head, tail = frame[: frame.rindex("[]") + 1], frame[frame.rindex("[]") + 1 :]
+    yield head
+    before = "\n"
+    for found in (sarif_results(deps).orderBy("path", "result"), cycle_results(cycles) if cycles is not None else None):
+        for row in found.toLocalIterator() if found is not None else ():
+            yield before + row.result
+            before = ",\n"
+    yield tail
+
+
+def sarif(deps: DataFrame, cycles: DataFrame | None = None) -> str:
+    return "".join(sarif_parts(deps, cycles))
 
 
 def audit_json(tables: dict[str, DataFrame]) -> str:
-    return json.dumps({"version": "1.0"} | {name: rows(df, 50) for name, df in tables.items()}, indent=2)
+    return json.dumps({"version": "1.0"} | {name: rows(df) for name, df in tables.items()}, indent=2)
+
 
+def confidence_summary(deps: DataFrame) -> DataFrame:
+    """(confidence, score, dependencies): how sure the dependencies are, the surest first."""
+    score = S.confidence_score(F.col("confidence"))
+    return deps.groupBy("confidence", score.alias("score")).agg(F.count(F.lit(1)).alias("dependencies")).orderBy(F.desc("score"), "confidence")
 
-def markdown_table(df: DataFrame, limit: int = 50) -> str:
+
+def markdown_table(df: DataFrame, limit: int | None = None) -> str:
     found = rows(df, limit)
     head = df.columns
     cell = lambda v: "" if v is None else " → ".join(map(str, v)) if isinstance(v, list) else str(v)
     return "\n".join(["| " + " | ".join(head) + " |", "|" + " --- |" * len(head), *("| " + " | ".join(cell(r.get(c)).replace("|", "\\|") for c in head) + " |" for r in found)])
 
 
-def markdown(title: str, tables: dict[str, DataFrame], limit: int = 50) -> str:
+def markdown(title: str, tables: dict[str, DataFrame], limit: int | None = None) -> str:
     return "\n\n".join([f"# {title}", *(f"## {name.replace('_', ' ').capitalize()}\n\n{markdown_table(df, limit)}" for name, df in tables.items())]) + "\n"
 
 
@@ -74,7 +92,9 @@ def pr_markdown(tables: dict[str, DataFrame], comment: bool = True) -> str:
     return "\n\n".join([*parts, *(["**Tests:**\n" + "\n".join(f"- `{t}`" for t in tests)] if tests else [])]) + "\n"
 
 
-def _drawn(nodes: DataFrame, edges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+def _drawn(nodes: DataFrame, edges: DataFrame, limit: int | None) -> tuple[DataFrame, DataFrame]:
+    if limit is None:
+        return nodes, edges
     some = nodes.orderBy("id").limit(limit)
     ids = some.select("id")
     return some, edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
@@ -108,20 +128,27 @@ def dot(nodes: DataFrame, edges: DataFrame, degree: DataFrame, limit: int = 1000
     return "\n".join([*lines, "}"])
 
 
-def html_page(s: Scan, limit: int = 2000) -> str:
-    """A page with the nodes, what they import and what imports them, as a list that can be searched."""
+# Places the nodes on a circle by their order and draws what they import; a click shows one node's edges alone.
+_DRAW = """const at={},R=400,svg=document.getElementById('g');nodes.forEach((n,i)=>{const a=2*Math.PI*i/nodes.length;at[n.id]=[R+50+R*Math.cos(a),R+50+R*Math.sin(a)]});
+function draw(one){let s='';for(const n of nodes)for(const d of n.deps||[])if(at[d]&&(!one||n.id===one||d===one))s+=`<line x1="${at[n.id][0]}" y1="${at[n.id][1]}" x2="${at[d][0]}" y2="${at[d][1]}" stroke="#bbb"/>`;
+svg.innerHTML=s;for(const n of nodes){const c=document.createElementNS(svg.namespaceURI,'circle'),t=document.createElementNS(svg.namespaceURI,'title');c.setAttribute('cx',at[n.id][0]);c.setAttribute('cy',at[n.id][1]);c.setAttribute('r',n.size/2);c.setAttribute('fill',colours[n.language]||'#999');t.textContent=n.id;c.append(t);c.onclick=()=>draw(one===n.id?null:n.id);svg.append(c)}}
+draw(null);"""
+
+
+def html_page(s: Scan, limit: int | None = None) -> str:
+    """A page with the graph, and the nodes as a list that can be searched."""
     some, inside = _drawn(s.nodes, s.edges, limit)
     deps = inside.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_set("dst")).alias("deps"))
     back = inside.groupBy(F.col("dst").alias("id")).agg(F.array_sort(F.collect_set("src")).alias("rdeps"))
     found = rows(some.join(s.degrees, "id").join(deps, "id", "left").join(back, "id", "left").select("id", "language", "in_degree", "out_degree", S.node_size(F.col("in_degree")).alias("size"), "deps", "rdeps").orderBy("id"), limit)
     data = json.dumps(found).replace("</", "<\\/")
     items = "\n".join(f'<li data-id="{html.escape(n["id"], quote=True)}" style="font-size:{n["size"] + 8:.1f}px">{html.escape(n["id"])} <small>{n["in_degree"]} in, {n["out_degree"]} out</small></li>' for n in found)
-    script = "document.getElementById('q').oninput=e=>document.querySelectorAll('li').forEach(l=>l.hidden=!l.dataset.id.includes(e.target.value))"
-    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>Dependencies</title></head><body><input id="q" placeholder="filter"><ul>\n{items}\n</ul><script>const nodes={data};{script}</script></body></html>'
+    script = _DRAW + "document.getElementById('q').oninput=e=>document.querySelectorAll('li').forEach(l=>l.hidden=!l.dataset.id.includes(e.target.value))"
+    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>Dependencies</title></head><body><svg id="g" viewBox="0 0 900 900" width="900"></svg><br><input id="q" placeholder="filter"><ul>\n{items}\n</ul><script>const nodes={data},colours={json.dumps(COLOURS)};{script}</script></body></html>'
 
 
-def callgraph_json(calls: DataFrame, stats: DataFrame, limit: int = 5000) -> str:
-    return json.dumps({"stats": rows(stats)[0], "calls": rows(calls.orderBy("caller_path", "caller_fqn", "callee_path", "callee_fqn"), limit)}, indent=2)
+def callgraph_json(calls: DataFrame, stats: DataFrame) -> str:
+    return json.dumps({"stats": rows(stats)[0], "calls": rows(calls.orderBy("caller_path", "caller_fqn", "callee_path", "callee_fqn"))}, indent=2)
 
 
 def callgraph_mermaid(calls: DataFrame, symbols: DataFrame, max_nodes: int = 100) -> str:
@@ -132,5 +159,5 @@ def callgraph_mermaid(calls: DataFrame, symbols: DataFrame, max_nodes: int = 100
 
 
 def callgraph_dot(calls: DataFrame) -> str:
-    lines = [r.line for r in calls.select(F.concat(F.lit('  "'), S.escape_dot(F.concat_ws("::", "caller_path", "caller_fqn"), False), F.lit('" -> "'), S.escape_dot(F.concat_ws("::", "callee_path", "callee_fqn"), False), F.lit('";')).alias("line")).distinct().orderBy("line").limit(5000).collect()]
+    lines = [r.line for r in calls.select(F.concat(F.lit('  "'), S.escape_dot(F.concat_ws("::", "caller_path", "caller_fqn"), False), F.lit('" -> "'), S.escape_dot(F.concat_ws("::", "callee_path", "callee_fqn"), False), F.lit('";')).alias("line")).distinct().orderBy("line").collect()]
     return "\n".join(["digraph calls {", *lines, "}"])

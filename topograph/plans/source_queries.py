@@ -577,3 +577,19 @@ def growing_test_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("growing_test_choice", growing_test_choice, f"WITH {_GROWING}, {_REACHED} SELECT node AS test, count(DISTINCT origin) AS covers FROM r JOIN customer ON node = 'c' || c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY node")
+
+
+# Cycles by the names of their nodes
+
+
+def cycle_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers of a part, in the order of their last sales, as a cycle from its least one on."""
+    from topograph.operators.cycles import canonical
+
+    sold = D.table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.max("l_orderkey").alias("last"))
+    ring = sold.groupBy("l_partkey").agg(F.array_sort(F.collect_list(F.struct("last", "l_suppkey"))).alias("x")).select("l_partkey", F.col("x.l_suppkey").alias("nodes"))
+    return ring.select("l_partkey", F.array_join(canonical(F.col("nodes")), ">").alias("cycle"))
+
+
+_add("cycle_canonical", cycle_canonical, """WITH s AS (SELECT l_partkey, l_suppkey, max(l_orderkey) AS o FROM lineitem GROUP BY 1, 2), r AS (SELECT l_partkey, list(l_suppkey ORDER BY o, l_suppkey) AS n, min(l_suppkey) AS m FROM s GROUP BY 1),
+p AS (SELECT *, list_position(n, m) AS i FROM r) SELECT l_partkey, array_to_string(list_concat(n[i:], n[:i - 1]), '>') AS cycle FROM p""")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 import warnings
 from dataclasses import dataclass, field, replace
 
@@ -42,3 +44,48 @@ class Config:
         risk = given.get("risk") or {}
         out = replace(cls(), **lists)
         return replace(out, high_threshold=risk.get("high_threshold", 70), medium_threshold=risk.get("medium_threshold", 30), weights=RiskWeights.from_dict(risk.get("weights") or {}))
+
+
+def _object(path: str) -> dict:
+    """A JSON object with comments and trailing commas, as script tools write them; an empty one if there is none."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+    except OSError:
+        return {}
+    text = re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", text, flags=re.S)
+    try:
+        found = json.loads(re.sub(r'("(?:\\.|[^"\\])*")|,(?=\s*[}\]])', lambda m: m[1] or "", text))
+    except ValueError as e:
+        warnings.warn(f"{path} ignored: {e}", stacklevel=2)
+        return {}
+    return found if isinstance(found, dict) else {}
+
+
+def script_aliases(root: str) -> dict[str, list[str]]:
+    """The aliases of tsconfig.json, their targets seen from the root."""
+    options = _object(os.path.join(root, "tsconfig.json")).get("compilerOptions") or {}
+    base = str(options.get("baseUrl") or ".").removeprefix("./").strip("/")
+    place = lambda t: "/".join(x for x in (base if base != "." else "", t.removeprefix("./")) if x)
+    paths = options.get("paths") or {}
+    return {alias: [place(t) for t in targets if isinstance(t, str)] for alias, targets in paths.items() if isinstance(targets, list)}
+
+
+def script_exports(root: str) -> dict[str, str]:
+    """What the package of package.json exports: the file of each name that other code may import."""
+    spec = _object(os.path.join(root, "package.json"))
+    name = spec.get("name")
+    if not isinstance(name, str):
+        return {}
+
+    def file(entry: object) -> str | None:
+        while isinstance(entry, dict):
+            entry = next((entry[k] for k in ("import", "require", "default") if k in entry), None)
+        return entry.removeprefix("./") if isinstance(entry, str) else None
+
+    exports = spec.get("exports")
+    if isinstance(exports, str) or isinstance(exports, dict) and not any(k.startswith(".") for k in exports):
+        exports = {".": exports}
+    found = {name + k.removeprefix("."): file(v) for k, v in (exports or {}).items() if "*" not in k}
+    found.setdefault(name, file(spec.get("main")))
+    return {k: v for k, v in found.items() if v}

@@ -38,6 +38,17 @@ def lines(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([(text,)], "all string").select(F.posexplode(F.split("all", "\n")).alias("n", "text")).select((F.col("n") + 1).alias("line_no"), "text")
 
 
+def branch(root: str) -> str:
+    """The current branch; HEAD if none is checked out, unknown without git."""
+    return run_git(root, "rev-parse", "--abbrev-ref", "HEAD", timeout=10).strip() or "unknown"
+
+
+def status(spark: SparkSession, root: str) -> DataFrame:
+    """(branch, staged, unstaged, untracked) of a work tree."""
+    rows = [(x,) for x in run_git(root, "status", "--porcelain", timeout=30).splitlines() if x]
+    return status_summary(spark.createDataFrame(rows, "text string")).select(F.lit(branch(root)).alias("branch"), "staged", "unstaged", "untracked")
+
+
 def status_summary(status: DataFrame) -> DataFrame:
     """(staged, unstaged, untracked) counts of porcelain lines (text)."""
     index, tree = F.substring("text", 1, 1), F.substring("text", 2, 1)

@@ -21,6 +21,7 @@ def register(language: str, parser: Parser) -> None:
     PARSERS[language] = parser
 
 
+SCHEMA = "path string, sha1 string, language string, row string, seq int, a string, b string, c string, d string, line int, col int, flag boolean"
 _FIELDS = ["path", "sha1", "language", "row", "seq", "a", "b", "c", "d", "line", "col", "flag"]
 
 
@@ -64,8 +65,7 @@ def parse_files(files: DataFrame) -> DataFrame:
                     out += [(path, sha1, language, row, n, *_shape(row, language, x)) for n, x in enumerate(tuples)]
             yield pd.DataFrame(out, columns=_FIELDS)
 
-    schema = "path string, sha1 string, language string, row string, seq int, a string, b string, c string, d string, line int, col int, flag boolean"
-    return files.select("path", "sha1", "language", "content").mapInPandas(run, schema)
+    return files.select("path", "sha1", "language", "content").mapInPandas(run, SCHEMA)
 
 
 def tables(parsed: DataFrame) -> dict[str, DataFrame]:
