@@ -593,3 +593,38 @@ def cycle_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _add("cycle_canonical", cycle_canonical, """WITH s AS (SELECT l_partkey, l_suppkey, max(l_orderkey) AS o FROM lineitem GROUP BY 1, 2), r AS (SELECT l_partkey, list(l_suppkey ORDER BY o, l_suppkey) AS n, min(l_suppkey) AS m FROM s GROUP BY 1),
 p AS (SELECT *, list_position(n, m) AS i FROM r) SELECT l_partkey, array_to_string(list_concat(n[i:], n[:i - 1]), '>') AS cycle FROM p""")
+
+
+# Risk with all its components
+
+
+def risk_components_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations of two regions change: their suppliers are changed symbols and users, their customers what they use, and every region is a cycle."""
+    from topograph.operators.risk import risk_components
+
+    nation = D.table(spark, sf_dir, "nation").select(F.concat(F.when(F.col("n_regionkey") == 0, "src/").otherwise("app/"), "n_name").alias("id"), F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("r"))
+    customer = D.table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("out_degree"), F.avg((F.col("c_acctbal") < 0).cast("double")).alias("bug_fix_rate"))
+    supplier = D.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), "s_suppkey", "s_acctbal")
+    per = supplier.groupBy("k").agg(F.count(F.lit(1)).alias("in_degree"))
+    one = nation.join(customer, "k", "left").join(per, "k", "left").fillna(0, ["in_degree", "out_degree"]).fillna(0.0, ["bug_fix_rate"])
+    changed = nation.where("r < 2").select("id")
+    symbols = supplier.join(nation.where("r < 2"), "k").select(F.col("id").alias("path"), F.when(F.col("s_acctbal") < 0, "SIGNATURE").otherwise("BODY").alias("change_type"), F.col("s_suppkey").alias("start_line"), (F.col("s_suppkey") + F.col("k")).alias("end_line"))
+    hot = one.select(F.col("id").alias("path"), "bug_fix_rate", (F.col("in_degree") / 2).alias("churn_frequency"), F.col("in_degree").alias("co_change_count"))
+    rings = nation.groupBy("r").agg(F.array_sort(F.collect_list("id")).alias("nodes")).select("nodes")
+    blast = nation.agg((F.count_if(F.col("r") < 2) / F.count(F.lit(1)) * 100).alias("blast_radius"))
+    out = risk_components(changed, changed, nation, one.select("id", "in_degree", "out_degree"), nation.select("id", (F.col("k") / 100).alias("betweenness")), blast, hot, rings, symbols)
+    return out.select("name", *(F.round(F.col(c).cast("double"), 6).alias(c) for c in ("weight", "raw_value", "normalized_value", "contribution")))
+
+
+_add("risk_components_full", risk_components_full, """WITH s AS (SELECT s_nationkey AS k, count(*) AS i FROM supplier GROUP BY 1), u AS (SELECT c_nationkey AS k, count(*) AS o, avg(CASE WHEN c_acctbal < 0 THEN 1.0 ELSE 0.0 END) AS rate FROM customer GROUP BY 1),
+n AS (SELECT n_nationkey AS k, n_regionkey AS r, coalesce(i, 0) AS i, coalesce(o, 0) AS o, coalesce(rate, 0) AS rate FROM nation LEFT JOIN s ON s.k = n_nationkey LEFT JOIN u ON u.k = n_nationkey), c AS (SELECT * FROM n WHERE r < 2),
+y AS (SELECT count(*) FILTER (s_acctbal < 0) AS sig, count(*) AS all_, sum(c.k + 1) AS length FROM supplier JOIN c ON c.k = s_nationkey),
+m AS (SELECT (SELECT count(*) FROM n) AS n, count(*) AS f, count(*) FILTER (r = 0) AS core, max(i) AS mx, avg(o / (i + o)) FILTER (i + o > 0) AS fan, avg(k / 100) AS b, count(DISTINCT r) AS cycles, count(*) / (SELECT count(*) FROM n) * 100 AS blast,
+  avg(least(2 * rate, 1) * 0.4 + least(i / 2 / 3, 1) * 0.3 + least(i / 10, 1) * 0.3) AS hot FROM c),
+x(name, weight, raw_value, normalized_value) AS (
+  SELECT 'impact_radius.blast', 0.18, CAST(blast AS DOUBLE), CAST(least(blast / 100, 1) AS DOUBLE) FROM m UNION ALL SELECT 'impact_radius.in_degree', 0.12, mx, mx / n FROM m
+  UNION ALL SELECT 'change_nature.file_count', 0.0375, f, least(f / 20, 1) FROM m UNION ALL SELECT 'change_nature.line_count', 0.0625, length, least(length / 500, 1) FROM y
+  UNION ALL SELECT 'change_nature.api_change', 0.0875, sig, CASE WHEN sig > 0 THEN least(sig / all_ + 0.3, 1) WHEN all_ > 0 THEN 0.3 ELSE 0 END FROM y UNION ALL SELECT 'change_nature.core_path', 0.0625, core, core / f FROM m
+  UNION ALL SELECT 'historical_hotspot', 0.25, hot, hot FROM m UNION ALL SELECT 'coupling_risk.betweenness', 0.08, b, b FROM m
+  UNION ALL SELECT 'coupling_risk.cycle_participation', 0.06, cycles, least(cycles / 10 * 0.5 + f / n * 0.5, 1) FROM m UNION ALL SELECT 'coupling_risk.fan_ratio', 0.06, fan, fan FROM m)
+SELECT name, round(CAST(weight AS DOUBLE), 6) AS weight, round(CAST(raw_value AS DOUBLE), 6) AS raw_value, round(CAST(normalized_value AS DOUBLE), 6) AS normalized_value, round(CAST(normalized_value AS DOUBLE) * CAST(weight AS DOUBLE), 6) AS contribution FROM x""")
