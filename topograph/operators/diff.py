@@ -71,16 +71,40 @@ RULES = {
     "kotlin": _JVM,
     "javascript": _JS,
     "typescript": _JS,
-    "cpp": [(r"^(?!if\b|for\b|while\b|switch\b|return\b|class\b|struct\b|namespace\b)(?:\w+)\s+(\w+)\s*\([^)]*\)\s*(?:const)?\s*\{?", 1, "function", "SIGNATURE")],
 }
 
 
-def _first(language: Column, line: Column, pick) -> Column:
+#: Words that begin C and C++ statements and types, not declarations of functions.
+STATEMENTS = ["break", "case", "catch", "class", "co_return", "co_await", "delete", "do", "else", "enum", "for", "goto", "if", "namespace", "new", "return", "sizeof", "struct", "switch", "throw", "typedef", "union", "using", "while"]
+
+
+def _cpp_function(line: Column) -> Column:
+    """The name of the function that a line of C or C++ declares; null if none.
+
+    Before its first round bracket a declaration has nothing but words and the
+    marks of types: two words or more, of which the last stands at the bracket
+    and is parted from the type; angles come in pairs, and none of the words
+    begins a statement.
+    """
+    head = F.rtrim(F.substring_index(line, "(", 1))
+    words = F.regexp_extract_all(head, F.lit(r"[A-Za-z_]\w*"), F.lit(0))
+    name = F.get(words, F.size(words) - 1)
+    marks = "0123456789 \t*&:<>,~[]"
+    only_words = F.translate(head, marks, "") == F.translate(F.array_join(words, ""), marks, "")
+    angles = F.length(F.replace(head, F.lit("<"), F.lit(""))) == F.length(F.replace(head, F.lit(">"), F.lit("")))
+    parted = F.translate(head, " \t*&>", "") != head
+    fits = F.contains(line, F.lit("(")) & only_words & angles & parted & (F.size(words) > 1) & F.endswith(head, name) & ~F.contains(head, F.lit("<<")) & ~F.arrays_overlap(words, F.array(*map(F.lit, STATEMENTS)))
+    return F.when(fits, name)
+
+
+def _declared(language: Column, line: Column) -> Column:
+    """(name, kind, change) of what a line declares; null if nothing."""
+    found = lambda name, kind, change: F.struct(name.alias("name"), F.lit(kind).alias("kind"), F.lit(change).alias("change"))
     out = F
     for name, rules in RULES.items():
         for pattern, group, kind, change in rules:
-            out = out.when((language == name) & line.rlike(pattern), pick(pattern, group, kind, change))
-    return out.otherwise(F.lit(None))
+            out = out.when((language == name) & line.rlike(pattern), found(F.regexp_extract(line, pattern, group), kind, change))
+    return out.when(language == "cpp", found(_cpp_function(line), "function", "SIGNATURE"))
 
 
 def changed_symbols(lines: DataFrame) -> DataFrame:
@@ -89,10 +113,8 @@ def changed_symbols(lines: DataFrame) -> DataFrame:
     Symbols of a new file are NEW; of a deleted file, its removed declarations, DELETED.
     """
     rows = diff_lines(lines).where("kind = 'added' or (kind = 'removed' and status = 'DELETED')").withColumn("language", language_of(F.col("path")))
-    line = F.trim(F.substring("text", 2, 1 << 30))
-    rows = rows.withColumn("name", _first(F.col("language"), line, lambda p, g, k, c: F.regexp_extract(line, p, g))).where("name is not null")
-    kind = _first(F.col("language"), line, lambda p, g, k, c: F.lit(k))
-    change = _first(F.col("language"), line, lambda p, g, k, c: F.lit(c))
+    rows = rows.withColumn("line", F.trim(F.substring("text", 2, 1 << 30))).withColumn("found", _declared(F.col("language"), F.col("line")))
+    rows = rows.where("found.name is not null").drop("kind").select("*", "found.*")
     at = F.greatest(F.coalesce("new_line", F.lit(1)), F.lit(1))
-    fqn = F.when(F.col("name") == "", F.lit("")).otherwise(F.concat(kind, F.lit(":"), F.col("name")))
-    return rows.select("path", "name", fqn.alias("fqn"), F.when(F.col("status") == "MODIFIED", change).otherwise(F.col("status")).alias("change_type"), at.alias("start_line"), at.alias("end_line"), "language")
+    fqn = F.when(F.col("name") == "", F.lit("")).otherwise(F.concat("kind", F.lit(":"), "name"))
+    return rows.select("path", "name", fqn.alias("fqn"), F.when(F.col("status") == "MODIFIED", F.col("change")).otherwise(F.col("status")).alias("change_type"), at.alias("start_line"), at.alias("end_line"), "language")

@@ -407,6 +407,79 @@ _add("diff_symbols", diff_symbols, f"""WITH {_ITEMS} SELECT 'app/o' || o || '.py
 count(*) FILTER (flag = 'A' AND n % 4 IN (0, 3) AND fresh) AS new, min(new_line) FILTER (flag = 'A' AND n % 4 IN (0, 3)) AS first FROM line GROUP BY o HAVING count(*) FILTER (flag = 'A' AND n % 4 IN (0, 3)) > 0""")
 
 
+#: For each language: path of the changed file of a part, its lines, and of those that declare something kind, name and change.
+_CHANGES = {
+    "cpp": ("src/p¤.cpp", ["static int size¤(int a) {", "  return size¤(1);", "  } else if (size¤(2)) {", "std::vector<int> *all¤(const T &x);", "  std::cout << all¤(x);", "  x = all¤(y);", "  std::move(x);", "bool Box::fits¤(void) const"], {0: ("function", "size¤", "SIGNATURE"), 3: ("function", "all¤", "SIGNATURE"), 7: ("function", "fits¤", "SIGNATURE")}),
+    "java": ("src/P¤.java", ["public final class P¤ extends Q {", "    private static List<String> names¤(int a) {", "        return names¤(b);", "        go(x);"], {0: ("class", "P¤", "BODY"), 1: ("method", "names¤", "SIGNATURE")}),
+    "kotlin": ("src/K¤.kt", ["data class K¤(val x: Int)", "    suspend fun load¤(a: Int): Int {", "        load¤(1)"], {0: ("class", "K¤", "BODY"), 1: ("function", "load¤", "SIGNATURE")}),
+    "typescript": ("web/t¤.ts", ["export const first¤ = 1;", "export async function run¤(x: string) {", "  run¤(y);", "interface I¤ {"], {0: ("function", "first¤", "BODY"), 1: ("function", "run¤", "SIGNATURE"), 3: ("type", "I¤", "BODY")}),
+}
+
+
+def diff_symbols_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the diffs of all parts declare: each part is a diff of a file of one of four languages, of size and some added lines."""
+    part = D.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("commit"), F.col("p_size").alias("start"))
+    text = F
+    for i, (path, added, _) in enumerate(_CHANGES.values()):
+        name = _fill(path, part=F.col("commit"))
+        at = F.concat(F.lit("@@ -1,1 +"), F.col("start").cast("string"), F.lit(f",{len(added) + 1} @@"))
+        head = [F.concat(F.lit("diff --git a/"), name, F.lit(" b/"), name), F.concat(F.lit("--- a/"), name), F.concat(F.lit("+++ b/"), name), at, F.lit(" context")]
+        text = text.when(F.pmod("commit", F.lit(4)) == i, F.array(*head, *(F.concat(F.lit("+"), _fill(x, part=F.col("commit"))) for x in added)))
+    lines = part.select("commit", F.posexplode(text).alias("line_no", "text"))
+    return diff.changed_symbols(lines).select("path", "name", "fqn", "change_type", long("start_line"), "language")
+
+
+def _change_sql() -> str:
+    out = []
+    for i, (language, (path, _, declared)) in enumerate(_CHANGES.items()):
+        fill = lambda x: "replace('" + x + "', '¤', CAST(p_partkey AS VARCHAR))"
+        out += [f"SELECT {fill(path)} AS path, {fill(name)} AS name, '{kind}:' || {fill(name)} AS fqn, '{change}' AS change_type, CAST(p_size + {n + 1} AS BIGINT) AS start_line, '{language}' AS language FROM part WHERE p_partkey % 4 = {i}" for n, (kind, name, change) in declared.items()]
+    return " UNION ALL ".join(out)
+
+
+_add("diff_symbols_by_language", diff_symbols_by_language, _change_sql())
+
+
+# Sources with strings, text blocks, generics and templates: each part is a file of one of five languages
+
+#: For each language: path, text, and what must come out: specifiers of imports with their lines, symbols with theirs. ¤ is the part.
+_CODE = {
+    "java": ("code/J¤.java", 'package code;\nimport a.b.C¤;\nclass J¤<T extends Comparable<T>> {\n  String s = """\n    import fake.Fake;\n    class Not { void no() {} }\n    """;\n  record R¤(int x, T y) { int sum() { return x; } }\n  <U> Map<String, U> turn¤(U in) { return go(in); }\n}\n', {"a.b.C¤": 2}, {"class:J¤": 3, "class:R¤": 8, "method:R¤.sum": 8, "method:J¤.turn¤": 9}),
+    "kotlin": ("code/K¤.kt", 'package code\nimport a.b.C¤ as D\nval text = "import no.Text ${ f("fun no() {}") } class No"\nfun <T> List<T>.second¤(): T = this[1]\nclass K¤ {\n  class Inner { fun deep¤() {} }\n  companion object { fun make() = K¤() }\n}\n', {"a.b.C¤ as D": 2}, {"property:text": 3, "function:List.second¤": 4, "class:K¤": 5, "class:K¤.Inner": 6, "method:K¤.Inner.deep¤": 6, "method:K¤.make": 7}),
+    "cpp": ("code/c¤.cpp", '#include "c¤.h"\nconst char *raw = R"x(\n#include "fake.h"\nvoid fake() { }\n)x";\ntemplate <class T> class Box¤ : public Base<T> {\n  Box¤(int a) : Base<T>(a), b{a} { }\n};\nauto turn¤(int (*f)(int)) -> std::vector<int> { return {}; }\n', {"c¤.h": 1}, {"Box¤": 6, "function:Box¤": 7, "function:turn¤": 9}),
+    "javascript": ("code/s¤.js", "import {\n  a, // import no from 'comment';\n  b\n} from './m¤'\nconst t = `import fake from 'fake';\n${ require('./in¤') } import 'no'`;\nconst s = \"require('x')\", r = /require('y')/;\nfunction run¤() { return s }\n", {"./m¤": 1, "./in¤": 6}, {"function:run¤": 8}),
+    "typescript": ("code/t¤.ts", "import type {T} from './types¤'\nexport class S¤<T extends { a: string }> {\n  handler = (x: number,\n    y: number): void => { this.go(`class No {}`) };\n  async load<U>(a: { b: number }): Promise<U> { return f(a) }\n}\n", {"./types¤": 1}, {"S¤": 2, "S¤.handler": 3, "S¤.load": 5}),
+}
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = D.table(spark, sf_dir, "part").select("p_partkey")
+    rows = F
+    for i, (language, (path, text, _, _)) in enumerate(_CODE.items()):
+        fill = lambda x: _fill(x, part=F.col("p_partkey"))
+        rows = rows.when(F.pmod("p_partkey", F.lit(len(_CODE))) == i, F.struct(fill(path).alias("path"), F.lit(language).alias("language"), fill(text).cast("binary").alias("content")))
+    return part.select(rows.alias("x")).select("x.*").withColumn("sha1", F.sha1("content"))
+
+
+def code_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports of files that hold what looks like imports in strings, text blocks and templates."""
+    return parse.tables(parse.parse_files(code_files(spark, sf_dir)))["raw_deps"].select("path", "specifier", long("line"))
+
+
+def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declarations of files with generics, records, nested types, companions, raw strings and templates."""
+    return parse.tables(parse.parse_files(code_files(spark, sf_dir)))["symbols"].select("path", "fqn", long("line"))
+
+
+def _code_sql(which: int, column: str) -> str:
+    fill = lambda x: "replace('" + x.replace("'", "''") + "', '¤', CAST(p_partkey AS VARCHAR))"
+    return " UNION ALL ".join(f"SELECT {fill(path)} AS path, {fill(x)} AS {column}, CAST({line} AS BIGINT) AS line FROM part WHERE p_partkey % {len(_CODE)} = {i}" for i, (path, *rest) in enumerate(_CODE.values()) for x, line in rest[which].items())
+
+
+_add("code_imports", code_imports, _code_sql(1, "specifier"))
+_add("code_symbols", code_symbols, _code_sql(2, "fqn"))
+
+
 # Logs: the orders of a customer are one, and their items the files of commits
 
 
