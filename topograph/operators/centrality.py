@@ -1,22 +1,19 @@
-"""Betweenness by Brandes' accumulation, level by level over (source, node) rows."""
+"""Betweenness by Brandes' accumulation, level by level over (source, node) rows: of all sources, or of as many as an error needs."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topograph.functions.scratch import materialize
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """(id, betweenness), directed and divided by (n - 1)(n - 2), for every node.
-
-    With sources (id) only shortest paths from those count, scaled up to all
-    nodes: the way to bound the sources x nodes rows on large graphs.
-    """
+def _flows(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(v, delta) for each start (id) and each other node that it reaches: the shares of the shortest paths from it that v stands within."""
     e = edges.where("src <> dst").select("src", "dst").distinct()
-    starts = nodes.select("id") if sources is None else sources.select("id")
-    level = materialize(starts.distinct().select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths"), F.lit(0).alias("level")), "level")
+    level = materialize(starts.select("id").distinct().select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths"), F.lit(0).alias("level")), "level")
     levels = [level]
     seen = level.select("s", "v")
     while True:
@@ -28,18 +25,65 @@ def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None =
         levels.append(new)
         seen = seen.union(new.select("s", "v"))
     gathered: list[DataFrame] = []
-    behind: DataFrame | None = None  # (s, v, share): what flows back to a node from the level after it
+    ahead: DataFrame | None = None  # (s, v, share) of the level after
     for rows in reversed(levels):
-        have = rows.select("s", "v", "paths", F.lit(0.0).alias("delta")) if behind is None else rows.join(behind, ["s", "v"], "left").select("s", "v", "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("delta"))
-        have = materialize(have, "delta")
+        if ahead is None:
+            have = rows.withColumn("delta", F.lit(0.0))
+        else:
+            # forward again, so that hubs with many edges in cost no more than they did on the way there
+            back = rows.select("s", "v").join(e, F.col("v") == e["src"]).select("s", "v", F.col("dst").alias("w")).join(ahead, ["s", "w"]).groupBy("s", "v").agg(F.sum("share").alias("share"))
+            have = rows.join(back, ["s", "v"], "left").withColumn("delta", F.col("paths") * F.coalesce("share", F.lit(0.0)))
+        have = materialize(have.select("s", "v", "paths", "delta"), "delta")
         gathered.append(have.where("s <> v").select("v", "delta"))
-        behind = have.withColumn("share", (1 + F.col("delta")) / F.col("paths")).join(e, F.col("v") == e["dst"]).groupBy("s", F.col("src").alias("v")).agg(F.sum("share").alias("share"))
+        ahead = have.select("s", F.col("v").alias("w"), ((1 + F.col("delta")) / F.col("paths")).alias("share"))
     flow = gathered[0]
     for x in gathered[1:]:
         flow = flow.union(x)
-    total = flow.groupBy("v").agg(F.sum("delta").alias("delta"))
+    return flow
+
+
+def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, betweenness), directed and divided by (n - 1)(n - 2), for every node; exact, in sources x nodes rows."""
+    total = _flows(edges, nodes.select("id")).groupBy("v").agg(F.sum("delta").alias("delta"))
     n = nodes.count()
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    if sources is not None:
-        scale *= n / max(1, sources.count())
     return nodes.join(total, nodes["id"] == total["v"], "left").select("id", (F.coalesce("delta", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+def estimated_betweenness(nodes: DataFrame, edges: DataFrame, error: float = 0.01, confidence: float = 0.95, batch: int = 256, seed: int = 0) -> DataFrame:
+    """(id, betweenness, error) for every node, from shortest paths of as many sources as it takes.
+
+    Sources come in batches of about `batch`, drawn by a hash of their ids, none
+    twice. After each batch every node has the mean and the variance of its
+    shares so far, and from them a bound on its error (empirical Bernstein,
+    for all nodes and batches at once): with the stated confidence no node is
+    off by more than its `error`. Drawing ends when the largest is within the
+    error asked for, or when all nodes have been sources: then all is exact and
+    errors are 0, as they are with error=0. Nodes of even shares settle after
+    few sources, whatever their number. Each batch takes batch x nodes rows.
+    """
+    n = nodes.count()
+    if n <= 2:
+        return nodes.select("id", F.lit(0.0).alias("betweenness"), F.lit(0.0).alias("error"))
+    buckets = max(1, -(-n // batch))
+    drawn = nodes.select("id", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(buckets)).alias("turn"))
+    sums: DataFrame | None = None
+    k = 0
+    for turn in range(buckets):
+        starts = materialize(drawn.where(F.col("turn") == turn).select("id"), "starts")
+        k += starts.count()
+        share = F.col("delta") / (n - 2)
+        new = _flows(edges, starts).groupBy(F.col("v").alias("id")).agg(F.sum(share).alias("s1"), F.sum(share * share).alias("s2"))
+        sums = materialize(new if sums is None else sums.union(new).groupBy("id").agg(F.sum("s1").alias("s1"), F.sum("s2").alias("s2")), "sums")
+        if k < 2 and turn + 1 < buckets:
+            continue
+        log = math.log(4 * n * (turn + 1) * (turn + 2) / (1 - confidence))
+        variance = F.greatest((F.col("s2") - F.col("s1") * F.col("s1") / k) / max(1, k - 1), F.lit(0.0))
+        bound = F.lit(0.0) if turn + 1 == buckets else (F.sqrt(variance * (2 * log / k)) + 7 * log / (3 * (k - 1))) * (n / (n - 1))
+        # a node that no path went through yet has the variance 0
+        least = 0.0 if turn + 1 == buckets else 7 * log / (3 * (k - 1)) * (n / (n - 1))
+        worst = max(least, sums.agg(F.coalesce(F.max(bound), F.lit(0.0))).first()[0])
+        if worst <= error or turn + 1 == buckets:
+            break
+    scale = n / (n - 1) / max(1, k)
+    return nodes.select("id").join(sums, "id", "left").select("id", (F.coalesce("s1", F.lit(0.0)) * scale).alias("betweenness"), F.coalesce(F.when(F.col("s1").isNotNull(), bound), F.lit(least)).alias("error"))

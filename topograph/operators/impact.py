@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topograph.operators.components import connected_components
+from topograph.operators.reach import reach
 from topograph.operators.traverse import distances, reversed_edges, shortest_chains
 
 
@@ -38,7 +39,8 @@ def impact_per_node(nodes: DataFrame, edges: DataFrame, changed: DataFrame) -> D
     component, blast_project to all nodes, in percent. A node that isn't in
     the graph affects nothing and has 0.
     """
-    found = impact(edges, changed).groupBy("mutated").agg(F.count_if("is_direct").alias("direct"), F.count(F.lit(1)).alias("total"))
+    direct = edges.where("src <> dst").select("src", "dst").distinct().groupBy(F.col("dst").alias("mutated")).agg(F.count(F.lit(1)).alias("direct"))
+    found = reach(reversed_edges(edges), changed).counts().select(F.col("id").alias("mutated"), F.col("reached").alias("total")).join(direct, "mutated", "left")
     sizes = component_sizes(nodes, edges)
     total = nodes.agg(F.count(F.lit(1)).alias("n"))
     rows = changed.select(F.col("id").alias("mutated")).distinct().join(found, "mutated", "left").join(sizes.withColumnRenamed("id", "mutated"), "mutated", "left").crossJoin(F.broadcast(total))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topograph.functions.scratch import materialize
+from topograph.operators.reach import reach
 
 
 #: Rounds after which what was found so far is written as one table.
@@ -80,11 +81,14 @@ def callers(edges: DataFrame, target: DataFrame, max_depth: int = 10, transitive
 
 def covers(edges: DataFrame, tests: DataFrame, sources: DataFrame) -> DataFrame:
     """(test, source) pairs with a path from test to source."""
-    found = distances(reversed_edges(edges), sources)
-    return found.join(tests.select(F.col("id").alias("node")), "node", "left_semi").select(F.col("node").alias("test"), F.col("origin").alias("source"))
+    found = reach(reversed_edges(edges), sources).pairs(tests)
+    return found.select(F.col("node").alias("test"), F.col("origin").alias("source"))
 
 
 def max_call_depth(edges: DataFrame) -> DataFrame:
     """(max_depth): the longest of the shortest call chains, counted in symbols; 0 without calls."""
-    starts = edges.select(F.col("src").alias("id")).distinct()
-    return distances(edges, starts).agg((F.coalesce(F.max("distance") + 1, F.lit(0))).cast("long").alias("max_depth"))
+    spark = edges.sparkSession
+    plain = edges.where("src <> dst")
+    starts = plain.select(F.col("src").alias("id")).distinct()
+    depth = reach(plain, starts).depth
+    return spark.range(1).select(F.lit(depth + 1 if depth else 0).cast("long").alias("max_depth"))

@@ -101,19 +101,25 @@ def stats(s: Scan) -> DataFrame:
     return graph.graph_stats(s.nodes, s.edges, s.deps, s.files)
 
 
-def score(s: Scan, paths: DataFrame, hotspots: DataFrame | None = None, symbols: DataFrame | None = None, with_cycles: bool = False, lines: int | None = None, sources: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(components, total) of the risk of changing paths (id).
+#: Nodes up to which betweenness is exact; beyond, it is estimated within this error.
+EXACT_NODES, BETWEENNESS_ERROR = 2000, 0.01
 
-    Betweenness is exact, which takes nodes x nodes rows; with a number of
-    sources it is estimated from so many nodes, drawn by a hash of their ids:
-    with k of them it is off by more than e with a chance of at most
-    2 n exp(-2 k e^2).
-    """
+
+def node_betweenness(s: Scan, error: float | None = None) -> DataFrame:
+    """(id, betweenness): exact for EXACT_NODES nodes or fewer, else within error (BETWEENNESS_ERROR) with 95 % confidence; error=0 is exact."""
+    if error is None:
+        error = BETWEENNESS_ERROR if s.nodes.count() > EXACT_NODES else 0.0
+    if not error:
+        return centrality.betweenness(s.nodes, s.edges)
+    return centrality.estimated_betweenness(s.nodes, s.edges, error).select("id", "betweenness")
+
+
+def score(s: Scan, paths: DataFrame, hotspots: DataFrame | None = None, symbols: DataFrame | None = None, with_cycles: bool = False, lines: int | None = None, error: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(components, total) of the risk of changing paths (id); error bounds that of betweenness, see node_betweenness."""
     known = paths.join(s.nodes.select("id"), "id", "left_semi")
     blast = impact.impact_together(s.nodes, s.edges, known)
     found = cycles.simple_cycles(s.edges) if with_cycles else None
-    drawn = None if sources is None else materialize(s.nodes.select("id").orderBy(F.xxhash64("id"), "id").limit(sources), "sources")
-    parts = materialize(risk.risk_components(paths, known, s.nodes, s.degrees, centrality.betweenness(s.nodes, s.edges, drawn), blast, hotspots, found, symbols, s.config.weights, lines), "risk")
+    parts = materialize(risk.risk_components(paths, known, s.nodes, s.degrees, node_betweenness(s, error), blast, hotspots, found, symbols, s.config.weights, lines), "risk")
     return parts, risk.risk_total(parts, s.config.high_threshold, s.config.medium_threshold)
 
 
@@ -194,7 +200,7 @@ def diff_snapshots(spark: SparkSession, store: str, old: str, new: str) -> dict[
 
 def save_snapshot(s: Scan, store: str, tag: str, commit: str = "unknown", message: str = "") -> None:
     found = cycles.simple_cycles(s.edges)
-    snapshots.save(store, tag, snapshots.metrics(tag, s.degrees, centrality.betweenness(s.nodes, s.edges)), s.edges, found, commit, message)
+    snapshots.save(store, tag, snapshots.metrics(tag, s.degrees, node_betweenness(s)), s.edges, found, commit, message)
 
 
 def check_trends(s: Scan, store: str, tag: str) -> DataFrame:

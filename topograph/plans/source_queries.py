@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from topograph.functions import scalar as S
 from topograph.functions.scratch import materialize
-from topograph.operators import callgraph, diff, graph, history, ir, selection
+from topograph.operators import callgraph, centrality, cycles, diff, graph, history, ir, selection, traverse
 from topograph.operators.resolve import resolve
 from topograph.plans import derived as D
 from topograph.plans.queries import ORACLE_SQL, QUERIES, Query, long
@@ -586,6 +586,83 @@ def growing_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("growing_degree", growing_degree, f"WITH {_GROWING} SELECT id, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (SELECT src AS id, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY id")
 
 
+def growing_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Betweenness of parts, exact: they stand between their customers and their suppliers."""
+    e = growing_edges(spark, sf_dir)
+    out = centrality.betweenness(materialize(_nodes_of(e), "nodes"), e)
+    return out.where(F.startswith("id", F.lit("p"))).select("id", F.round("betweenness", 9).alias("betweenness"))
+
+
+_BETWEEN = f"""{_GROWING}, k AS (SELECT count(*) AS n FROM n), t AS (SELECT a.src AS c, a.dst AS p, b.dst AS s FROM e a JOIN e b ON b.src = a.dst),
+g AS (SELECT *, count(*) OVER (PARTITION BY c, s) AS paths FROM t), d AS (SELECT p, sum(1.0::DOUBLE / paths) AS delta FROM g GROUP BY p)"""
+_add("growing_betweenness", growing_betweenness, f"WITH {_BETWEEN} SELECT id, round(coalesce(delta, 0) / (n - 1) / (n - 2), 9) AS betweenness FROM n LEFT JOIN d ON p = id CROSS JOIN k WHERE starts_with(id, 'p')")
+
+
+def growing_betweenness_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether betweenness estimated from some of the sources is within the error stated for each node."""
+    e = growing_edges(spark, sf_dir)
+    nodes = materialize(_nodes_of(e), "nodes")
+    rough = materialize(centrality.estimated_betweenness(nodes, e, error=0.05, batch=512).withColumnRenamed("betweenness", "rough"), "rough")
+    exact = centrality.betweenness(nodes, e)
+    return exact.join(rough, "id").select("id", (F.abs(F.col("rough") - F.col("betweenness")) <= F.col("error") + 1e-12).alias("within"))
+
+
+_add("growing_betweenness_estimate", growing_betweenness_estimate, f"WITH {_GROWING} SELECT id, true AS within FROM n")
+
+
+# A deep graph that grows: parts of one size depend on the next of that size, some also on the one after that; some lead back
+
+
+def deep_edges(spark: SparkSession, sf_dir: str, back: bool = False) -> DataFrame:
+    part = D.table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    by = Window.partitionBy("p_size").orderBy("p_partkey")
+    near = part.select(F.col("p_partkey").alias("src"), F.lead("p_partkey").over(by).alias("one"), F.lead("p_partkey", 2).over(by).alias("two"), F.lag("p_partkey", 3).over(by).alias("before"))
+    jump, turn = F.when(F.col("src") % 5 == 0, F.col("two")), F.when((F.col("src") % 7 == 0) & F.lit(back), F.col("before"))
+    return materialize(near.select("src", F.explode(F.array("one", jump, turn)).alias("dst")).where("dst is not null"), "deep")
+
+
+_DEEP = """nb AS (SELECT p_partkey AS src, lead(p_partkey) OVER w AS one, lead(p_partkey, 2) OVER w AS two, lag(p_partkey, 3) OVER w AS before FROM part WINDOW w AS (PARTITION BY p_size ORDER BY p_partkey)),
+e AS (SELECT src, one AS dst FROM nb WHERE one IS NOT NULL UNION SELECT src, two FROM nb WHERE src % 5 = 0 AND two IS NOT NULL {back})"""
+_DEEP_BACK = _DEEP.format(back="UNION SELECT src, before FROM nb WHERE src % 7 = 0 AND before IS NOT NULL")
+_DEEP = _DEEP.format(back="")
+
+
+def deep_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cycles.strong_components(deep_edges(spark, sf_dir, back=True))
+
+
+_add("deep_components", deep_components, f"WITH RECURSIVE {_DEEP_BACK}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT a.src AS id, min(a.dst) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src HAVING count(*) > 1")
+
+
+def deep_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traverse.max_call_depth(deep_edges(spark, sf_dir))
+
+
+_add("deep_depth", deep_depth, f"WITH RECURSIVE {_DEEP}, r AS (SELECT src, dst, 1 AS d FROM e UNION SELECT r.src, e.dst, d + 1 FROM r JOIN e ON r.dst = e.src), m AS (SELECT src, dst, min(d) AS d FROM r GROUP BY src, dst) SELECT CAST(max(d) + 1 AS BIGINT) AS max_depth FROM m")
+
+
+def deep_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every part affects, directly and in all, and the share of all parts that is."""
+    from topograph.operators.impact import impact_per_node
+
+    nodes = D.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    out = impact_per_node(nodes, deep_edges(spark, sf_dir, back=True), nodes)
+    return out.select("mutated", "directly_affected", "total_affected", F.round("blast_project", 6).alias("blast_project"))
+
+
+_add("deep_impact", deep_impact, f"""WITH RECURSIVE {_DEEP_BACK}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src), d AS (SELECT dst, count(*) AS n FROM e GROUP BY dst), t AS (SELECT dst, count(*) AS n FROM r WHERE src <> dst GROUP BY dst)
+SELECT p_partkey AS mutated, coalesce(d.n, 0) AS directly_affected, coalesce(t.n, 0) AS total_affected, round((coalesce(t.n, 0) + 1) / (SELECT count(*) FROM part) * 100, 6) AS blast_project FROM part LEFT JOIN d ON d.dst = p_partkey LEFT JOIN t ON t.dst = p_partkey""")
+
+
+def deep_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycles of up to six parts, each once, from its least part on."""
+    return cycles.simple_cycles(deep_edges(spark, sf_dir, back=True), max_length=6).select(F.array_join("nodes", ">").alias("cycle"), "length")
+
+
+_add("deep_cycles", deep_cycles, f"""WITH RECURSIVE {_DEEP_BACK}, w AS (SELECT src AS root, dst AS last, [src, dst] AS nodes FROM e WHERE dst > src UNION ALL SELECT root, e.dst, list_append(nodes, e.dst) FROM w JOIN e ON last = e.src WHERE e.dst > root AND NOT list_contains(nodes, e.dst) AND len(nodes) < 6)
+SELECT array_to_string(nodes, '>') AS cycle, CAST(len(nodes) AS BIGINT) AS length FROM w JOIN e ON e.src = last AND e.dst = root""")
+
+
 def _reached(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(edges, changed): the suppliers of nation 3 change."""
     changed = D.table(spark, sf_dir, "supplier").where("s_nationkey = 3").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"))
