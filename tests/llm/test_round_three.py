@@ -13,7 +13,7 @@ import pytest
 import regex
 import tiktoken
 
-from topograph.llm import negatives, periods, rank_bpe
+from topograph.llm import html_extract, negatives, periods, rank_bpe
 
 ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "one two"), (4, "one two"), (None, "no id at all"), (5, "Ünï <|endoftext|> 漢字 🙂"), (5, "another text"), (6, "word " * 3000), (7, "x" * 5000)]
 SCHEMA = "doc_id long, text string, id string, ids string, runs long, words string, n long"
@@ -278,3 +278,34 @@ def test_intervals_hold():
         assert (low <= exact).all() and (exact <= high).all()
         own = exact[np.arange(1, 20), np.arange(1, 20)]
         assert (high[1:] < 0.8 * own[:, None]).mean() > 0.2
+
+
+STORY = "Long text of an article that goes on. " * 20
+
+
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [
+        ('<section class="related-work"><p>RW</p></section>', "RW"), ('<p class="footer-note">FN</p>', "FN"), ('<div class="ad-hoc">AH</div>', "AH"), ('<p class="subscribe">SU</p>', "SU"),
+        ('<figure class="banner"><figcaption>FC</figcaption></figure>', "FC"), ('<div class="post-header"><h1>PH</h1></div>', "PH"), ("<header><h1>HH</h1><p>lead</p></header>", "HH\nlead"),
+        ("<p>Press <button>OK</button> and <label>Name</label> now, <math>x</math></p>", "Press OK and Name now, x"), ('<ul><li><a href="/1">a source</a></li></ul>', "a source"),
+        ('<div class="cookie-notice">N</div>', ""), ('<section id="comments"><p>C</p></section>', ""), ('<div class="comment-list"><p>C</p></div>', ""), ("<aside>A</aside><div class=ad-slot>B</div>", ""), ("<footer>F</footer>", ""), ("<form><p>F</p><button>Go</button></form>", ""),
+        ('<ul class="share"><li><a>x</a></li></ul>', ""), ('<div class="left sidebar"><p>S</p></div>', ""),
+    ],
+)
+def test_op3_names_inside_the_article(inner, want):
+    """Only what as a whole is named boilerplate goes from an article, and what the contract lists."""
+    page = f"<body><nav>menu</nav><article><p>{STORY}</p>{inner}<p>end {STORY}</p></article></body>"
+    assert html_extract.extract(page, []) == "\n".join(x for x in (STORY.strip(), want, f"end {STORY}".strip()) if x)
+
+
+@pytest.mark.parametrize("n", [1, 3, 60, 400])
+def test_op3_no_size_decides(n):
+    """The container that holds the most is kept whatever its name and its size."""
+    text = " ".join(["word"] * n)
+    for name in ("content share", "cookie-recipe", "search", "widget", "footer-note", "sidebar"):
+        assert html_extract.extract(f'<body><nav>m</nav><div class="{name}"><p>{text}</p></div></body>', []) == text
+    assert text in html_extract.extract(f'<body><div class="search">{text} and more</div><p>x</p></body>', [])
+    assert html_extract.extract(f"<body><ul><li><a href=/1>One</a></li><li><a href=/2>Two</a></li></ul><p>{text}</p></body>", []) == text
+    talk = "<p>A reader says much more than the page does</p>" * 50
+    assert html_extract.extract(f"<body><div class=post><h1>T</h1><p>{text}</p></div><div class=comments>{talk}</div></body>", []) == f"T\n{text}"

@@ -29,15 +29,18 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = set("article main section div body td center blockquote form ul ol table figure".split())
-#: Elements that never hold main text, and words of a block's class, id or role that say the same.
-ASIDE = set("head nav footer aside script style noscript template iframe svg math canvas audio video object button select option textarea input label menu dialog map title".split())
-ASIDE_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments respond disqus cookie cookies consent notice notices alert gdpr popup modal overlay share sharing social related recommended newsletter subscribe signup login pagination pager toolbar widget complementary contentinfo search".split())
-#: Of these, words that stay in force however much text the element holds.
-_NEVER = set("comment comments respond disqus cookie cookies consent gdpr".split())
-#: Characters that an element with such a name, and without an article, must hold to count as the page's text.
-ENOUGH = 250
-#: has-sidebar, tag-search or comments-open say something of a page or its subject, not that this is a sidebar.
-_ABOUT = re.compile(r"(?:has|have|with|without|no|non|not|hide|show|tag|category|cat|topic|type|format)[-_].*|[a-z]+[-_](?:open|closed|enabled|disabled)")
+#: Elements that never hold main text.
+ASIDE = set("head nav footer aside script style noscript template iframe svg canvas audio video object select option textarea input menu dialog map title".split())
+#: Fixed words: a block's class, id or role that consists of the first, and of the last at most, says as a whole that it isn't main text; of the second, that it may not be.
+STRICT_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments respond disqus cookie cookies consent gdpr notice notices popup modal overlay pagination pager toolbar complementary contentinfo".split())
+#: Of the first, those that no page's main text stands in.
+NEVER_WORDS = set("ad ads advert adverts advertisement advertising comment comments respond disqus cookie cookies consent gdpr".split())
+LOOSE_WORDS = set("banner header masthead share sharing social related recommended newsletter subscribe signup login alert widget search".split())
+FILL_WORDS = set("site page main top bottom left right box block container wrapper wrap list area section bar links link posts articles form slot unit inner outer item items global primary secondary first second third js policy message user reader thread col column".split())
+#: A class of these beside such a name says the opposite.
+CONTENT_WORDS = set("content article post entry story text body main".split())
+#: What a container's text counts when it is looked for: names lower it, they don't rule it out.
+WEIGHT = {"": 1.0, "list": 1.0, "header": 0.5, "loose": 0.5, "form": 0.3, "strict": 0.02, "never": 0.0}
 _SPLIT = re.compile(r"[^a-z]+")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _END = re.compile(r">|=\s*(?:\"[^\"]*\"|'[^']*')")
@@ -49,52 +52,49 @@ _SCOPE = {"li": ["ul", "ol", "menu"], "dt": ["dl"], "dd": ["dl"], "tr": ["table"
 
 
 class _Named:
-    """An element whose names, or tag, say that it isn't main text; own is its unlinked text outside of others within it."""
+    """An element whose names, or tag, say that it may not be main text.
 
-    __slots__ = ("article", "main", "never", "own", "owner", "wrapper")
-
-    def __init__(self, owner: int, never: bool, wrapper: bool):
-        self.owner, self.never, self.wrapper, self.own, self.main, self.article = owner, never, wrapper, 0, False, False
-
-
-def _spared(named: list[_Named]) -> list[bool]:
-    """Which elements hold the page's text for all that their names say; the first of named is the page.
-
-    They hold main, or more than half of the text, and an article or nine tenths of all but what
-    other names rule out. A header must hold main or an article.
+    owner is the one around it, path the container it is or, if it is none, the
+    one around it; own and linked count the characters in it.
     """
-    inside = [e.own for e in named]
-    for k in range(len(named) - 1, 0, -1):  # elements come before those within
-        e, above = named[k], named[named[k].owner]
-        if not e.main and (e.never or e.wrapper and not e.article):
-            inside[k] = 0
-            continue
-        inside[e.owner] += inside[k]
-        above.main |= e.main
-        above.article |= e.article
-    spared, outside = [True] + [False] * (len(named) - 1), [0] * len(named)
-    for k, e in enumerate(named[1:], 1):
-        if not spared[e.owner]:
-            continue
-        outside[k] = outside[e.owner] + named[e.owner].own
-        least = 0.5 if e.article else 0.9
-        much = 2 * inside[k] > inside[0] and inside[k] > least * (inside[k] + outside[k]) and (e.article or inside[k] >= ENOUGH)
-        spared[k] = e.main or not e.never and much
-    return spared
-
-
-def _step(tag: str, attributes: str) -> tuple[str, set[str], bool]:
-    """A step of a generalised path, the names' words that say this isn't main text, and whether it is hidden."""
+
+    __slots__ = ("article", "container", "holds", "kind", "linked", "own", "owner", "path")
+
+    def __init__(self, owner: int, kind: str, path: int, container: bool, article: bool):
+        self.owner, self.kind, self.path, self.container, self.article = owner, kind, path, container, article
+        self.own = self.linked = 0
+        self.holds = False
+
+
+def _kind(names: list[str], classes: list[str]) -> str:
+    """never, strict or loose if one of the names, as a whole, says that a block isn't main text or may not be."""
+    if any(c in CONTENT_WORDS for c in classes):
+        strict: set[str] = set()
+        loose = STRICT_WORDS | LOOSE_WORDS
+    else:
+        strict, loose = STRICT_WORDS, LOOSE_WORDS
+    kind = ""
+    for name in names:
+        words = [w for w in _SPLIT.split(name) if w]
+        if words and all(w in STRICT_WORDS or w in LOOSE_WORDS or w in FILL_WORDS for w in words):
+            if not strict.isdisjoint(words):
+                kind = "never" if kind == "never" or not NEVER_WORDS.isdisjoint(words) else "strict"
+            elif not kind and not loose.isdisjoint(words):
+                kind = "loose"
+    return kind
+
+
+def _step(tag: str, attributes: str) -> tuple[str, str, bool]:
+    """A step of a generalised path, what the names say, and whether it is hidden."""
     given: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(attributes):
         given.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
     classes = given.get("class", "").split()
-    words: set[str] = set()
-    if tag in BLOCK and tag not in ("html", "body"):
-        names = [*classes, *given.get("id", "").split(), *given.get("role", "").split()]
-        words = {w for c in names if not _ABOUT.fullmatch(c) for w in _SPLIT.split(c)} & ASIDE_WORDS
+    kind = ""
+    if tag in BLOCK and tag not in ("html", "body", "main", "article"):
+        kind = _kind([*classes, *given.get("id", "").split(), *given.get("role", "").split()], classes)
     hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in "".join(given.get("style", "").split())
-    return ".".join([tag, *sorted({re.sub(r"\d+", "#", c) for c in classes})]), words, hidden
+    return ".".join([tag, *sorted({re.sub(r"\d+", "#", c) for c in classes})]), kind, hidden
 
 
 class Page:
@@ -104,21 +104,70 @@ class Page:
         self.parent, self.steps, self.numbers = [0], [""], {}
         #: (path, text, linked characters)
         self.blocks: list[tuple[int, str, int]] = []
-        named = [_Named(0, False, False)]
-        found = list(self._read(page, named))
-        spared = _spared(named)
-        self.blocks = [(path, text, linked) for path, text, linked, owner in found if spared[owner]]
+        self.named = [_Named(0, "", 0, True, False)]
+        self.found = list(self._read(page, self.named))
+        for e in reversed(self.named[1:]):  # elements come before those within
+            self.named[e.owner].own += e.own
+            self.named[e.owner].linked += e.linked
+            self.named[e.owner].holds |= e.holds and e.kind != "never"
+        weights = [1.0]
+        for e in self.named[1:]:
+            weights.append(min(weights[e.owner], WEIGHT[e.kind] if self._may_hold(e) else 0.0))
         n = len(self.parent)
-        self.chars, self.links, self.scores = [0] * n, [0] * n, [0.0] * n
+        self.scores = [0.0] * n
+        for path, text, linked, owner in self.found:
+            self.scores[path] += max(0.0, len(text) - 2.0 * linked) * weights[owner]
+        for k in range(n - 1, 0, -1):  # a path comes before those within
+            self.scores[self.parent[k]] += 0.85 * self.scores[k]
+        self.top = max(range(n), key=lambda k: (self.scores[k] if k else 0.0, -k))
+        self.blocks = self.kept(self.top, menus=False)
+        self.chars, self.links = [0] * n, [0] * n
         for path, text, linked in self.blocks:
             self.chars[path] += len(text)
             self.links[path] += min(linked, len(text))
-            self.scores[path] += max(0.0, len(text) - 2.0 * linked)
-        for k in range(n - 1, 0, -1):  # a path comes before those within
-            above = self.parent[k]
-            self.chars[above] += self.chars[k]
-            self.links[above] += self.links[k]
-            self.scores[above] += 0.85 * self.scores[k]
+        for k in range(n - 1, 0, -1):
+            self.chars[self.parent[k]] += self.chars[k]
+            self.links[self.parent[k]] += self.links[k]
+
+    def _may_hold(self, e: _Named) -> bool:
+        """Whether a named element may be around the main text: not by a name of never, nor a form or the like where the page has an article elsewhere."""
+        return e.kind in ("loose", "list", "header") or e.kind != "never" and (e.holds or e.article or not self.named[0].holds)
+
+    def kept(self, top: int, menus: bool = True) -> list[tuple[int, str, int]]:
+        """The blocks that are main text if the container at top is what holds it; with menus, lists of links on a page are looked for too.
+
+        What stands around top, or is it, stays if its name allows. Of the rest
+        go elements named strictly, forms, headers that are not part of an
+        article or of top, elements named loosely but those that have most of
+        the page's text or stand within an article or top, if they aren't mostly
+        links, and on a page without such a container lists that are links alone.
+        """
+        around, k = {top}, top
+        while k:
+            k = self.parent[k]
+            around.add(k)
+        within = [False] * len(self.parent)
+        page = top == 0 or self.steps[top].split(".")[0] in ("html", "body")
+        if not page:
+            for k in range(1, len(within)):
+                within[k] = k == top or within[self.parent[k]]
+        gone = [False]
+        unlinked = self.named[0].own - self.named[0].linked - sum(e.own - e.linked for e in self.named[1:] if e.kind == "never")
+        for e in self.named[1:]:
+            part = e.article or within[e.path]
+            if e.container and e.path in around and self._may_hold(e):
+                drop = False
+            elif e.kind == "header":
+                drop = not (part or e.holds)
+            elif e.kind == "loose":
+                most = 2 * (e.own - e.linked) > unlinked  # more than all else on the page
+                drop = not (part or e.holds or most) or 2 * e.linked > e.own
+            elif e.kind == "list":
+                drop = menus and not part and 0 < e.own <= e.linked
+            else:
+                drop = True
+            gone.append(drop or gone[e.owner])
+        return [(path, text, linked) for path, text, linked, owner in self.found if not gone[owner]]
 
     def _read(self, page: str, named: list[_Named]) -> Iterator[tuple[int, str, int, int]]:
         """(path, text, linked characters, named element) of each block; all elements with names of boilerplate are added to named."""
@@ -145,10 +194,11 @@ class Page:
             _, _, owner, never, link = open_[-1]
             if some and not never:
                 text.append(some)
+                size = len(some.strip())
+                named[owner].own += size
                 if link:
                     linked += len(some)
-                else:
-                    named[owner].own += len(some.strip())
+                    named[owner].linked += size
 
         def close(upto: int) -> None:
             while len(open_) > upto:
@@ -212,9 +262,9 @@ class Page:
                             break
             if tag in VOID:
                 continue
-            step, words, hidden = _step(tag, attributes) if attributes else (tag, set(), False)
+            step, kind, hidden = _step(tag, attributes) if attributes else (tag, "", False)
             _, path, owner, never, link = open_[-1]
-            never = never or tag in ASIDE or hidden
+            never = never or tag in ASIDE or hidden or tag in ("button", "label") and bool(where.get("form"))
             if tag in RAW:
                 stop = _RAW_END[tag].search(page, pos)
                 if stop is None:
@@ -225,13 +275,6 @@ class Page:
                 continue
             if attributes.rstrip().endswith("/") and not block:
                 continue
-            if (words or tag in ("form", "header")) and not never:
-                named.append(_Named(owner, bool(words & _NEVER), tag == "header"))
-                owner = len(named) - 1
-            if tag == "main" and not never:
-                named[owner].main = True
-            if tag == "article" and not (never or words & _NEVER):
-                named[owner].article = True
             if tag in CONTAINER or tag == "html":
                 key = path, step
                 path = self.numbers.get(key, 0)
@@ -239,6 +282,13 @@ class Page:
                     path = self.numbers[key] = len(self.steps)
                     self.steps.append(step)
                     self.parent.append(key[0])
+            kind = tag if tag in ("form", "header") and kind not in ("strict", "never") else kind or ("list" if tag in ("ul", "ol") else "")
+            if kind and not never:
+                article = bool(where.get("article") or where.get("main"))
+                named.append(_Named(owner, kind, path, tag in CONTAINER, article))
+                owner = len(named) - 1
+            if tag in ("article", "main") and not never:
+                named[owner].holds = True
             if block:
                 block_at.append(len(open_))
             where.setdefault(tag, []).append(len(open_))
@@ -248,8 +298,7 @@ class Page:
 
     def best(self) -> int:
         """The container around the most own text, and what stands around it; 0, the page, where there is none."""
-        top = max(range(len(self.scores)), key=lambda k: (self.scores[k] if k else 0.0, -k))
-        return self.outer(top)
+        return self.outer(self.top)
 
     def outer(self, path: int) -> int:
         """The outermost container of path whose other text is mostly unlinked, with few links beside all it holds."""
@@ -278,12 +327,13 @@ class Page:
                 return 0
         return at if self.chars[at] else 0
 
-    def text(self, path: int) -> str:
-        """The blocks in a container; in the page if path is 0."""
+    def text(self, path: int, top: int | None = None) -> str:
+        """The blocks in a container, in the page if path is 0, that are main text if top holds it."""
         inside = [path == 0] * len(self.parent)
         for k in range(1, len(inside)):
             inside[k] = k == path or inside[self.parent[k]]
-        return "\n".join(text for p, text, _ in self.blocks if inside[p])
+        blocks = self.kept(self.top if top is None else top)
+        return "\n".join(text for p, text, _ in blocks if inside[p])
 
 
 def votes(page: str) -> list[tuple[str, float]]:
@@ -297,7 +347,7 @@ def extract(page: str, wanted: list[str]) -> str:
     """The blocks around the first of the wanted paths that the page has text at; around its own best one if it has none of them."""
     read = Page(page)
     path = next((p for p in map(read.find, wanted) if p), 0)
-    return read.text(read.outer(path) if path else read.best())
+    return read.text(read.outer(path), path) if path else read.text(read.best())
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = 0.05) -> DataFrame:
