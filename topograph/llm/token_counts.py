@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +34,19 @@ def token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Strings of special tokens in a text are encoded as ordinary text, so only
     separators have the id eod. A null text is a document of no tokens. An
-    attempt that is lost leaves a file that no row names.
+    attempt that is lost leaves a file that no row names. Names begin with the
+    partition's number.
     """
     folder = scratch_path(docs.sparkSession, "flat")
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton(vocabulary(name))
-        uri = f"{folder}/{uuid.uuid4().hex}.bin"
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
+            return
+        batches = chain([first], batches)
+        uri = f"{folder}/part-{first.column('part')[0].as_py()}-{uuid.uuid4().hex}.bin"
         system, path = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
         out, size, n = None, 0, 0
         for batch in batches:
@@ -121,7 +127,7 @@ def scan(files: DataFrame, eod: int = 50256, width: int = 2, block: int = BLOCK)
 def document_token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(id_col, file, ordinal, n_tokens) of every row of docs, counted from the flat files alone.
 
-    file numbers the files by their names. A null or empty text has 0 tokens;
+    file is the number of the partition of docs that a file holds. A null or empty text has 0 tokens;
     rows that repeat and null ids are counted each; an empty table has no files
     and no rows; texts of any length may run over many blocks. Other columns
     play no part.
@@ -130,4 +136,4 @@ def document_token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = scan(stored.where("length is not null").select("file", "length"), block=block)
     each = found.where("block is not null").select("file", "first_document", F.posexplode("lengths").alias("at", "n_tokens")).select("file", (F.col("first_document") + F.col("at")).alias("ordinal"), "n_tokens")
     named = stored.where("length is null").select("file", "ordinal", F.col("id").alias(id_col))
-    return named.join(each, ["file", "ordinal"]).select(id_col, F.xxhash64("file").alias("file"), "ordinal", "n_tokens")
+    return named.join(each, ["file", "ordinal"]).select(id_col, F.regexp_extract("file", r"/part-(\d+)-[^/]*$", 1).cast("long").alias("file"), "ordinal", "n_tokens")
