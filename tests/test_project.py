@@ -194,6 +194,27 @@ def test_a_cache_spares_what_has_not_changed(spark, tmp_path, monkeypatch):
     assert project.saved_cache(spark, str(tmp_path / "no")) is None and project.saved_cache(spark, str(tmp_path / "none")) is None
 
 
+def test_reports_are_written_piece_by_piece(scan):
+    """Whole tables of many rows as one JSON document; the driver never holds them."""
+    import itertools
+
+    spark = scan.nodes.sparkSession
+    calls = spark.range(20_000).selectExpr("concat('p', id) AS caller_path", "'function:f' AS caller_fqn", "'q' AS callee_path", "concat('function:', id, '\"') AS callee_fqn", "cast(null AS int) AS site_line")
+    parts = render.callgraph_parts(calls, spark.range(1).selectExpr("20000 AS total_calls"))
+    first = list(itertools.islice(parts, 3))
+    found = json.loads("".join([*first, *parts]))
+    assert len(found["calls"]) == found["stats"]["total_calls"] == 20_000 and found["calls"][0] == {"caller_path": "p0", "caller_fqn": "function:f", "callee_path": "q", "callee_fqn": 'function:0"', "site_line": None}
+    assert sum(1 for line in "".join(render.callgraph_dot_parts(calls)).splitlines() if "->" in line) == 20_000
+    assert json.loads(render.audit_json({"none": calls.limit(0), "one": calls.limit(1)}))["none"] == []
+    assert render.markdown_table(calls.select("callee_path").limit(2)) == "| callee_path |\n| --- |\n| q |\n| q |"
+
+
+def test_report_sections(scan):
+    assert set(project.audit(scan, sections={"unresolved"})) == {"stats", "languages", "top_in", "top_out", "high_risk", "unresolved", "external"}
+    found = project.audit(scan, sections={"risk"})
+    assert "cycles" not in found and found["risk"].first().level in ("LOW", "MEDIUM", "HIGH")
+
+
 def test_sarif_has_every_dependency(scan):
     spark = scan.nodes.sparkSession
     one = scan.deps.where("path = 'app.py' and target_path is not null").limit(1)

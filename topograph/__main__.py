@@ -26,7 +26,7 @@ def parser() -> argparse.ArgumentParser:
     add("trace", arg("files", nargs="+"), arg("--max-chains", type=int, default=50), arg("--format", choices=["json", "markdown"], default="json"))
     add("diff", arg("--staged", action="store_true"), arg("--ref"), arg("--max-chains", type=int, default=50), arg("--format", choices=["json", "markdown"], default="json"))
     add("cycles", arg("--max-length", type=int))
-    add("report", arg("--max-length", type=int), arg("--json-output"), arg("--markdown-output"), arg("--sarif-output"))
+    add("report", *(arg(f"--include-{x}", action="store_true", help="of the optional sections give those named only; all, if none is named") for x in project.SECTIONS), arg("--max-length", type=int), arg("--json-output"), arg("--markdown-output"), arg("--sarif-output"))
     add("doctor")
     add("callgraph", arg("--file"), arg("--format", choices=["json", "mermaid", "dot"], default="json"), arg("--max-nodes", type=int, default=100), out)
     add("viz", arg("--format", choices=["html", "mermaid", "dot"], default="html"), arg("--focus"), arg("--depth", type=int, default=1), out)
@@ -44,9 +44,13 @@ def put(text: str, path: str | None) -> None:
         print(text)
 
 
-def put_parts(parts: Iterator[str], path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        f.writelines(parts)
+def put_parts(parts: Iterator[str], path: str | None) -> None:
+    """Write a document piece by piece to a file, or print it."""
+    if path:
+        with open(path, "w", encoding="utf-8") as f:
+            f.writelines(parts)
+    else:
+        sys.stdout.writelines(parts)
 
 
 def run(spark: SparkSession, a: argparse.Namespace) -> int:
@@ -58,7 +62,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
         project.snapshots.list_tags(spark, store).show(truncate=False)
         return 0
     if a.verb == "snapshot" and a.action == "diff":
-        put(render.audit_json(project.diff_snapshots(spark, store, a.tag, a.other)), None)
+        put_parts(render.audit_parts(project.diff_snapshots(spark, store, a.tag, a.other)), None)
         return 0
     config: Config = project.load_config(a.path)
     only = cache = None
@@ -77,21 +81,21 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
     elif a.verb in ("trace", "diff"):
         files = a.files if a.verb == "trace" else [r.path for r in gittext.changed_files(spark, a.path, a.staged, a.ref).collect()]
         found = project.trace(s, files, a.max_chains)
-        put(render.audit_json(found) if a.format == "json" else render.markdown("Impact", found), None)
+        put_parts(render.audit_parts(found) if a.format == "json" else render.markdown_parts("Impact", found), None)
     elif a.verb == "cycles":
-        put(render.audit_json(project.cycle_tables(s, a.max_length)), None)
+        put_parts(render.audit_parts(project.cycle_tables(s, a.max_length)), None)
     elif a.verb == "report":
-        tables = project.audit(s, a.max_length)
-        put(render.audit_json(tables), a.json_output)
+        tables = project.audit(s, a.max_length, {x for x in project.SECTIONS if getattr(a, f"include_{x}")} or None)
+        put_parts(render.audit_parts(tables), a.json_output)
         if a.markdown_output:
-            put(render.markdown("Audit", {"confidence": render.confidence_summary(s.deps)} | tables), a.markdown_output)
+            put_parts(render.markdown_parts("Audit", {"confidence": render.confidence_summary(s.deps)} | tables), a.markdown_output)
         if a.sarif_output:
-            put_parts(render.sarif_parts(s.deps, tables["cycles"]), a.sarif_output)
+            put_parts(render.sarif_parts(s.deps, tables.get("cycles")), a.sarif_output)
     elif a.verb == "callgraph":
         t = project.call_graph(s)
         calls = project.callgraph.of_file(t["calls"], a.file) if a.file else t["calls"]
-        text = {"json": lambda: render.callgraph_json(calls, t["stats"]), "mermaid": lambda: render.callgraph_mermaid(calls, s.symbols, a.max_nodes), "dot": lambda: render.callgraph_dot(calls)}
-        put(text[a.format](), a.output)
+        text = {"json": lambda: render.callgraph_parts(calls, t["stats"]), "mermaid": lambda: iter([render.callgraph_mermaid(calls, s.symbols, a.max_nodes) + "\n"]), "dot": lambda: render.callgraph_dot_parts(calls)}
+        put_parts(text[a.format](), a.output)
     elif a.verb == "viz":
         if a.focus and a.depth > 0:
             from topograph.operators.traverse import ego
@@ -99,8 +103,8 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
             near = ego(s.edges, s.asked([a.focus]), a.depth)
             s.edges = s.edges.join(near, ["src", "dst"], "left_semi")
             s.nodes = s.nodes.join(near.selectExpr("src as id").union(near.selectExpr("dst")).distinct(), "id", "left_semi")
-        text = {"html": lambda: render.html_page(s), "mermaid": lambda: render.mermaid(s.nodes, s.edges), "dot": lambda: render.dot(s.nodes, s.edges, s.degrees)}
-        put(text[a.format](), a.output)
+        text = {"html": lambda: render.html_parts(s), "mermaid": lambda: iter([render.mermaid(s.nodes, s.edges) + "\n"]), "dot": lambda: iter([render.dot(s.nodes, s.edges, s.degrees) + "\n"])}
+        put_parts(text[a.format](), a.output)
     elif a.verb == "tests":
         chosen = [r.test for r in project.select_tests(s, gittext.run_git(a.path, "diff", "--unified=0", a.since), a.max_blast)["tests"].collect()]
         put({"list": "\n".join(chosen), "args": " ".join(chosen), "json": json.dumps(chosen)}[a.format], None)

@@ -213,10 +213,22 @@ def check_trends(s: Scan, store: str, tag: str) -> DataFrame:
     return snapshots.trend_alerts(old["metrics"], snapshots.metrics("now", s.degrees), old["edges"], s.edges, cycles.simple_cycles(old["edges"]), cycles.simple_cycles(s.edges))
 
 
-def audit(s: Scan, max_length: int | None = None) -> dict[str, DataFrame]:
-    c = cycle_tables(s, max_length)
+#: Sections of a report that may be left out.
+SECTIONS = ("cycles", "risk", "unresolved")
+
+
+def audit(s: Scan, max_length: int | None = None, sections: set[str] | None = None) -> dict[str, DataFrame]:
+    """The tables of a report; of SECTIONS those asked for, all if None. Risk is that of changing the five files most depended on."""
+    wanted = set(SECTIONS) if sections is None else sections
     deg = s.degrees
-    return {"stats": stats(s), "languages": graph.language_breakdown(s.files), "top_in": graph.top(deg, "in_degree"), "top_out": graph.top(deg, "out_degree"), "high_risk": graph.high_risk(deg), **c, "unresolved": s.deps.where("is_unresolved").select("path", "line", "raw_text", "resolution_note").distinct().orderBy("path", "line", "raw_text").limit(50), "external": s.deps.where("is_external and not is_unresolved").select("raw_text").distinct().orderBy("raw_text").limit(50)}
+    out = {"stats": stats(s), "languages": graph.language_breakdown(s.files), "top_in": graph.top(deg, "in_degree"), "top_out": graph.top(deg, "out_degree"), "high_risk": graph.high_risk(deg)}
+    if "cycles" in wanted:
+        out |= cycle_tables(s, max_length)
+    if "risk" in wanted:
+        out["risk"] = score(s, materialize(graph.top(deg, "in_degree", 5).select("id"), "top"))[1]
+    if "unresolved" in wanted:
+        out["unresolved"] = s.deps.where("is_unresolved").select("path", "line", "raw_text", "resolution_note").distinct().orderBy("path", "line", "raw_text").limit(50)
+    return out | {"external": s.deps.where("is_external and not is_unresolved").select("raw_text").distinct().orderBy("raw_text").limit(50)}
 
 
 def doctor(spark: SparkSession, root: str) -> DataFrame:

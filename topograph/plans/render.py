@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import json
 from collections.abc import Iterator
 
@@ -64,8 +63,31 @@ def sarif(deps: DataFrame, cycles: DataFrame | None = None) -> str:
     return "".join(sarif_parts(deps, cycles))
 
 
+def row_texts(df: DataFrame) -> Iterator[str]:
+    """Rows as JSON; the driver holds one partition of them at a time."""
+    for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row")).toLocalIterator():
+        yield r.row
+
+
+def _listed(texts: Iterator[str]) -> Iterator[str]:
+    before = "[\n"
+    for text in texts:
+        yield before + text
+        before = ",\n"
+    yield "]" if before != "[\n" else "[]"
+
+
+def audit_parts(tables: dict[str, DataFrame]) -> Iterator[str]:
+    """A JSON object of whole tables, piece by piece."""
+    yield '{"version": "1.0"'
+    for name, df in tables.items():
+        yield f",\n{json.dumps(name)}: "
+        yield from _listed(row_texts(df))
+    yield "}\n"
+
+
 def audit_json(tables: dict[str, DataFrame]) -> str:
-    return json.dumps({"version": "1.0"} | {name: rows(df) for name, df in tables.items()}, indent=2)
+    return "".join(audit_parts(tables))
 
 
 def confidence_summary(deps: DataFrame) -> DataFrame:
@@ -74,15 +96,30 @@ def confidence_summary(deps: DataFrame) -> DataFrame:
     return deps.groupBy("confidence", score.alias("score")).agg(F.count(F.lit(1)).alias("dependencies")).orderBy(F.desc("score"), "confidence")
 
 
-def markdown_table(df: DataFrame, limit: int | None = None) -> str:
-    found = rows(df, limit)
+def _table_lines(df: DataFrame, limit: int | None = None) -> Iterator[str]:
     head = df.columns
     cell = lambda v: "" if v is None else " → ".join(map(str, v)) if isinstance(v, list) else str(v)
-    return "\n".join(["| " + " | ".join(head) + " |", "|" + " --- |" * len(head), *("| " + " | ".join(cell(r.get(c)).replace("|", "\\|") for c in head) + " |" for r in found)])
+    yield "| " + " | ".join(head) + " |\n|" + " --- |" * len(head)
+    for text in row_texts(df if limit is None else df.limit(limit)):
+        r = json.loads(text)
+        yield "\n| " + " | ".join(cell(r.get(c)).replace("|", "\\|") for c in head) + " |"
+
+
+def markdown_table(df: DataFrame, limit: int | None = None) -> str:
+    return "".join(_table_lines(df, limit))
+
+
+def markdown_parts(title: str, tables: dict[str, DataFrame], limit: int | None = None) -> Iterator[str]:
+    """A section for each table, piece by piece."""
+    yield f"# {title}"
+    for name, df in tables.items():
+        yield f"\n\n## {name.replace('_', ' ').capitalize()}\n\n"
+        yield from _table_lines(df, limit)
+    yield "\n"
 
 
 def markdown(title: str, tables: dict[str, DataFrame], limit: int | None = None) -> str:
-    return "\n\n".join([f"# {title}", *(f"## {name.replace('_', ' ').capitalize()}\n\n{markdown_table(df, limit)}" for name, df in tables.items())]) + "\n"
+    return "".join(markdown_parts(title, tables, limit))
 
 
 def pr_markdown(tables: dict[str, DataFrame], comment: bool = True) -> str:
@@ -128,27 +165,41 @@ def dot(nodes: DataFrame, edges: DataFrame, degree: DataFrame, limit: int = 1000
     return "\n".join([*lines, "}"])
 
 
-# Places the nodes on a circle by their order and draws what they import; a click shows one node's edges alone.
-_DRAW = """const at={},R=400,svg=document.getElementById('g');nodes.forEach((n,i)=>{const a=2*Math.PI*i/nodes.length;at[n.id]=[R+50+R*Math.cos(a),R+50+R*Math.sin(a)]});
-function draw(one){let s='';for(const n of nodes)for(const d of n.deps||[])if(at[d]&&(!one||n.id===one||d===one))s+=`<line x1="${at[n.id][0]}" y1="${at[n.id][1]}" x2="${at[d][0]}" y2="${at[d][1]}" stroke="#bbb"/>`;
-svg.innerHTML=s;for(const n of nodes){const c=document.createElementNS(svg.namespaceURI,'circle'),t=document.createElementNS(svg.namespaceURI,'title');c.setAttribute('cx',at[n.id][0]);c.setAttribute('cy',at[n.id][1]);c.setAttribute('r',n.size/2);c.setAttribute('fill',colours[n.language]||'#999');t.textContent=n.id;c.append(t);c.onclick=()=>draw(one===n.id?null:n.id);svg.append(c)}}
-draw(null);"""
+# Files of one folder make a group; beyond 300 nodes groups are drawn, on a spiral by size, and a click opens one. Groups within a group and single files show the edges among what is drawn.
+_DRAW = """const svg=document.getElementById('g'),by=new Map(nodes.map(n=>[n.id,n]));let open='';
+const under=(id,p)=>{const r=id.slice(p.length),i=r.indexOf('/');return i<0?id:p+r.slice(0,i+1)};
+function shown(){const inside=nodes.filter(n=>n.id.startsWith(open));if(inside.length<=300)return new Map(inside.map(n=>[n.id,{id:n.id,n:1,r:n.size/2,c:colours[n.language]||'#999'}]));
+const m=new Map();for(const n of inside){const k=under(n.id,open),g=m.get(k)||{id:k,n:0,c:colours[n.language]||'#999'};g.n++;g.r=4+2*Math.sqrt(g.n);m.set(k,g)}return m}
+function draw(){const m=shown(),all=[...m.values()].sort((a,b)=>b.n-a.n||(a.id<b.id?-1:1)),whole=!all.some(g=>g.n>1);let area=0;
+for(const g of all){const t=Math.sqrt(area)*.9;area+=(g.r+3)**2;const w=2.4*Math.sqrt(area);g.x=450+t*Math.cos(w/6);g.y=450+t*Math.sin(w/6)}
+const at=id=>m.get(id)||(whole?null:id.startsWith(open)?m.get(under(id,open)):null),links=new Map();
+for(const n of nodes){const a=at(n.id);if(a)for(const d of n.deps||[]){const b=at(d);if(b&&b!==a){const k=a.id+'>'+b.id;links.set(k,[a,b,1+(links.get(k)||[0,0,0])[2]])}}}
+let s='';for(const [a,b,k] of links.values())s+=`<line x1="${a.x}" y1="${a.y}" x2="${b.x}" y2="${b.y}" stroke="#bbb" stroke-width="${Math.min(6,.5+Math.log2(k))}"/>`;svg.innerHTML=s;
+for(const g of all){const c=document.createElementNS(svg.namespaceURI,'circle'),t=document.createElementNS(svg.namespaceURI,'title');c.setAttribute('cx',g.x);c.setAttribute('cy',g.y);c.setAttribute('r',g.r);c.setAttribute('fill',g.c);t.textContent=g.id+(g.n>1?` (${g.n})`:'');c.append(t);c.onclick=()=>{open=g.n>1&&g.id.endsWith('/')?g.id:'';draw()};svg.append(c)}}
+const list=document.getElementById('l'),q=document.getElementById('q');q.oninput=()=>{list.textContent='';for(const n of nodes.filter(n=>n.id.includes(q.value)).slice(0,500)){const i=document.createElement('li');i.textContent=`${n.id} ${n.in_degree} in, ${n.out_degree} out`;list.append(i)}};
+draw();q.oninput();"""
 
 
-def html_page(s: Scan, limit: int | None = None) -> str:
-    """A page with the graph, and the nodes as a list that can be searched."""
+def html_parts(s: Scan, limit: int | None = None) -> Iterator[str]:
+    """A page with the graph and a list of nodes that can be searched, piece by piece; large graphs are drawn by folders."""
     some, inside = _drawn(s.nodes, s.edges, limit)
     deps = inside.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_set("dst")).alias("deps"))
-    back = inside.groupBy(F.col("dst").alias("id")).agg(F.array_sort(F.collect_set("src")).alias("rdeps"))
-    found = rows(some.join(s.degrees, "id").join(deps, "id", "left").join(back, "id", "left").select("id", "language", "in_degree", "out_degree", S.node_size(F.col("in_degree")).alias("size"), "deps", "rdeps").orderBy("id"), limit)
-    data = json.dumps(found).replace("</", "<\\/")
-    items = "\n".join(f'<li data-id="{html.escape(n["id"], quote=True)}" style="font-size:{n["size"] + 8:.1f}px">{html.escape(n["id"])} <small>{n["in_degree"]} in, {n["out_degree"]} out</small></li>' for n in found)
-    script = _DRAW + "document.getElementById('q').oninput=e=>document.querySelectorAll('li').forEach(l=>l.hidden=!l.dataset.id.includes(e.target.value))"
-    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>Dependencies</title></head><body><svg id="g" viewBox="0 0 900 900" width="900"></svg><br><input id="q" placeholder="filter"><ul>\n{items}\n</ul><script>const nodes={data},colours={json.dumps(COLOURS)};{script}</script></body></html>'
+    found = some.join(s.degrees, "id").join(deps, "id", "left").select("id", "language", "in_degree", "out_degree", S.node_size(F.col("in_degree")).alias("size"), "deps").orderBy("id")
+    yield '<!DOCTYPE html><html><head><meta charset="utf-8"><title>Dependencies</title></head><body><svg id="g" viewBox="0 0 900 900" width="900"></svg><br><input id="q" placeholder="filter"><ul id="l"></ul><script>const nodes='
+    for text in _listed(row_texts(found)):
+        yield text.replace("</", "<\\/")
+    yield f";const colours={json.dumps(COLOURS)};{_DRAW}</script></body></html>\n"
+
+
+def html_page(s: Scan, limit: int | None = None) -> str:
+    return "".join(html_parts(s, limit))
 
 
-def callgraph_json(calls: DataFrame, stats: DataFrame) -> str:
-    return json.dumps({"stats": rows(stats)[0], "calls": rows(calls.orderBy("caller_path", "caller_fqn", "callee_path", "callee_fqn"))}, indent=2)
+def callgraph_parts(calls: DataFrame, stats: DataFrame) -> Iterator[str]:
+    """Statistics and all calls as a JSON object, piece by piece."""
+    yield f'{{"stats": {json.dumps(rows(stats)[0])},\n"calls": '
+    yield from _listed(row_texts(calls.orderBy("caller_path", "caller_fqn", "callee_path", "callee_fqn")))
+    yield "}\n"
 
 
 def callgraph_mermaid(calls: DataFrame, symbols: DataFrame, max_nodes: int = 100) -> str:
@@ -158,6 +209,10 @@ def callgraph_mermaid(calls: DataFrame, symbols: DataFrame, max_nodes: int = 100
     return mermaid(nodes, edges, max_nodes)
 
 
-def callgraph_dot(calls: DataFrame) -> str:
-    lines = [r.line for r in calls.select(F.concat(F.lit('  "'), S.escape_dot(F.concat_ws("::", "caller_path", "caller_fqn"), False), F.lit('" -> "'), S.escape_dot(F.concat_ws("::", "callee_path", "callee_fqn"), False), F.lit('";')).alias("line")).distinct().orderBy("line").collect()]
-    return "\n".join(["digraph calls {", *lines, "}"])
+def callgraph_dot_parts(calls: DataFrame) -> Iterator[str]:
+    """All calls as a graph, a line at a time."""
+    yield "digraph calls {"
+    lines = calls.select(F.concat(F.lit('  "'), S.escape_dot(F.concat_ws("::", "caller_path", "caller_fqn"), False), F.lit('" -> "'), S.escape_dot(F.concat_ws("::", "callee_path", "callee_fqn"), False), F.lit('";')).alias("line")).distinct()
+    for r in lines.orderBy("line").toLocalIterator():
+        yield "\n" + r.line
+    yield "\n}\n"
