@@ -34,12 +34,23 @@ def some_pairs(seed, n, m):
 RINGS = [(1000 + i, 1001 + i) for i in range(30)] + [(3, 1000), (1030, 3), (2000, 2001), (2001, 2000), (2001, 3000), (3000, 3001), (3001, 2001)] + [(4000 + i, 4000 + (i + 1) % 25) for i in range(25)] + [(5000 + i, 5001 + i) for i in range(25)]
 
 
+@pytest.mark.parametrize("small", [0, cycles.SMALL])
 @pytest.mark.parametrize("pairs", [some_pairs(1, 40, 60), some_pairs(2, 30, 25) + RINGS, [(i, i) for i in range(4)]])
-def test_strong_components(spark, pairs):
+def test_strong_components(spark, pairs, small):
     """Random graphs; chains that close over one node, over a component and not at all; rings; edges to oneself."""
     way = reached([p for p in pairs if p[0] != p[1]])
     want = {v: min(w for w in way[v] if v in way[w]) for v in way if v in way[v]}
-    assert {r.id: r.component for r in cycles.strong_components(spark.createDataFrame(pairs, KIND)).collect()} == want
+    assert {r.id: r.component for r in cycles.strong_components(spark.createDataFrame(pairs, KIND), small).collect()} == want
+
+
+def test_one_pass_of_random_graphs():
+    for t in range(200):
+        out: dict = {}
+        for a, b in some_pairs(t, 3 + t % 20, 1 + t % 50):
+            out.setdefault(a, []).append(b)
+        way = reached([(a, b) for a in out for b in out[a]])
+        want = {frozenset(w for w in way[v] if v in way[w]) for v in way if v in way[v]}
+        assert {frozenset(c) for c in cycles._one_pass(out)} == {c for c in want if len(c) > 1}
 
 
 def test_a_long_path_takes_few_rounds(spark, monkeypatch):
@@ -53,7 +64,7 @@ def test_a_long_path_takes_few_rounds(spark, monkeypatch):
     ids = list(range(2000))
     random.Random(1).shuffle(ids)
     path = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), KIND)
-    assert cycles.strong_components(path).count() == 0 and len(written) < 40
+    assert cycles.strong_components(path, 0).count() == 0 and len(written) < 40
 
 
 def brute_cycles(pairs):

@@ -59,9 +59,68 @@ def _labelled(edges: DataFrame) -> DataFrame | None:
         left = left.join(one, "src").join(two, "dst").where("f = f2 and b = b2").select("src", "dst")
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def _one_pass(out: dict) -> Iterator[list]:
+    """The strong components of two nodes or more of a graph, by one depth-first search (Tarjan 1972)."""
+    number: dict = {}
+    low: dict = {}
+    open_: list = []
+    inside: set = set()
+    for start in out:
+        if start in number:
+            continue
+        number[start] = low[start] = len(number)
+        open_.append(start)
+        inside.add(start)
+        walk = [(start, iter(out[start]))]
+        while walk:
+            v, rest = walk[-1]
+            for w in rest:
+                if w not in number:
+                    number[w] = low[w] = len(number)
+                    open_.append(w)
+                    inside.add(w)
+                    walk.append((w, iter(out.get(w, ()))))
+                    break
+                if w in inside:
+                    low[v] = min(low[v], number[w])
+            else:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[v])
+                if low[v] == number[v]:
+                    at = len(open_) - 1
+                    while open_[at] != v:
+                        at -= 1
+                    found = open_[at:]
+                    del open_[at:]
+                    inside.difference_update(found)
+                    if len(found) > 1:
+                        yield found
+
+
+def _components_in_a_task(edges: DataFrame) -> DataFrame:
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: dict = {}
+        for pdf in batches:
+            for v, w in zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True):
+                out.setdefault(v, []).append(w)
+        found = [(v, min(nodes)) for nodes in _one_pass(out) for v in nodes]
+        yield pd.DataFrame(found, columns=["id", "component"])
+
+    return edges.repartition(1).mapInPandas(run, f"id {kind}, component {kind}")
+
+
+#: Edges up to which a graph's strong components are found by one task.
+SMALL = 50_000
+
+
+def strong_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """(id, component) of every node on a cycle of two nodes or more; component is its least id.
 
+    A graph of at most `small` edges is searched by one task, as dozens of jobs
+    cost more; larger ones in rounds over all, with the same result.
     Chains of nodes with one edge in and one out become single edges first, by
     weak components, in rounds logarithmic in their length; a chain without an
     end is a ring. The nodes of a component share what reaches them and what
@@ -71,7 +130,10 @@ def strong_components(edges: DataFrame) -> DataFrame:
     between nodes of different labels lie in none and go, as do those of nodes
     without an edge in or out.
     """
-    all_ = _trimmed(edges.where("src <> dst").select("src", "dst").distinct())
+    plain = materialize(edges.where("src <> dst").select("src", "dst").distinct(), "scc")
+    if plain.count() <= small:
+        return materialize(_components_in_a_task(plain), "components")
+    all_ = _trimmed(plain)
     one_in, one_out = all_.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n")), all_.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     through = materialize(one_in.where("n = 1").select("id").join(one_out.where("n = 1").select("id"), "id"), "through")
     by = lambda c: through.select(F.col("id").alias(c), F.lit(True).alias(f"{c}_in"))
@@ -220,7 +282,7 @@ def simple_cycles(edges: DataFrame, max_length: int | None = None, together: int
     the distance back to the root. So what is written are the cycles alone.
     Larger components grow paths by joins, a round for each length.
     """
-    parts = materialize(strong_components(edges), "components")
+    parts = strong_components(edges)
     a, b = parts.select(F.col("id").alias("src"), "component"), parts.select(F.col("id").alias("dst"), F.col("component").alias("other"))
     inside = materialize(edges.where("src <> dst").select("src", "dst").distinct().join(a, "src").join(b, "dst").where("component = other").select("src", "dst", "component"), "inside")
     sizes = inside.groupBy("component").agg(F.count(F.lit(1)).alias("n"))

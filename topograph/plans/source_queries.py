@@ -628,7 +628,8 @@ _DEEP = _DEEP.format(back="")
 
 
 def deep_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cycles.strong_components(deep_edges(spark, sf_dir, back=True))
+    """In rounds, as a graph too large for one task is."""
+    return cycles.strong_components(deep_edges(spark, sf_dir, back=True), small=0)
 
 
 _add("deep_components", deep_components, f"WITH RECURSIVE {_DEEP_BACK}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT a.src AS id, min(a.dst) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src HAVING count(*) > 1")
