@@ -2,15 +2,16 @@
 
 Every vector is turned by one random rotation (signs and Hadamard transforms)
 and keeps the signs of its coordinates as a code x of D bits, its length, and
-the alignment a: the cosine between it and its code vector. With unit vectors o
-(a row) and q (an anchor), o = a*x + r where r stands at right angles to x, so
+the alignment a: the inner product of it and its code vector. What the code
+leaves of it is coded in the same way, LEVELS times in all, and the length of
+the last rest is kept. With unit vectors o (a row) and q (an anchor),
 
-    <o, q> = a*<x, q> + <r, q>,   |<r, q>| <= sqrt(1 - a^2) * sqrt(1 - <x, q>^2)
+    <o, q> = a1*<x1, q> + a2*<x2, q> + ... + <r, q>,   |<r, q>| <= |r|
 
-by Cauchy and Schwarz, with no chance left to it. <x, q> comes from popcounts of
-the code with the bit planes of q, whose rounding is bounded by its length and
-added to the interval. A row goes on only if its interval can reach what is
-asked for; those are scored by integers.
+by Cauchy and Schwarz, with no chance left to it. Each <x, q> comes from
+popcounts of the code with the bit planes of q, whose rounding is bounded by its
+length and added to the interval. A row goes on only if its interval can reach
+what is asked for; those are scored by integers.
 
 Rows and anchors are dealt into blocks by hash, and each pair of blocks is one
 task's group of bounded size, which gives the few best of each anchor. So
@@ -32,9 +33,11 @@ from topograph.llm.text import mix
 ROWS, ANCHORS, PAIRS = 16384, 2048, 1 << 21
 #: Bits to which an anchor's turned coordinates are rounded.
 PLANES = 8
+#: One-bit codes of a vector: in 64 dimensions one alone leaves a rest of 0.6, too much to rule out anything; four leave 0.1.
+LEVELS = 4
 #: Scores are held within this.
 _MOST = (1 << 63) - 1
-CODES = "rid long, vec_id long, label int, ints binary, code binary, norm double, align double"
+CODES = "rid long, vec_id long, label int, ints binary, code binary, norm double, align array<double>, rest double"
 
 
 def turn(vectors: np.ndarray) -> np.ndarray:
@@ -52,14 +55,18 @@ def turn(vectors: np.ndarray) -> np.ndarray:
     return out
 
 
-def encode(ints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes as 64-bit words, lengths, alignments) of integer vectors; of a zero vector all is zero."""
+def encode(ints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes as 64-bit words, one level after the other, lengths, alignments of each level, lengths of the rests) of integer vectors."""
     norm = np.sqrt((ints.astype(np.float64) ** 2).sum(1))
-    unit = turn(ints / np.maximum(norm, 1)[:, None])
-    d = unit.shape[1]
-    align = np.abs(unit).sum(1) / np.sqrt(d) / np.maximum(np.sqrt((unit**2).sum(1)), 1e-300)
-    words = np.packbits(unit >= 0, axis=1, bitorder="little").view(np.uint64)
-    return words, norm, np.minimum(align, 1.0)
+    rest = turn(ints / np.maximum(norm, 1)[:, None])
+    d = rest.shape[1]
+    words, align = [], np.empty((len(ints), LEVELS))
+    for level in range(LEVELS):
+        sign = rest >= 0
+        align[:, level] = np.abs(rest).sum(1) / np.sqrt(d)
+        words.append(np.packbits(sign, axis=1, bitorder="little").view(np.uint64))
+        rest = rest - np.where(sign, 1.0, -1.0) * (align[:, level] / np.sqrt(d))[:, None]
+    return np.concatenate(words, axis=1), norm, align, np.sqrt((rest**2).sum(1))
 
 
 class Planes:
@@ -76,23 +83,21 @@ class Planes:
         self.total = levels.sum(1)
         self.bits = [np.packbits(levels >> j & 1, axis=1, bitorder="little").view(np.uint64) for j in range(PLANES)]
 
-    def intervals(self, codes: np.ndarray, norm: np.ndarray, align: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def intervals(self, codes: np.ndarray, norm: np.ndarray, align: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(low, high) bounds of the inner products, anchors by rows."""
-        ones = np.bitwise_count(codes).astype(np.int64).sum(1)
-        both = np.zeros((len(self.norm), len(codes)), np.int64)
-        for j, plane in enumerate(self.bits):
-            for w in range(codes.shape[1]):
-                both += np.bitwise_count(plane[:, w, None] & codes[None, :, w]).astype(np.int64) << j
-        # the sum over coordinates of (2 bit - 1) (low + step level)
-        cosine = (self.low[:, None] * (2 * ones - self.d)[None, :] + self.step[:, None] * (2 * both - self.total[:, None])) / np.sqrt(self.d)
-        slack = self.error[:, None] + 1e-9
-        # <x, q> is within slack; the rest is largest for the <x, q> nearest to zero
-        near = np.maximum(np.abs(cosine) - slack, 0)
-        rest = np.sqrt(np.maximum(1 - align**2, 0))[None, :] * np.sqrt(np.maximum(1 - near**2, 0)) + align[None, :] * slack + 1e-9
-        middle = align[None, :] * cosine
+        middle = np.zeros((len(self.norm), len(codes)))
+        for level, code in enumerate(np.split(codes, LEVELS, axis=1)):
+            ones = np.bitwise_count(code).astype(np.int64).sum(1)
+            both = np.zeros(middle.shape, np.int64)
+            for j, plane in enumerate(self.bits):
+                for w in range(code.shape[1]):
+                    both += np.bitwise_count(plane[:, w, None] & code[None, :, w]).astype(np.int64) << j
+            # the sum over coordinates of (2 bit - 1) (low + step level)
+            middle += align[None, :, level] * (self.low[:, None] * (2 * ones - self.d)[None, :] + self.step[:, None] * (2 * both - self.total[:, None])) / np.sqrt(self.d)
+        width = rest[None, :] + align.sum(1)[None, :] * self.error[:, None] + 1e-9
         scale = self.norm[:, None] * norm[None, :]
         # scores are held within a long, so their bounds are too
-        return np.clip((middle - rest) * scale - 1, -_MOST, _MOST), np.clip((middle + rest) * scale + 1, -_MOST, _MOST)
+        return np.clip((middle - width) * scale - 1, -_MOST, _MOST), np.clip((middle + width) * scale + 1, -_MOST, _MOST)
 
 
 def scores(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -146,8 +151,8 @@ def codes_of(vectors: DataFrame, id_col: str, vector_col: str, label_col: str, s
                 ints = np.zeros((len(part), d), np.int64)
                 for i, x in enumerate(part["v"]):
                     ints[i, : len(x)] = x
-                words, norm, align = encode(ints)
-                yield pd.DataFrame({"rid": part["rid"], "vec_id": part["vec_id"], "label": part["label"], "ints": [x.tobytes() for x in ints], "code": [x.tobytes() for x in words], "norm": norm, "align": align})
+                words, norm, align, rest = encode(ints)
+                yield pd.DataFrame({"rid": part["rid"], "vec_id": part["vec_id"], "label": part["label"], "ints": [x.tobytes() for x in ints], "code": [x.tobytes() for x in words], "norm": norm, "align": list(align), "rest": rest})
 
     # the numbers hold once they are written
     return materialize(rows.withColumn("rid", F.monotonically_increasing_id()).mapInPandas(run, CODES), "codes")
@@ -178,7 +183,7 @@ def _nearest(rows: DataFrame, n: int) -> DataFrame:
             codes = np.frombuffer(b"".join(r["code"]), np.uint64).reshape(len(r), -1)
             ints, qints = _matrix(r["ints"]), _matrix(q["ints"])
             ids, rids, labels = r["vec_id"].to_numpy(), r["rid"].to_numpy(), r["label"].to_numpy()
-            norm, align = r["norm"].to_numpy(), r["align"].to_numpy()
+            norm, align, rest = r["norm"].to_numpy(), np.array(r["align"].tolist()), r["rest"].to_numpy()
             # a label's rows stand together, so that anchors meet those of their own label alone
             for label, mine in q.groupby("label").indices.items():
                 here = np.flatnonzero(labels == label)
@@ -186,7 +191,7 @@ def _nearest(rows: DataFrame, n: int) -> DataFrame:
                 for k in range(0, len(mine) if len(here) else 0, step):
                     some = mine[k : k + step]
                     planes = Planes(qints[some])
-                    low, high = planes.intervals(codes[here], norm[here], align[here])
+                    low, high = planes.intervals(codes[here], norm[here], align[here], rest[here])
                     other = rids[here][None, :] != q["rid"].to_numpy()[some][:, None]
                     least = _nth(np.where(other, low, -np.inf), n)
                     a, b = np.nonzero(other & (high >= least[:, None]))
@@ -217,12 +222,12 @@ def _between(rows: DataFrame, positives: DataFrame, n: int, percent: int) -> Dat
             codes = np.frombuffer(b"".join(r["code"]), np.uint64).reshape(len(r), -1)
             ints, qints = _matrix(r["ints"]), _matrix(q["ints"])
             ids, rids, labels = r["vec_id"].to_numpy(), r["rid"].to_numpy(), r["label"].to_numpy()
-            norm, align = r["norm"].to_numpy(), r["align"].to_numpy()
+            norm, align, rest = r["norm"].to_numpy(), np.array(r["align"].tolist()), r["rest"].to_numpy()
             goals, anchor = q["goals"].tolist(), q["rid"].to_numpy()
             step = max(1, PAIRS // len(r))
             for k in range(0, len(q), step):
                 some = np.arange(k, min(len(q), k + step))
-                low, high = Planes(qints[some]).intervals(codes, norm, align)
+                low, high = Planes(qints[some]).intervals(codes, norm, align, rest)
                 other = labels[None, :] != q["label"].to_numpy()[some][:, None]
                 wanted = np.zeros(low.shape, bool)
                 for g in range(max(len(goals[i]) for i in some)):
