@@ -214,6 +214,32 @@ _add("callgraph_enhanced", callgraph_enhanced, f"""WITH {_SUP}, x AS (SELECT p,
 SELECT 'app/p' || p || '.py' AS caller_path, 'lib/s' || n || '.py' AS callee_path, CASE WHEN told THEN 'lsp' ELSE 'ast' END AS confidence, CASE WHEN told THEN 'lsp_references' ELSE 'static_ast' END AS confidence_source FROM x""")
 
 
+def common_name_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, language, content, sha1) of Java files: every supplier's class defines get and a method of its nation; every part's calls get, and those of its suppliers' nations."""
+    nation = D.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supplier"), F.col("s_nationkey").cast("string").alias("nation"))
+    made = nation.select(_fill("lib/S§.java", supplier=F.col("supplier")).alias("path"), F.concat(_fill("class S§ {\n  int get() { return §; }\n  int of", supplier=F.col("supplier")), "nation", F.lit("() { return 0; }\n}\n")).alias("text"))
+    sold = D.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier")).distinct().join(nation, "supplier")
+    each = sold.groupBy("part").agg(F.array_sort(F.collect_set("nation")).alias("nations"))
+    asks = F.array_join(F.transform("nations", lambda n: F.concat(F.lit("    X.of"), n, F.lit("();\n"))), "")
+    used = each.select(_fill("app/P¤.java", part=F.col("part")).alias("path"), F.concat(_fill("class P¤ {\n  void run() {\n    X.get();\n    X.get();\n", part=F.col("part")), asks, F.lit("  }\n}\n")).alias("text"))
+    every = made.union(used)
+    return every.select("path", F.lit("java").alias("language"), F.col("text").cast("binary").alias("content"), F.sha1(F.col("text").cast("binary")).alias("sha1"))
+
+
+def calls_common_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fan-out of each name, summed before and counted after its calls are listed."""
+    t = parse.tables(parse.parse_files(common_name_files(spark, sf_dir)))
+    listed = callgraph.build(t["calls"], t["bindings"], t["symbols"]).groupBy(F.regexp_extract("callee_fqn", r"\.(\w+)$", 1).alias("name")).agg(F.count(F.lit(1)).alias("listed"), F.min("site_line").alias("first_line"), F.min("callee_path").alias("first_path"))
+    return callgraph.fan_out(t["calls"], t["symbols"]).join(listed, "name").select("name", "callers", "definitions", "edges", "listed", long("first_line"), "first_path")
+
+
+_add("calls_common_names", calls_common_names, """WITH x AS (SELECT DISTINCT l_partkey AS p, s_suppkey AS s, s_nationkey AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
+asked AS (SELECT 'get' AS name, p, 3 AS line FROM x UNION SELECT 'of' || n, p, CAST(4 + dense_rank() OVER (PARTITION BY p ORDER BY CAST(n AS VARCHAR)) AS BIGINT) FROM x),
+made AS (SELECT 'get' AS name, s_suppkey AS s FROM supplier UNION ALL SELECT 'of' || s_nationkey, s_suppkey FROM supplier),
+c AS (SELECT name, count(DISTINCT p) AS callers, min(line) AS first_line FROM asked GROUP BY 1), d AS (SELECT name, count(*) AS definitions, min('lib/S' || s || '.java') AS first_path FROM made GROUP BY 1)
+SELECT name, callers, definitions, callers * definitions AS edges, callers * definitions AS listed, CAST(first_line AS BIGINT) AS first_line, first_path FROM c JOIN d USING (name)""")
+
+
 def project_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Internal edges of the Java files with the import that made them, duplicates merged."""
     return graph.internal_edges(resolved(spark, sf_dir, "java")).select("src", "dst", "kind")
