@@ -5,8 +5,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,8 +73,10 @@ def scan(spark: SparkSession, root: str, config: Config | None = None, only: Dat
         parsed = tree.refresh_cache(cache.select(parsed.columns), todo, parsed)
     if cache_path is not None:
         parsed = materialize(parsed, "parsed")  # the cache that it was made of is replaced
-        kept = parsed if only is None or cache is None else parsed.unionByName(cache.select(parsed.columns).join(todo.select("path"), "path", "left_anti").join(every.select("path"), "path", "left_semi"))
-        materialize(kept, "kept").write.mode("overwrite").parquet(cache_path)
+        kept = parsed.unionByName(parse.silent(todo, parsed))
+        if only is not None and cache is not None:
+            kept = kept.unionByName(cache.select(parsed.columns).join(todo.select("path"), "path", "left_anti").join(every.select("path"), "path", "left_semi"))
+        tree.store_cache(materialize(kept, "kept"), cache_path, cache)
     t = parse.tables(parsed)
     ts_paths = script_aliases(root) if ts_paths is None else ts_paths
     exports = script_exports(root) if exports is None else exports
@@ -89,12 +90,7 @@ def scan(spark: SparkSession, root: str, config: Config | None = None, only: Dat
 
 def saved_cache(spark: SparkSession, path: str) -> DataFrame | None:
     """The rows a scan left at path; None if there are none, or if they can't be read."""
-    try:
-        found = spark.read.schema(parse.SCHEMA).parquet(path)
-        found.limit(1).collect()
-    except (AnalysisException, PySparkException, Py4JJavaError):
-        return None
-    return found
+    return tree.stored_cache(spark, path, parse.SCHEMA)
 
 
 def stats(s: Scan) -> DataFrame:

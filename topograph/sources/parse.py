@@ -68,6 +68,12 @@ def parse_files(files: DataFrame) -> DataFrame:
     return files.select("path", "sha1", "language", "content").mapInPandas(run, SCHEMA)
 
 
+def silent(files: DataFrame, parsed: DataFrame) -> DataFrame:
+    """A row "none" for each of files of which parsed has no row, so that a cache knows them too."""
+    rest = files.join(parsed.select("path").distinct(), "path", "left_anti")
+    return rest.select("path", "sha1", "language", F.lit("none").alias("row"), F.lit(0).alias("seq"), *(F.lit(None).cast("string").alias(x) for x in "abcd"), F.lit(0).alias("line"), F.lit(0).alias("col"), F.lit(False).alias("flag"))
+
+
 def tables(parsed: DataFrame) -> dict[str, DataFrame]:
     """raw_deps, dynamic_imports, symbols, calls, bindings and warnings of parsed rows."""
     p = materialize(parsed, "parsed")

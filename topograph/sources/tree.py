@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyarrow import fs
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topograph.functions.scalar import basename, language_of, matches_any, rel_path, suffix_of
+from topograph.functions.scratch import materialize
 from topograph.sources.config import Config
 
 
@@ -94,5 +97,49 @@ def refresh_cache(cache: DataFrame, files: DataFrame, parsed: DataFrame) -> Data
     return cached(files, cache).unionByName(parsed)
 
 
+#: Buckets of a stored cache; one of another number is read as none and made anew.
+BUCKETS = 256
+
+
+def bucket_of(path: Column) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(BUCKETS)).cast("int")
+
+
+def touched_buckets(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(bucket) of files that only one of two caches (path, sha1, ...) knows, or knows with that content."""
+    a, b = old.select("path", "sha1").distinct(), new.select("path", "sha1").distinct()
+    changed = a.join(b, ["path", "sha1"], "left_anti").union(b.join(a, ["path", "sha1"], "left_anti"))
+    return changed.select(bucket_of(F.col("path")).alias("bucket")).distinct()
+
+
+def store_cache(new: DataFrame, path: str, old: DataFrame | None = None) -> None:
+    """Write a cache by buckets of the path's hash; with the one stored there (old), only buckets in which a file came, went or changed.
+
+    new must not read from path. A bucket that is left without files holds one
+    row of nulls, as a folder can't be overwritten by nothing.
+    """
+    rows = new.withColumn("bucket", bucket_of(F.col("path")))
+    mode = "static"
+    if old is not None:
+        touched = materialize(touched_buckets(old, new), "touched")
+        if touched.isEmpty():
+            return
+        emptied = touched.join(rows.select("bucket").distinct(), "bucket", "left_anti")
+        rows = rows.join(touched, "bucket", "left_semi").unionByName(emptied, allowMissingColumns=True)
+        mode = "dynamic"
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("bucket").parquet(path)
+
+
+def stored_cache(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The rows that store_cache left at path; None if there are none, if they can't be read or lie in other buckets."""
+    try:
+        found = spark.read.schema(f"{schema}, bucket int").parquet(path)
+        wrong = F.coalesce(F.col("bucket") != bucket_of(F.col("path")), F.col("bucket").isNull())
+        first = found.agg(F.count(F.lit(1)), F.count_if(wrong & (F.col("path").isNotNull() | F.col("bucket").isNull()))).first()
+    except (AnalysisException, PySparkException, Py4JJavaError):
+        return None
+    return None if first[0] == 0 or first[1] > 0 else found.where("path is not null").drop("bucket")
+
+
 def cache_stats(cache: DataFrame) -> DataFrame:
     return cache.agg(F.count_distinct("path").alias("files"), F.count(F.lit(1)).alias("rows"))
