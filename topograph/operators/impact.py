@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topograph.operators.components import connected_components
 from topograph.operators.reach import reach
-from topograph.operators.traverse import distances, reversed_edges, shortest_chains
+from topograph.operators.traverse import chain_paths, chain_steps, distances, reversed_edges
 
 
 def impact(edges: DataFrame, changed: DataFrame) -> DataFrame:
@@ -17,12 +17,12 @@ def impact(edges: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def impact_chains(edges: DataFrame, changed: DataFrame, max_chains: int = 50) -> DataFrame:
-    """(mutated, affected, length, chain) for the first max_chains affected nodes of each changed one; a chain runs from affected to mutated."""
-    from pyspark.sql import Window
-
-    chains = shortest_chains(reversed_edges(edges), changed)
+    """(mutated, affected, length, chain) for the first max_chains affected nodes of each changed one; a chain runs from affected to mutated. Only their chains are put together."""
+    steps = chain_steps(reversed_edges(edges), changed)
     rank = F.row_number().over(Window.partitionBy("origin").orderBy("node"))
-    return chains.withColumn("n", rank).where(F.col("n") <= max_chains).select(F.col("origin").alias("mutated"), F.col("node").alias("affected"), F.col("distance").alias("length"), F.reverse("path").alias("chain"))
+    wanted = steps.where("distance > 0").withColumn("n", rank).where(F.col("n") <= max_chains)
+    found = chain_paths(steps, wanted)
+    return found.select(F.col("origin").alias("mutated"), F.col("node").alias("affected"), F.col("distance").alias("length"), F.reverse("path").alias("chain"))
 
 
 def component_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:

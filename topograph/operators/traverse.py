@@ -45,24 +45,55 @@ def distances(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None,
     return seen.where("distance > 0")
 
 
-def shortest_chains(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(origin, node, distance, path): of the shortest paths from origin to node the first in lexicographic order."""
+def chain_steps(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(origin, node, distance, rank, before) of what each origin reaches: before is the node that comes before it on the first, in lexicographic order, of the shortest paths.
+
+    Rows have a constant width: of the paths to nodes of one distance only
+    their order is kept, as rank, and the first path to a node goes over the
+    one of least rank before it. A sort of the whole round numbers them, so an
+    origin that reaches very many nodes is no group of one task.
+    """
     e = edges.select("src", "dst").distinct()
-    frontier = materialize(seeds.select(F.col("id").alias("origin"), F.col("id").alias("node"), F.array("id").alias("path")).distinct(), "chains")
+    start = F.col("id")
+    frontier = materialize(seeds.select(start.alias("origin"), start.alias("node"), F.lit(0).alias("distance"), F.lit(0).cast("long").alias("rank"), F.nullif(start, start).alias("before")).distinct(), "chains")
     seen = frontier
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        step = frontier.join(e, frontier["node"] == e["src"]).select("origin", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        best = step.groupBy("origin", "node").agg(F.min("path").alias("path"))
-        new = materialize(best.join(seen, ["origin", "node"], "left_anti"), "chains")
+        step = frontier.join(e, frontier["node"] == e["src"]).select("origin", F.col("dst").alias("node"), F.struct("rank", F.col("node").alias("before")).alias("last"))
+        best = step.groupBy("origin", "node").agg(F.min("last").alias("last")).join(seen, ["origin", "node"], "left_anti")
+        numbered = best.orderBy("last.rank", "node", "origin").withColumn("rank", F.monotonically_increasing_id())
+        new = materialize(numbered.select("origin", "node", F.lit(depth).alias("distance"), "rank", F.col("last.before").alias("before")), "chains")
         if new.isEmpty():
             break
         seen = seen.unionByName(new)
         if depth % TOGETHER == 0:
             seen = materialize(seen, "seen")
         frontier = new
-    return seen.select("origin", "node", (F.size("path") - 1).alias("distance"), "path").where("distance > 0")
+    return seen
+
+
+def chain_paths(steps: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(origin, node, distance, path) of the wanted (origin, node) of chain_steps, walked back one step a round; others are never put together."""
+    at = materialize(steps.join(wanted.select("origin", "node").distinct(), ["origin", "node"]).select("origin", "node", "distance", F.col("distance").alias("k"), F.col("node").alias("at"), "before"), "walk")
+    parts, rounds = at, 0
+    back = steps.select("origin", F.col("node").alias("before"), F.col("before").alias("next"))
+    while True:
+        rounds += 1
+        at = materialize(at.where("k > 0").join(back, ["origin", "before"]).select("origin", "node", "distance", (F.col("k") - 1).alias("k"), F.col("before").alias("at"), F.col("next").alias("before")), "walk")
+        if at.isEmpty():
+            break
+        parts = parts.unionByName(at)
+        if rounds % TOGETHER == 0:
+            parts = materialize(parts, "walked")
+    path = F.transform(F.array_sort(F.collect_list(F.struct("k", "at"))), lambda x: x["at"])
+    return parts.groupBy("origin", "node", "distance").agg(path.alias("path"))
+
+
+def shortest_chains(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(origin, node, distance, path): of the shortest paths from origin to node the first in lexicographic order."""
+    steps = chain_steps(edges, seeds, max_depth)
+    return chain_paths(steps, steps.where("distance > 0"))
 
 
 def ego(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:

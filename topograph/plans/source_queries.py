@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from topograph.functions import scalar as S
 from topograph.functions.scratch import materialize
-from topograph.operators import callgraph, centrality, cycles, diff, graph, history, ir, selection, traverse
+from topograph.operators import callgraph, centrality, cycles, diff, graph, history, impact, ir, selection, traverse
 from topograph.operators.resolve import resolve
 from topograph.plans import derived as D
 from topograph.plans.queries import ORACLE_SQL, QUERIES, Query, long
@@ -711,6 +711,17 @@ def growing_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("growing_impact", growing_impact, f"WITH {_GROWING}, {_REACHED} SELECT origin AS mutated, count(*) FILTER (d = 1) AS direct, count(*) AS affected FROM r GROUP BY origin")
 
 
+def growing_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 50 chains from what depends on a supplier of nation 3 to it."""
+    changed = D.table(spark, sf_dir, "supplier").where("s_nationkey = 3").select(F.concat(F.lit("s"), "s_suppkey").alias("id"))
+    return impact.impact_chains(growing_edges(spark, sf_dir), changed).select("mutated", "affected", long("length"), F.array_join("chain", " > ").alias("chain"))
+
+
+_add("growing_chains", growing_chains, f"""WITH {_GROWING}, c AS (SELECT 's' || s_suppkey AS id FROM supplier WHERE s_nationkey = 3),
+r AS (SELECT c.id AS mutated, a.src AS affected, 1 AS length, a.src || ' > ' || c.id AS chain FROM c JOIN e a ON a.dst = c.id UNION ALL SELECT c.id, b.src, 2, b.src || ' > ' || min(a.src) || ' > ' || c.id FROM c JOIN e a ON a.dst = c.id JOIN e b ON b.dst = a.src GROUP BY c.id, b.src)
+SELECT mutated, affected, CAST(length AS BIGINT) AS length, chain FROM (SELECT *, row_number() OVER (PARTITION BY mutated ORDER BY affected) AS n FROM r) WHERE n <= 50""")
+
+
 def growing_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far customers and parts are from the changed suppliers."""
     from topograph.operators.traverse import callers
