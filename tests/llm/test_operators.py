@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import re
+import tracemalloc
 import zlib
 from fractions import Fraction as F_
 
@@ -258,6 +259,31 @@ def test_long_words_and_tables_that_are_emptied(monkeypatch):
         assert auto.encode(text) == other.encode(text, add_special_tokens=False).ids
 
 
+def test_memory_of_a_worker_that_encodes():
+    """What the tables of characters, and a state with its transitions, take while and after they are made."""
+    auto = bpe.Automaton.read(bpe.vocabulary())
+    auto.encode("a")
+    rng = random.Random(6)
+    words = " ".join("".join(rng.choice("abcdefghinorstu") for _ in range(rng.randint(3, 9))) for _ in range(6000))
+    tracemalloc.start()
+    try:
+        bpe._kinds.__wrapped__()
+        assert tracemalloc.get_traced_memory()[1] < 40e6
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        auto._start()
+        auto.known.clear()
+        auto.encode(words)
+        auto.known.clear()
+        assert len(auto.states) > 5000
+        taken = tracemalloc.get_traced_memory()[0] - before - auto.slots.nbytes - auto.last.nbytes
+        assert taken / len(auto.states) < 180
+    finally:
+        tracemalloc.stop()
+    # all states and transitions of a full table, some pairs known
+    assert bpe.TRANSITIONS // 2 * 250 + bpe.TRANSITIONS * 2 * 8 + bpe.TRANSITIONS // 4 * 120 < 100e6
+
+
 @pytest.mark.parametrize("block", [16, 1 << 18])
 def test_token_counts(spark, block):
     auto = bpe.Automaton.read(bpe.vocabulary())
