@@ -3,6 +3,7 @@
 import pytest
 
 from topograph.functions.scratch import materialize
+from topograph.llm import token_counts
 from topograph.operators import resolve
 
 DEPS = "'{}' AS language, 0 AS seq, '' AS raw_text, '{}' AS specifier, '{}_import' AS kind, 0 AS level, '' AS names, 1 AS line, 0 AS `column`, false AS is_wildcard"
@@ -27,3 +28,11 @@ def test_candidates_are_not_broadcast(spark, default_broadcasts, language, speci
     found = resolve.resolve(deps, index)
     assert "BuildLeft" not in plan(found)
     assert found.where("target_path like 'lib/K7.%'").count() == 2000
+
+
+def test_op6_broadcasts_no_documents(spark, default_broadcasts):
+    """A document is a byte or two in a file of (file, ordinal, id), and some 250 in memory."""
+    docs = spark.range(500).selectExpr("id AS doc_id", "repeat('a ', cast(id % 40 AS int)) AS text")
+    counted = token_counts.document_token_counts(docs)
+    assert "BroadcastHashJoin" not in plan(counted)
+    assert counted.count() == counted.select("doc_id").distinct().count() == 500

@@ -115,7 +115,8 @@ def scan(files: DataFrame, eod: int = 50256, width: int = 2, block: int = BLOCK)
         F.coalesce(F.sum("ended").over(before), F.lit(0)).alias("first_document"),
         F.coalesce(F.max("last").over(before), F.lit(-1)).alias("since"),
     )
-    stitched = found.join(carried, ["file", "block"]).select(
+    # hints: rows that a file holds in a byte or two are some hundred in memory, so its size says nothing of a broadcast's
+    stitched = found.hint("merge").join(carried, ["file", "block"]).select(
         "file", "block", "first_document",
         F.transform("places", lambda p, i: p - F.when(i == 0, F.col("since")).otherwise(F.element_at("places", F.greatest(i, F.lit(1)))) - 1).alias("lengths"),
     )
@@ -136,4 +137,4 @@ def document_token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = scan(stored.where("length is not null").select("file", "length"), block=block)
     each = found.where("block is not null").select("file", "first_document", F.posexplode("lengths").alias("at", "n_tokens")).select("file", (F.col("first_document") + F.col("at")).alias("ordinal"), "n_tokens")
     named = stored.where("length is null").select("file", "ordinal", F.col("id").alias(id_col))
-    return named.join(each, ["file", "ordinal"]).select(id_col, F.regexp_extract("file", r"/part-(\d+)-[^/]*$", 1).cast("long").alias("file"), "ordinal", "n_tokens")
+    return named.hint("merge").join(each, ["file", "ordinal"]).select(id_col, F.regexp_extract("file", r"/part-(\d+)-[^/]*$", 1).cast("long").alias("file"), "ordinal", "n_tokens")
