@@ -4,7 +4,7 @@ import pytest
 
 from topograph.functions.scratch import materialize
 from topograph.llm import token_counts
-from topograph.operators import resolve
+from topograph.operators import reach, resolve
 
 DEPS = "'{}' AS language, 0 AS seq, '' AS raw_text, '{}' AS specifier, '{}_import' AS kind, 0 AS level, '' AS names, 1 AS line, 0 AS `column`, false AS is_wildcard"
 
@@ -36,3 +36,37 @@ def test_op6_broadcasts_no_documents(spark, default_broadcasts):
     counted = token_counts.document_token_counts(docs)
     assert "BroadcastHashJoin" not in plan(counted)
     assert counted.count() == counted.select("doc_id").distinct().count() == 500
+
+
+def plain_distances(pairs, start):
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+    far, level = {start: 0}, [start]
+    for v in level:
+        for w in out.get(v, ()):
+            if w not in far:
+                far[w] = far[v] + 1
+                level.append(w)
+    return far
+
+
+@pytest.mark.parametrize("edges_of_a_task", [100_000, 75])
+def test_deep_components_take_no_rounds(spark, monkeypatch, edges_of_a_task):
+    """Chains of 71 nodes, in 64s and more, with jumps and ways back, beside shallow ones: not a table or more for each step."""
+    pairs = [(1000 * k + i, 1000 * k + i + 1) for k in range(3) for i in range(70)] + [(i, i + 2) for i in range(0, 70, 5)] + [(i, i - 3) for i in range(7, 60, 7)]
+    pairs += [(9000 + i, 9100 + i % 7) for i in range(50)] + [(5, 5)]
+    nodes = sorted({x for p in pairs for x in p} | {77777})
+    want = {v: plain_distances(pairs, v) for v in nodes}
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs], "src string, dst string")
+    seeds = spark.createDataFrame([(f"n{v}",) for v in nodes], "id string")
+    monkeypatch.setattr(reach, "EDGES", edges_of_a_task)
+    monkeypatch.setattr(reach, "CELLS", 64 * 80)
+    tables = []
+    monkeypatch.setattr(reach, "materialize", lambda df, name="step": tables.append(name) or materialize(df, name))
+    found = reach.reach(edges, seeds)
+    assert found.depth == max(max(x.values()) for x in want.values()) and (edges_of_a_task == 75 or len(tables) < 25)
+    assert {r.id: r.reached for r in found.counts().collect()} == {f"n{v}": len(x) - 1 for v, x in want.items()}
+    some = spark.createDataFrame([("n50",), ("n1069",)], "id string")
+    assert {(r.origin, r.node) for r in found.pairs(some).collect()} == {(f"n{v}", f"n{w}") for v, x in want.items() for w in (50, 1069) if w in x and w != v}
+    assert reach.reach(edges, seeds, 20, sets=False).depth == 20
