@@ -1,10 +1,11 @@
 """What rows take in memory, not in files, and what a graph's depth and hubs may cost."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from topograph.functions.scratch import materialize
 from topograph.llm import token_counts
-from topograph.operators import reach, resolve
+from topograph.operators import callgraph, reach, resolve
 
 DEPS = "'{}' AS language, 0 AS seq, '' AS raw_text, '{}' AS specifier, '{}_import' AS kind, 0 AS level, '' AS names, 1 AS line, 0 AS `column`, false AS is_wildcard"
 
@@ -70,3 +71,17 @@ def test_deep_components_take_no_rounds(spark, monkeypatch, edges_of_a_task):
     some = spark.createDataFrame([("n50",), ("n1069",)], "id string")
     assert {(r.origin, r.node) for r in found.pairs(some).collect()} == {(f"n{v}", f"n{w}") for v, x in want.items() for w in (50, 1069) if w in x and w != v}
     assert reach.reach(edges, seeds, 20, sets=False).depth == 20
+
+
+def test_blocks_count_what_would_be_listed(spark):
+    """At 40 billion calls of one name no row for each can be written; at a few thousand both ways agree, block by block."""
+    calls = spark.range(300).selectExpr("concat('c', id % 90) AS path", "if(id % 2 = 0, 'java', 'kotlin') AS language", "0 AS seq", "concat('m', id) AS owner", "'' AS owner_class", "'x' AS receiver", "element_at(array('get', 'run', 'no', null), cast(id % 4 + 1 AS int)) AS name", "cast(500 - id AS int) AS line")
+    symbols = spark.range(200).selectExpr("concat('s', id % 70) AS path", "if(id % 3 = 0, 'java', 'kotlin') AS language", "0 AS seq", "'method' AS symbol_type", "if(id % 5 = 0, 'run', 'get') AS name", "concat('method:X', id, '.f') AS fqn", "1 AS line")
+    names = symbols.selectExpr("language", "path AS callee_path", "fqn AS callee_fqn", "name")
+    for block in (7, 1024):
+        listed = callgraph.named_calls(calls, symbols, block).join(names, ["callee_path", "callee_fqn"]).groupBy("language", "name").agg(F.count(F.lit(1)), F.min("site_line"), F.min("callee_path"))
+        summed = callgraph.blocks(calls, symbols, block).groupBy("language", "name").agg(F.sum("edges"), F.min("first_line"), F.min("first_path"))
+        assert sorted(map(tuple, listed.collect())) == sorted(map(tuple, summed.collect())) != []
+    many = calls.limit(1).selectExpr("path", "'java' AS language", "seq", "explode(sequence(1, 200000)) AS owner", "owner_class", "receiver", "'get' AS name", "line").withColumn("owner", F.col("owner").cast("string"))
+    made = spark.range(200_000).selectExpr("'s' AS path", "'java' AS language", "0 AS seq", "'method' AS symbol_type", "'get' AS name", "cast(id AS string) AS fqn", "1 AS line")
+    assert callgraph.blocks(many, made).selectExpr("sum(edges)", "count(*)").first()[:] == (200_000**2, 196**2)
