@@ -1,11 +1,12 @@
 """What rows take in memory, not in files, and what a graph's depth and hubs may cost."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from topograph.functions.scratch import materialize
 from topograph.llm import token_counts
-from topograph.operators import callgraph, reach, resolve
+from topograph.operators import callgraph, centrality, reach, resolve, whole_graph
 
 DEPS = "'{}' AS language, 0 AS seq, '' AS raw_text, '{}' AS specifier, '{}_import' AS kind, 0 AS level, '' AS names, 1 AS line, 0 AS `column`, false AS is_wildcard"
 
@@ -85,3 +86,33 @@ def test_blocks_count_what_would_be_listed(spark):
     many = calls.limit(1).selectExpr("path", "'java' AS language", "seq", "explode(sequence(1, 200000)) AS owner", "owner_class", "receiver", "'get' AS name", "line").withColumn("owner", F.col("owner").cast("string"))
     made = spark.range(200_000).selectExpr("'s' AS path", "'java' AS language", "0 AS seq", "'method' AS symbol_type", "'get' AS name", "cast(id AS string) AS fqn", "1 AS line")
     assert callgraph.blocks(many, made).selectExpr("sum(edges)", "count(*)").first()[:] == (200_000**2, 196**2)
+
+
+def test_betweenness_with_the_whole_graph_in_tasks(spark, monkeypatch):
+    """As by rows: with hubs, levels in pieces, repeated edges and nodes, loops, names of any kind; and without a table for each level."""
+    pairs = [(i, 1000 + i % 9) for i in range(120)] + [(1000 + i, 2000 + j) for i in range(9) for j in range(30)] + [(2000 + j, i) for j in range(30) for i in range(j, 120, 30)] + [(3, 3), (0, 1000)]
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs], "src string, dst string").repartition(3)
+    nodes = spark.createDataFrame([(f"n{v}",) for v in sorted({x for p in pairs for x in p})] + [("alone",)], "id string")
+    rows = {r.id: r.betweenness for r in centrality.betweenness(nodes, edges, whole=0).collect()}
+    assert len(rows) == 160 and max(rows.values()) > 0
+    for steps in (1 << 21, 7):
+        first = np.array([0, 2, 3, 4, 4])  # a diamond: 0 to 1 and 2, both to 3
+        monkeypatch.setattr(whole_graph, "STEPS", steps)
+        node, delta, _ = whole_graph.shares(first, np.array([1, 2, 3, 3], np.int32), 4, np.array([0]))
+        assert dict(zip(node.tolist(), delta.tolist(), strict=True)) == {1: 0.5, 2: 0.5}
+        out = {}
+        for a, b in set(pairs):
+            if a != b:
+                out.setdefault(a, set()).add(b)
+        names = sorted({x for p in pairs for x in p})
+        at = {v: i for i, v in enumerate(names)}
+        to = [at[w] for v in names for w in sorted(out.get(v, ()))]
+        first = np.cumsum([0] + [len(out.get(v, ())) for v in names])
+        node, delta, _ = whole_graph.shares(first, np.array(to, np.int32), len(names), np.arange(len(names)))
+        total = np.bincount(node, delta, minlength=len(names)) / 159 / 158
+        assert all(abs(total[at[v]] - rows[f"n{v}"]) < 1e-12 for v in names)
+    tables = []
+    for module in (centrality, whole_graph):
+        monkeypatch.setattr(module, "materialize", lambda df, name="step": tables.append(name) or materialize(df, name))
+    found = {r.id: r.betweenness for r in centrality.betweenness(nodes, edges).collect()}
+    assert found.keys() == rows.keys() and all(abs(found[v] - rows[v]) < 1e-12 for v in rows) and len(tables) < 6
