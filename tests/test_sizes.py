@@ -116,3 +116,19 @@ def test_betweenness_with_the_whole_graph_in_tasks(spark, monkeypatch):
         monkeypatch.setattr(module, "materialize", lambda df, name="step": tables.append(name) or materialize(df, name))
     found = {r.id: r.betweenness for r in centrality.betweenness(nodes, edges).collect()}
     assert found.keys() == rows.keys() and all(abs(found[v] - rows[v]) < 1e-12 for v in rows) and len(tables) < 6
+
+
+def test_estimates_share_one_graph(spark, monkeypatch):
+    """A batch takes no table for each level, and gives what rows give, its errors too."""
+    pairs = [(f"n{i}", f"h{i % 4}") for i in range(200)] + [(f"h{i}", f"m{j}") for i in range(4) for j in range(12)]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    nodes = spark.createDataFrame([(v,) for v in sorted({x for p in pairs for x in p})], "id string")
+    tables = []
+    for module in (centrality, whole_graph):
+        monkeypatch.setattr(module, "materialize", lambda df, name="step": tables.append(name) or materialize(df, name))
+    graph = whole_graph.whole_graph(nodes, edges)
+    tables.clear()
+    found = {r.id: (r.betweenness, r.error) for r in centrality.estimated_betweenness(nodes, edges, error=0.9, batch=64, graph=graph).collect()}
+    assert len(tables) <= 2 * 5
+    rows = {r.id: (r.betweenness, r.error) for r in centrality.estimated_betweenness(nodes, edges, error=0.9, batch=64, whole=0).collect()}
+    assert found.keys() == rows.keys() and all(abs(a - b) < 1e-12 for v in rows for a, b in zip(found[v], rows[v], strict=True))
